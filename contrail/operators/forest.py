@@ -78,7 +78,7 @@ def _grow(points: np.ndarray, rng: np.random.Generator, limit: int) -> list[tupl
 def grow_forest(samples: DataFrame, id_col: str, features: list[str], size: int, seed: int) -> DataFrame:
     limit = max(1, math.ceil(math.log2(size)))
 
-    def one_tree(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one_tree(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(id_col)
         rng = np.random.default_rng([seed, int(key[0])])
         nodes = _grow(pdf[features].to_numpy(dtype="float64"), rng, limit)

@@ -35,7 +35,7 @@ def window_metrics(positions: DataFrame, length: str = "5 minutes", slide: str |
             F.col("w.end").alias("window_end"),
             "icao24",
             "samples",
-            F.round(F.col("sum_velocity").cast("double") / F.col("n_velocity"), 4).alias("mean_velocity"),
+            (F.col("sum_velocity").cast("double") / F.col("n_velocity")).alias("mean_velocity"),
             "max_velocity",
             "min_altitude",
             "max_altitude",

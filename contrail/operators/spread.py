@@ -119,6 +119,10 @@ def last_known(
     )
 
 
+def _tagged(level: int):
+    return lambda block: F.struct(F.lit(level).alias("level"), block.alias("block"))
+
+
 def block_cover(first: Column, last: Column, radix: int, levels: int) -> Column:
     """Aligned blocks that tile the closed integer range [first, last] exactly.
 
@@ -143,7 +147,7 @@ def block_cover(first: Column, last: Column, radix: int, levels: int) -> Column:
         for start, stop in spans:
             blocks = F.when(start <= stop, F.sequence(start.cast("long"), stop.cast("long")))
             blocks = F.coalesce(blocks, F.array().cast("array<bigint>"))
-            pieces.append(F.transform(blocks, lambda b, lv=level: F.struct(F.lit(lv).alias("level"), b.alias("block"))))
+            pieces.append(F.transform(blocks, _tagged(level)))
     return F.concat(*pieces)
 
 

@@ -194,13 +194,10 @@ def write_export(landed: DataFrame, path: str, n: int = 10) -> None:
     export_documents(landed, n).select("document").write.mode("overwrite").text(path)
 
 
-def first_exported_aircraft(documents: DataFrame) -> DataFrame:
-    """The code of the first state of each exported document, or the sample code."""
-    states = F.from_json("document", "states array<struct<icao24:string>>")["states"]
-    return documents.select(
-        "snapshot_id",
-        F.coalesce(F.try_element_at(states, F.lit(1))["icao24"], F.lit(SAMPLE_AIRCRAFT)).alias("icao24"),
-    )
+def first_exported_aircraft(document: str) -> Column:
+    """The code of the first state of an exported document, or the sample code."""
+    states = F.from_json(document, "states array<struct<icao24:string>>")["states"]
+    return F.coalesce(F.try_element_at(states, F.lit(1))["icao24"], F.lit(SAMPLE_AIRCRAFT))
 
 
 def flatten_histories(landed: DataFrame, head: int | None = None) -> DataFrame:
