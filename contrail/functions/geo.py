@@ -18,6 +18,14 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
 
 
+def unit_vector(lat: Column, lon: Column) -> Column:
+    """The point as x, y, z on the unit sphere."""
+    a, b = _rad(lat), _rad(lon)
+    return F.struct(
+        (F.cos(a) * F.cos(b)).alias("x"), (F.cos(a) * F.sin(b)).alias("y"), F.sin(a).alias("z")
+    )
+
+
 def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     a, b, turn = _rad(lat1), _rad(lat2), _rad(lon2) - _rad(lon1)
     return F.atan2(F.sin(turn) * F.cos(b), F.cos(a) * F.sin(b) - F.sin(a) * F.cos(b) * F.cos(turn))

@@ -11,8 +11,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-from contrail.functions.geo import EARTH_KM, haversine_km, off_route_km
-from contrail.operators.spread import lookup_join, with_halo
+from contrail.functions.geo import EARTH_KM, haversine_km, off_route_km, unit_vector
+from contrail.operators.spread import BROADCAST_ROWS, lookup_join, with_halo
 from contrail.operators.upkeep import first_per_key
 from contrail.schemas import ANOMALIES, SEVERITIES
 
@@ -95,7 +95,8 @@ def route_deviations(positions: DataFrame, flights: DataFrame, airports: DataFra
     origin = airports.select(F.col("airport_code").alias("origin_airport"), place.alias("o"))
     dest = airports.select(F.col("airport_code").alias("dest_airport"), place.alias("d"))
     routes = flights.select("flight_id", "origin_airport", "dest_airport")
-    routes = lookup_join(lookup_join(routes, origin, ["origin_airport"], "inner"), dest, ["dest_airport"], "inner")
+    routes = lookup_join(routes, origin, ["origin_airport"], "inner", counted=airports)
+    routes = lookup_join(routes, dest, ["dest_airport"], "inner", counted=airports)
     tied = lookup_join(positions.filter("flight_id IS NOT NULL"), routes, ["flight_id"], "inner", small_rows=0)
     away = off_route_km(
         F.col("latitude"),
@@ -114,10 +115,9 @@ def _cell(column: Column, offset: int, size: int) -> Column:
 
 def _airport_lists(airports: DataFrame, size: int | None) -> DataFrame:
     """Candidate airports per cell: all that lie in the cell or one of its eight neighbours."""
+    lat, lon = F.col("latitude").cast("double"), F.col("longitude").cast("double")
     candidate = F.struct(
-        F.col("airport_code").alias("code"),
-        F.col("latitude").cast("double").alias("lat"),
-        F.col("longitude").cast("double").alias("lon"),
+        F.col("airport_code").alias("code"), lat.alias("lat"), lon.alias("lon"), unit_vector(lat, lon).alias("v")
     )
     placed = airports.filter("latitude IS NOT NULL AND longitude IS NOT NULL")
     if size is None:
@@ -145,29 +145,43 @@ def nearest_airport(
     bounded by the four-character code), so the answer is exact.
     """
     lat, lon = F.col("latitude").cast("double"), F.col("longitude").cast("double")
-    distances = F.transform(
-        F.col("_near"),
-        lambda a: F.struct(
-            F.round(haversine_km(lat, lon, a["lat"], a["lon"]), 3).alias("km"), a["code"].alias("code")
-        ),
+    # straight chords are cheap and rank like distances; only what may round to
+    # the same metre as the best is measured on the sphere
+    square = lambda a: F.pow(a["v"]["x"] - F.col("_v.x"), 2) + F.pow(a["v"]["y"] - F.col("_v.y"), 2) + F.pow(
+        a["v"]["z"] - F.col("_v.z"), 2
+    )
+    shortest = F.sqrt(F.array_min(F.transform("_near", square)))
+    close = F.filter("_near", lambda a: square(a) <= F.pow(F.col("_chord") + 0.002 / EARTH_KM, 2))
+    found = F.array_min(
+        F.transform(
+            close,
+            lambda a: F.struct(
+                F.round(haversine_km(lat, lon, a["lat"], a["lon"]), 3).alias("km"), a["code"].alias("code")
+            ),
+        )
+    )
+    result = positions.withColumn("_best", F.lit(None).cast("struct<km:double, code:string>")).withColumn(
+        "_v", unit_vector(lat, lon)
     )
-    found = F.array_min(distances)
-    result = positions.withColumn("_best", F.lit(None).cast("struct<km:double, code:string>"))
     for size in (*cell_degrees, None):
         if size is None:
-            cells, accepted = (F.lit(0), F.lit(0)), found
+            cells, accepted = (F.lit(0), F.lit(0)), F.col("_found")
         else:
             columns = F.lit(360 // size)
             cells = (F.pmod(_cell(F.col("longitude"), 180, size), columns), _cell(F.col("latitude"), 90, size))
             # the closest that a point outside the 3 x 3 cells can be
             side = F.asin(F.cos(F.radians(lat)) * F.sin(F.radians(F.lit(float(size)))))
             reach = EARTH_KM * F.least(F.radians(F.lit(float(size))), side)
-            accepted = F.when(found["km"] < F.round(reach, 3), found)
+            accepted = F.when(F.col("_found.km") < F.round(reach, 3), F.col("_found"))
         open_only = F.col("_best").isNull() & F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
         keyed = result.withColumn("_x", F.when(open_only, cells[0])).withColumn("_y", F.when(open_only, cells[1]))
-        result = lookup_join(keyed, _airport_lists(airports, size), ["_x", "_y"])
-        result = result.withColumn("_best", F.coalesce("_best", accepted)).drop("_x", "_y", "_near")
-    return result.withColumn("nearest_code", F.col("_best.code")).withColumn("nearest_km", F.col("_best.km")).drop("_best")
+        # at most nine lists per airport
+        lists = _airport_lists(airports, size)
+        result = lookup_join(keyed, lists, ["_x", "_y"], small_rows=BROADCAST_ROWS // 9, counted=airports)
+        result = result.withColumn("_chord", shortest).withColumn("_found", found)
+        result = result.withColumn("_best", F.coalesce("_best", accepted)).drop("_x", "_y", "_near", "_chord", "_found")
+    named = result.withColumn("nearest_code", F.col("_best.code")).withColumn("nearest_km", F.col("_best.km"))
+    return named.drop("_best", "_v")
 
 
 def ground_proximity(

@@ -17,14 +17,15 @@ def enrich_flights(flights: DataFrame, airlines: DataFrame, airports: DataFrame)
     columns = ["airport_name", "country", "latitude", "longitude"]
     origin = _prefixed(airports, "airport_code", "origin_airport", "origin_", columns)
     dest = _prefixed(airports, "airport_code", "dest_airport", "dest_", columns)
-    joined = lookup_join(flights, carrier, ["carrier_code"])
-    return lookup_join(lookup_join(joined, origin, ["origin_airport"]), dest, ["dest_airport"])
+    joined = lookup_join(flights, carrier, ["carrier_code"], counted=airlines)
+    joined = lookup_join(joined, origin, ["origin_airport"], counted=airports)
+    return lookup_join(joined, dest, ["dest_airport"], counted=airports)
 
 
 def enrich_weather(weather: DataFrame, airports: DataFrame) -> DataFrame:
     """Observations with their airport and its local wall-clock time."""
     place = airports.select("airport_code", "airport_name", "timezone")
-    return lookup_join(weather, place, ["airport_code"]).withColumn(
+    return lookup_join(weather, place, ["airport_code"], counted=airports).withColumn(
         "observed_local", F.from_utc_timestamp("observed_at", F.col("timezone"))
     )
 
@@ -44,7 +45,8 @@ def with_local_flight_date(flights: DataFrame, airports: DataFrame) -> DataFrame
     """``flight_date`` as the local day of the scheduled departure at the origin."""
     zones = airports.select(F.col("airport_code").alias("origin_airport"), "timezone")
     local = F.from_utc_timestamp("scheduled_dep_time", F.coalesce("timezone", F.lit("UTC")))
-    return lookup_join(flights, zones, ["origin_airport"]).withColumn("flight_date", F.to_date(local)).drop("timezone")
+    joined = lookup_join(flights, zones, ["origin_airport"], counted=airports)
+    return joined.withColumn("flight_date", F.to_date(local)).drop("timezone")
 
 
 def attach_flights(positions: DataFrame, flights: DataFrame, tick_s: int = 60) -> DataFrame:

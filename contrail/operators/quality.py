@@ -25,6 +25,21 @@ def _columns_failing(df: DataFrame, table: str, rule: str, tests: dict[str, Colu
     )
 
 
+_INTEGER_LIMITS = {"smallint": 1 << 15, "int": 1 << 31}
+
+
+def fit_type(name: str, kind: str) -> Column:
+    """The text as its declared type, or null where it does not fit.
+
+    Short integers are read as long ones and compared with their range, as a
+    failing narrow cast costs far more.
+    """
+    if kind not in _INTEGER_LIMITS:
+        return F.col(name).try_cast(kind)
+    limit, value = _INTEGER_LIMITS[kind], F.col(name).try_cast("bigint")
+    return F.when(value.between(-limit, limit - 1), value).cast(kind)
+
+
 def typed_load(raw: DataFrame, table: Table) -> tuple[DataFrame, DataFrame]:
     """Cast text to the declared types: (typed rows, rejected values).
 
@@ -32,22 +47,20 @@ def typed_load(raw: DataFrame, table: Table) -> tuple[DataFrame, DataFrame]:
     (key, column, value).
     """
     present = [c for c in table.columns if c.name in raw.columns]
-    typed = [F.col(c.name).try_cast(c.type).alias(c.name) for c in present]
-    key = table.key
-    bad = F.filter(
-        F.array(
-            *[
-                F.when(
-                    F.col(c.name).isNotNull() & F.col(c.name).try_cast(c.type).isNull(),
-                    F.struct(F.lit(c.name).alias("column"), F.col(c.name).alias("value")),
-                )
-                for c in present
-                if c.type != "string"
-            ]
-        ),
-        lambda x: x.isNotNull(),
+    typed = [fit_type(c.name, c.type).alias(c.name) for c in present]
+    unfit = [
+        F.when(
+            F.col(c.name).isNotNull() & fit_type(c.name, c.type).isNull(),
+            F.struct(F.lit(c.name).alias("column"), F.col(c.name).alias("value")),
+        )
+        for c in present
+        if c.type != "string"
+    ]
+    rejects = (
+        raw.select(F.col(table.key).alias("row_key"), F.explode(F.array(*unfit)).alias("b"))
+        .filter("b IS NOT NULL")
+        .select("row_key", "b.*")
     )
-    rejects = raw.select(F.col(key).alias("row_key"), F.explode(bad).alias("b")).select("row_key", "b.*")
     return raw.select(typed), rejects
 
 
@@ -115,7 +128,7 @@ def orphans(df: DataFrame, table: Table, parents: dict[str, DataFrame]) -> DataF
 
 def load_report(raw: DataFrame, table: Table) -> DataFrame:
     tests = {
-        c.name: F.col(c.name).isNotNull() & F.col(c.name).try_cast(c.type).isNull()
+        c.name: F.col(c.name).isNotNull() & fit_type(c.name, c.type).isNull()
         for c in table.columns
         if c.type != "string" and c.name in raw.columns
     }

@@ -7,14 +7,25 @@ unique side either broadcast after a size check or split the hot keys.
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 BROADCAST_ROWS = 100_000
 
+_counted: WeakKeyDictionary[DataFrame, dict[int, bool]] = WeakKeyDictionary()
+
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when the frame is known to hold at most ``rows`` rows."""
-    return df.select(F.lit(1)).limit(rows + 1).count() <= rows
+    """True when the frame is counted to hold at most ``rows`` rows.
+
+    The answer is kept as long as this very frame object lives, so a dimension
+    used several times in one query is counted once.
+    """
+    answers = _counted.setdefault(df, {})
+    if rows not in answers:
+        answers[rows] = df.select(F.lit(1)).limit(rows + 1).count() <= rows
+    return answers[rows]
 
 
 def lookup_join(
@@ -24,16 +35,18 @@ def lookup_join(
     how: str = "left",
     small_rows: int = BROADCAST_ROWS,
     hot_rows: int | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Join to a side holding one row per key.
 
     A side counted to hold at most ``small_rows`` rows is broadcast; pass 0 to skip
-    the count where the side is known to be large. Otherwise both sides are
+    the count where the side is known to be large. ``counted`` names a frame to
+    count instead, one that has at least as many rows. Otherwise both sides are
     shuffled. Null keys match nothing and are spread over tasks. A hot key is
     split by adaptive execution, which sees the real partition sizes; with
     ``hot_rows`` it is also salted up front, at the price of counting the keys.
     """
-    if small_rows and is_small(unique, small_rows):
+    if small_rows and is_small(unique if counted is None else counted, small_rows):
         return facts.join(F.broadcast(unique), on, how)
     has_key = F.lit(True)
     for name in on:
@@ -119,36 +132,32 @@ def last_known(
     )
 
 
-def _tagged(level: int):
-    return lambda block: F.struct(F.lit(level).alias("level"), block.alias("block"))
-
-
-def block_cover(first: Column, last: Column, radix: int, levels: int) -> Column:
+def block_spans(first: Column, last: Column, radix: int, levels: int) -> Column:
     """Aligned blocks that tile the closed integer range [first, last] exactly.
 
     A block of level l holds ``radix ** l`` integers. The result is an array of
-    (level, block); the top level is used without an upper limit, so no range is
-    too long to tile.
+    (level, lo, hi) runs of blocks, empty where lo > hi; the top level is used
+    without an upper limit, so no range is too long to tile.
     """
-    pieces = []
+    runs = []
     for level in range(levels):
         size = radix**level
         lo, hi = F.ceil(first / F.lit(size)), F.floor((last + 1) / F.lit(size)) - 1
         if level == levels - 1:
-            spans = [(lo, hi)]
+            ends = [(lo, hi)]
         else:
             outer = size * radix
             outer_lo, outer_hi = F.ceil(first / F.lit(outer)), F.floor((last + 1) / F.lit(outer)) - 1
             inside = outer_hi >= outer_lo
-            spans = [
+            ends = [
                 (lo, F.when(inside, outer_lo * radix - 1).otherwise(hi)),
                 (F.when(inside, (outer_hi + 1) * radix).otherwise(hi + 1), hi),
             ]
-        for start, stop in spans:
-            blocks = F.when(start <= stop, F.sequence(start.cast("long"), stop.cast("long")))
-            blocks = F.coalesce(blocks, F.array().cast("array<bigint>"))
-            pieces.append(F.transform(blocks, _tagged(level)))
-    return F.concat(*pieces)
+        runs += [
+            F.struct(F.lit(level).alias("level"), start.cast("long").alias("lo"), stop.cast("long").alias("hi"))
+            for start, stop in ends
+        ]
+    return F.array(*runs)
 
 
 def stab_intervals(
@@ -163,7 +172,7 @@ def stab_intervals(
     rank: list[str],
     tick_s: int = 60,
     radix: int = 8,
-    levels: int = 5,
+    levels: int = 4,
 ) -> DataFrame:
     """For each point, the highest-ranked interval of its key that holds it.
 
@@ -186,9 +195,11 @@ def stab_intervals(
             key,
             F.struct(*rank).alias("_rank"),
             F.col(value).alias("_value"),
-            F.explode(block_cover(code(start), code(end), radix, levels)).alias("_tile"),
+            F.explode(block_spans(code(start), code(end), radix, levels)).alias("_run"),
         )
-        .groupBy(key, "_tile.level", "_tile.block")
+        .filter("_run.lo <= _run.hi")
+        .select(key, "_rank", "_value", "_run.level", F.explode(F.sequence("_run.lo", "_run.hi")).alias("block"))
+        .groupBy(key, "level", "block")
         .agg(F.max(F.struct("_rank", "_value")).alias("_best"))
     )
     probes = (

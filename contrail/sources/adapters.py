@@ -140,7 +140,8 @@ def route_positions(flights_: DataFrame, airports_: DataFrame) -> DataFrame:
     ends = airports_.select("airport_code", F.struct("latitude", "longitude").alias("p"))
     o = ends.select(F.col("airport_code").alias("origin_airport"), F.col("p").alias("o"))
     d = ends.select(F.col("airport_code").alias("dest_airport"), F.col("p").alias("d"))
-    tied = lookup_join(lookup_join(flights_, o, ["origin_airport"], "inner"), d, ["dest_airport"], "inner")
+    tied = lookup_join(flights_, o, ["origin_airport"], "inner", counted=airports_)
+    tied = lookup_join(tied, d, ["dest_airport"], "inner", counted=airports_)
     return tied.selectExpr(
         "1000000000000 + flight_id AS position_id",
         "icao24",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from contrail.operators.serving import latest, window_metrics
-from contrail.operators.spread import lookup_join
+from contrail.operators.spread import lookup_join, time_bucket
 from contrail.session import scratch_path
 
 WATERMARK = "10 minutes"
@@ -26,27 +26,33 @@ def deduplicated(positions: DataFrame) -> DataFrame:
 def gate_with_airports(gate: DataFrame, airports: DataFrame) -> DataFrame:
     """Gate events with the static airport row."""
     place = airports.select("airport_code", "airport_name", "country")
-    return lookup_join(gate, place, ["airport_code"])
+    return lookup_join(gate, place, ["airport_code"], counted=airports)
 
 
 def departures_with_weather(departures: DataFrame, weather: DataFrame) -> DataFrame:
     """Departure positions with each weather instant of their airport in the hour before.
 
     Repeated readings of one instant are dropped first, so the join gives a
-    bounded number of rows per departure however many readings arrive.
+    bounded number of rows per departure however many readings arrive. Both sides
+    also meet by clock hour, which keeps the state behind one join key short.
     """
-    d = departures.withWatermark("position_time", WATERMARK)
+    own_hour = time_bucket("position_time", 3600)
+    d = departures.withWatermark("position_time", WATERMARK).withColumn(
+        "hour", F.explode(F.array(own_hour, own_hour - 1))
+    )
     w = (
         weather.select(F.col("airport_code").alias("station"), "observed_at")
         .withWatermark("observed_at", WATERMARK)
         .dropDuplicatesWithinWatermark(["station", "observed_at"])
+        .withColumn("seen_hour", time_bucket("observed_at", 3600))
     )
     near = (
         (F.col("airport_code") == F.col("station"))
+        & (F.col("hour") == F.col("seen_hour"))
         & (F.col("observed_at") >= F.col("position_time") - F.expr("INTERVAL 1 HOUR"))
         & (F.col("observed_at") <= F.col("position_time"))
     )
-    return d.join(w, near).drop("station")
+    return d.join(w, near).drop("station", "hour", "seen_hour")
 
 
 def keep_latest(positions: DataFrame, key: str = "icao24", time: str = "position_time", tie: str = "position_id") -> DataFrame:
