@@ -26,27 +26,33 @@ def unit_vector(lat: Column, lon: Column) -> Column:
     )
 
 
-def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    a, b, turn = _rad(lat1), _rad(lat2), _rad(lon2) - _rad(lon1)
-    return F.atan2(F.sin(turn) * F.cos(b), F.cos(a) * F.sin(b) - F.sin(a) * F.cos(b) * F.cos(turn))
+def arc_km(u: Column, v: Column) -> Column:
+    """Distance between two unit vectors, by their straight chord."""
+    part = lambda c: F.pow(u[c] - v[c], 2)
+    return 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.sqrt(part("x") + part("y") + part("z")) / 2))
 
 
-def off_route_km(lat: Column, lon: Column, lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Distance to the great-circle leg from point 1 to point 2.
+def _dot(u: list[Column], v: list[Column]) -> Column:
+    return u[0] * v[0] + u[1] * v[1] + u[2] * v[2]
+
+
+def _cross(u: list[Column], v: list[Column]) -> list[Column]:
+    return [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+
+
+def off_route_km(point: Column, start: Column, end: Column) -> Column:
+    """Distance of a point to the great-circle leg between two others, all as unit vectors.
 
     Behind the start it is the distance to the start, beyond the end the distance
     to the end, and a leg without length counts as its start.
     """
-    to_start = haversine_km(lat1, lon1, lat, lon)
-    to_end = haversine_km(lat2, lon2, lat, lon)
-    length = haversine_km(lat1, lon1, lat2, lon2)
-    angle = to_start / EARTH_KM
-    turn = bearing(lat1, lon1, lat, lon) - bearing(lat1, lon1, lat2, lon2)
-    across = F.asin(F.sin(angle) * F.sin(turn))
-    along = EARTH_KM * F.atan2(F.sin(angle) * F.cos(turn), F.cos(angle))
+    p, s, e = ([v["x"], v["y"], v["z"]] for v in (point, start, end))
+    normal = _cross(s, e)
+    size = F.sqrt(_dot(normal, normal))
+    along = EARTH_KM * F.atan2(_dot(p, _cross(normal, s)) / size, _dot(p, s))
+    across = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), _dot(p, normal) / size)))
     return (
-        F.when((lat1 == lat2) & (lon1 == lon2), to_start)
-        .when(along < 0, to_start)
-        .when(along > length, to_end)
+        F.when((size == 0) | (along < 0), arc_km(point, start))
+        .when(along > arc_km(start, end), arc_km(point, end))
         .otherwise(F.abs(across) * EARTH_KM)
     )

@@ -11,7 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-from contrail.functions.geo import EARTH_KM, haversine_km, off_route_km, unit_vector
+from contrail.functions.geo import EARTH_KM, arc_km, off_route_km, unit_vector
 from contrail.operators.spread import BROADCAST_ROWS, lookup_join, with_halo
 from contrail.operators.upkeep import first_per_key
 from contrail.schemas import ANOMALIES, SEVERITIES
@@ -91,50 +91,42 @@ def velocity_spikes(changes: DataFrame) -> DataFrame:
 
 def route_deviations(positions: DataFrame, flights: DataFrame, airports: DataFrame, limit_km: float = ROUTE_KM) -> DataFrame:
     """Positions of a known flight at least ``limit_km`` off its great-circle route."""
-    place = F.struct("latitude", "longitude")
-    origin = airports.select(F.col("airport_code").alias("origin_airport"), place.alias("o"))
-    dest = airports.select(F.col("airport_code").alias("dest_airport"), place.alias("d"))
+    place = unit_vector(F.col("latitude"), F.col("longitude"))
+    origin = airports.select(F.col("airport_code").alias("origin_airport"), place.alias("_o"))
+    dest = airports.select(F.col("airport_code").alias("dest_airport"), place.alias("_d"))
     routes = flights.select("flight_id", "origin_airport", "dest_airport")
     routes = lookup_join(routes, origin, ["origin_airport"], "inner", counted=airports)
     routes = lookup_join(routes, dest, ["dest_airport"], "inner", counted=airports)
-    tied = lookup_join(positions.filter("flight_id IS NOT NULL"), routes, ["flight_id"], "inner", small_rows=0)
-    away = off_route_km(
-        F.col("latitude"),
-        F.col("longitude"),
-        F.col("o.latitude"),
-        F.col("o.longitude"),
-        F.col("d.latitude"),
-        F.col("d.longitude"),
-    )
-    return tied.withColumn("off_route_km", F.round(away, 2)).filter(F.col("off_route_km") >= limit_km).drop("o", "d")
+    placed = positions.filter("flight_id IS NOT NULL").withColumn("_p", place)
+    tied = lookup_join(placed, routes, ["flight_id"], "inner", small_rows=0)
+    away = F.round(off_route_km(F.col("_p"), F.col("_o"), F.col("_d")), 2)
+    return tied.withColumn("off_route_km", away).filter(F.col("off_route_km") >= limit_km).drop("_p", "_o", "_d")
 
 
 def _cell(column: Column, offset: int, size: int) -> Column:
     return F.floor((column.cast("double") + offset) / size).cast("int")
 
 
-def _airport_lists(airports: DataFrame, size: int | None) -> DataFrame:
+def _airport_lists(airports: DataFrame, size: int) -> DataFrame:
     """Candidate airports per cell: all that lie in the cell or one of its eight neighbours."""
-    lat, lon = F.col("latitude").cast("double"), F.col("longitude").cast("double")
-    candidate = F.struct(
-        F.col("airport_code").alias("code"), lat.alias("lat"), lon.alias("lon"), unit_vector(lat, lon).alias("v")
-    )
-    placed = airports.filter("latitude IS NOT NULL AND longitude IS NOT NULL")
-    if size is None:
-        filed = placed.withColumn("_x", F.lit(0)).withColumn("_y", F.lit(0))
-    else:
-        near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-        filed = (
-            placed.withColumn("_dx", F.explode(near))
-            .withColumn("_dy", F.explode(near))
-            .withColumn("_x", F.pmod(_cell(F.col("longitude"), 180, size) + F.col("_dx"), F.lit(360 // size)))
-            .withColumn("_y", _cell(F.col("latitude"), 90, size) + F.col("_dy"))
+    lat, lon = F.col("latitude"), F.col("longitude")
+    candidate = F.struct(F.col("airport_code").alias("code"), unit_vector(lat, lon).alias("v"))
+    # a cell of 360 degrees is the whole sphere and has no neighbours
+    near = F.array(*[F.lit(i) for i in ((0,) if size >= 360 else (-1, 0, 1))])
+    return (
+        airports.filter("latitude IS NOT NULL AND longitude IS NOT NULL")
+        .withColumn("_dx", F.explode(near))
+        .withColumn("_dy", F.explode(near))
+        .groupBy(
+            F.pmod(_cell(lon, 180, size) + F.col("_dx"), F.lit(360 // size)).alias("_x"),
+            (_cell(lat, 90, size) + F.col("_dy")).alias("_y"),
         )
-    return filed.groupBy("_x", "_y").agg(F.collect_set(candidate).alias("_near"))
+        .agg(F.collect_set(candidate).alias("_near"))
+    )
 
 
 def nearest_airport(
-    positions: DataFrame, airports: DataFrame, cell_degrees: tuple[int, ...] = (2, 15)
+    positions: DataFrame, airports: DataFrame, cell_degrees: tuple[int, ...] = (1, 4, 20)
 ) -> DataFrame:
     """Adds the nearest airport and its distance to every position that has a place.
 
@@ -144,42 +136,30 @@ def nearest_airport(
     goes on to coarser cells and at last to the list of all airports (a list
     bounded by the four-character code), so the answer is exact.
     """
-    lat, lon = F.col("latitude").cast("double"), F.col("longitude").cast("double")
-    # straight chords are cheap and rank like distances; only what may round to
-    # the same metre as the best is measured on the sphere
-    square = lambda a: F.pow(a["v"]["x"] - F.col("_v.x"), 2) + F.pow(a["v"]["y"] - F.col("_v.y"), 2) + F.pow(
-        a["v"]["z"] - F.col("_v.z"), 2
-    )
-    shortest = F.sqrt(F.array_min(F.transform("_near", square)))
-    close = F.filter("_near", lambda a: square(a) <= F.pow(F.col("_chord") + 0.002 / EARTH_KM, 2))
-    found = F.array_min(
-        F.transform(
-            close,
-            lambda a: F.struct(
-                F.round(haversine_km(lat, lon, a["lat"], a["lon"]), 3).alias("km"), a["code"].alias("code")
-            ),
-        )
-    )
+    lat, lon = F.col("latitude"), F.col("longitude")
+
+    def distance_and_code(a: Column) -> Column:
+        return F.struct(F.round(arc_km(a["v"], F.col("_v")), 3).alias("km"), a["code"].alias("code"))
+
     result = positions.withColumn("_best", F.lit(None).cast("struct<km:double, code:string>")).withColumn(
         "_v", unit_vector(lat, lon)
     )
-    for size in (*cell_degrees, None):
-        if size is None:
-            cells, accepted = (F.lit(0), F.lit(0)), F.col("_found")
-        else:
-            columns = F.lit(360 // size)
-            cells = (F.pmod(_cell(F.col("longitude"), 180, size), columns), _cell(F.col("latitude"), 90, size))
+    for size in (*cell_degrees, 360):
+        accepted = F.col("_found")
+        if size < 360:
             # the closest that a point outside the 3 x 3 cells can be
-            side = F.asin(F.cos(F.radians(lat)) * F.sin(F.radians(F.lit(float(size)))))
+            side = F.asin(F.cos(F.radians(lat.cast("double"))) * F.sin(F.radians(F.lit(float(size)))))
             reach = EARTH_KM * F.least(F.radians(F.lit(float(size))), side)
             accepted = F.when(F.col("_found.km") < F.round(reach, 3), F.col("_found"))
-        open_only = F.col("_best").isNull() & F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
-        keyed = result.withColumn("_x", F.when(open_only, cells[0])).withColumn("_y", F.when(open_only, cells[1]))
+        is_open = F.col("_best").isNull() & lat.isNotNull() & lon.isNotNull()
+        keyed = result.withColumn(
+            "_x", F.when(is_open, F.pmod(_cell(lon, 180, size), F.lit(360 // size)))
+        ).withColumn("_y", F.when(is_open, _cell(lat, 90, size)))
         # at most nine lists per airport
         lists = _airport_lists(airports, size)
         result = lookup_join(keyed, lists, ["_x", "_y"], small_rows=BROADCAST_ROWS // 9, counted=airports)
-        result = result.withColumn("_chord", shortest).withColumn("_found", found)
-        result = result.withColumn("_best", F.coalesce("_best", accepted)).drop("_x", "_y", "_near", "_chord", "_found")
+        result = result.withColumn("_found", F.array_min(F.transform("_near", distance_and_code)))
+        result = result.withColumn("_best", F.coalesce("_best", accepted)).drop("_x", "_y", "_near", "_found")
     named = result.withColumn("nearest_code", F.col("_best.code")).withColumn("nearest_km", F.col("_best.km"))
     return named.drop("_best", "_v")
 
