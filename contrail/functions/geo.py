@@ -49,8 +49,9 @@ def off_route_km(point: Column, start: Column, end: Column) -> Column:
     p, s, e = ([v["x"], v["y"], v["z"]] for v in (point, start, end))
     normal = _cross(s, e)
     size = F.sqrt(_dot(normal, normal))
-    along = EARTH_KM * F.atan2(_dot(p, _cross(normal, s)) / size, _dot(p, s))
-    across = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), _dot(p, normal) / size)))
+    unit = lambda x: F.try_divide(x, size)
+    along = EARTH_KM * F.atan2(unit(_dot(p, _cross(normal, s))), _dot(p, s))
+    across = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), unit(_dot(p, normal)))))
     return (
         F.when((size == 0) | (along < 0), arc_km(point, start))
         .when(along > arc_km(start, end), arc_km(point, end))

@@ -20,7 +20,8 @@ def with_metar_columns(reports: DataFrame, raw: str = "raw_metar") -> DataFrame:
     wind = r"\b(\d{3}|VRB)(\d{2,3})(?:G\d{2,3})?KT\b"
     miles = r"(?:^|\s)M?(?:(\d+) )?(\d+)(?:/(\d+))?SM\b"
     number = lambda c: c.try_cast("decimal(9,4)")
-    fraction = number(part(miles, 2)) / F.coalesce(number(part(miles, 3)), F.lit(1).cast("decimal(9,4)"))
+    below = F.coalesce(number(part(miles, 3)), F.lit(1).cast("decimal(9,4)"))
+    fraction = F.try_divide(number(part(miles, 2)), below)
     layers = F.regexp_extract_all(text, F.lit(r"\b(?:BKN|OVC)(\d{3})"), F.lit(1))
     temperatures = r"\s(M?\d{2})/(M?\d{2})?(?:\s|$)"
     return (

@@ -66,10 +66,7 @@ def delay_features(flights: DataFrame, weather: DataFrame, lead_min: int = LEAD_
     joined = lookup_join(base, recent, ["origin_airport", "cutoff"], small_rows=0)
     joined = joined.withColumn("recent_flights", F.coalesce("recent_flights", F.lit(0))).withColumn(
         "recent_mean_delay",
-        F.when(
-            F.col("recent_flights") > 0,
-            F.round(F.col("recent_delay").cast("double") / F.col("recent_flights"), 6),
-        ),
+        F.round(F.try_divide(F.col("recent_delay").cast("double"), F.col("recent_flights")), 6),
     )
     return weather_before(
         joined.drop("recent_delay"), weather, ["wind_speed_knots", "visibility_miles"], time="cutoff"
@@ -135,10 +132,14 @@ def drift_psi(df: DataFrame, is_current: Column, features: dict[str, tuple[float
     totals = counted.groupBy("feature").agg(F.sum("ref_n").alias("ref_all"), F.sum("cur_n").alias("cur_all"))
     # bins nobody fell into have equal floors on both sides and add nothing
     floor = F.lit(1e-4)
-    ref = F.greatest(F.col("ref_n").cast("double") / F.col("ref_all"), floor)
-    cur = F.greatest(F.col("cur_n").cast("double") / F.col("cur_all"), floor)
+    share = lambda n, total: F.greatest(F.try_divide(F.col(n).cast("double"), F.col(total)), floor)
+    ref, cur = share("ref_n", "ref_all"), share("cur_n", "cur_all")
     return (
         lookup_join(counted, totals, ["feature"], "inner", small_rows=0)
         .groupBy("feature")
-        .agg(F.round(F.sum((cur - ref) * F.log(cur / ref)), 6).alias("psi"), F.max("ref_all").alias("ref_rows"), F.max("cur_all").alias("cur_rows"))
+        .agg(
+            F.round(F.sum((cur - ref) * F.log(cur / ref)), 6).alias("psi"),
+            F.max("ref_all").alias("ref_rows"),
+            F.max("cur_all").alias("cur_rows"),
+        )
     )

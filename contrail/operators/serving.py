@@ -35,7 +35,7 @@ def window_metrics(positions: DataFrame, length: str = "5 minutes", slide: str |
             F.col("w.end").alias("window_end"),
             "icao24",
             "samples",
-            (F.col("sum_velocity").cast("double") / F.col("n_velocity")).alias("mean_velocity"),
+            F.try_divide(F.col("sum_velocity").cast("double"), F.col("n_velocity")).alias("mean_velocity"),
             "max_velocity",
             "min_altitude",
             "max_altitude",
@@ -100,7 +100,7 @@ def resolution_time(anomalies: DataFrame) -> DataFrame:
     return anomalies.withColumn("_m", minutes).groupBy("severity").agg(
         F.count("_m").alias("resolved"),
         F.count_if(~F.col("is_resolved")).alias("open"),
-        F.round(F.sum("_m").cast("double") / F.count("_m"), 6).alias("mean_minutes"),
+        F.round(F.try_divide(F.sum("_m").cast("double"), F.count("_m")), 6).alias("mean_minutes"),
         F.max("_m").alias("max_minutes"),
     )
 
