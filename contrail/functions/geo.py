@@ -40,20 +40,38 @@ def _cross(u: list[Column], v: list[Column]) -> list[Column]:
     return [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
 
 
-def off_route_km(point: Column, start: Column, end: Column) -> Column:
-    """Distance of a point to the great-circle leg between two others, all as unit vectors.
+def leg(start: Column, end: Column) -> Column:
+    """A great-circle leg between two unit vectors, prepared for ``off_route_km``.
 
-    Behind the start it is the distance to the start, beyond the end the distance
-    to the end, and a leg without length counts as its start.
+    ``normal`` is the unit normal of its plane and ``ahead`` the direction of
+    travel at the start; both are null for a leg without length.
     """
-    p, s, e = ([v["x"], v["y"], v["z"]] for v in (point, start, end))
+    s, e = ([v[c] for c in "xyz"] for v in (start, end))
     normal = _cross(s, e)
     size = F.sqrt(_dot(normal, normal))
-    unit = lambda x: F.try_divide(x, size)
-    along = EARTH_KM * F.atan2(unit(_dot(p, _cross(normal, s))), _dot(p, s))
-    across = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), unit(_dot(p, normal)))))
+    unit = [F.try_divide(c, size) for c in normal]
+    named = lambda parts: F.struct(*[c.alias(n) for c, n in zip(parts, "xyz")])
+    return F.struct(
+        start.alias("start"),
+        end.alias("end"),
+        named(unit).alias("normal"),
+        named(_cross(unit, s)).alias("ahead"),
+        arc_km(start, end).alias("km"),
+    )
+
+
+def off_route_km(point: Column, route: Column) -> Column:
+    """Distance of a point (unit vector) to a great-circle leg.
+
+    Behind the start it is the distance to the start, beyond the end the distance
+    to the end, and a leg without length counts as its start.
+    """
+    parts = lambda v: [v[c] for c in "xyz"]
+    p = parts(point)
+    along = EARTH_KM * F.atan2(_dot(p, parts(route["ahead"])), _dot(p, parts(route["start"])))
+    across = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), _dot(p, parts(route["normal"])))))
     return (
-        F.when((size == 0) | (along < 0), arc_km(point, start))
-        .when(along > arc_km(start, end), arc_km(point, end))
+        F.when(along.isNull() | (along < 0), arc_km(point, route["start"]))
+        .when(along > route["km"], arc_km(point, route["end"]))
         .otherwise(F.abs(across) * EARTH_KM)
     )

@@ -11,7 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-from contrail.functions.geo import EARTH_KM, arc_km, off_route_km, unit_vector
+from contrail.functions.geo import EARTH_KM, arc_km, leg, off_route_km, unit_vector
 from contrail.operators.spread import BROADCAST_ROWS, lookup_join, with_halo
 from contrail.operators.upkeep import first_per_key
 from contrail.schemas import ANOMALIES, SEVERITIES
@@ -97,10 +97,12 @@ def route_deviations(positions: DataFrame, flights: DataFrame, airports: DataFra
     routes = flights.select("flight_id", "origin_airport", "dest_airport")
     routes = lookup_join(routes, origin, ["origin_airport"], "inner", counted=airports)
     routes = lookup_join(routes, dest, ["dest_airport"], "inner", counted=airports)
+    # everything that depends on the route alone is worked out before the big join
+    routes = routes.withColumn("_leg", leg(F.col("_o"), F.col("_d"))).drop("_o", "_d")
     placed = positions.filter("flight_id IS NOT NULL").withColumn("_p", place)
     tied = lookup_join(placed, routes, ["flight_id"], "inner", small_rows=0)
-    away = F.round(off_route_km(F.col("_p"), F.col("_o"), F.col("_d")), 2)
-    return tied.withColumn("off_route_km", away).filter(F.col("off_route_km") >= limit_km).drop("_p", "_o", "_d")
+    away = F.round(off_route_km(F.col("_p"), F.col("_leg")), 2)
+    return tied.withColumn("off_route_km", away).filter(F.col("off_route_km") >= limit_km).drop("_p", "_leg")
 
 
 def _cell(column: Column, offset: int, size: int) -> Column:
