@@ -13,6 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from contrail.session import written
+
 NODE_SCHEMA = "tree int, node int, feature int, split double, low int, high int, depth double"
 
 
@@ -99,6 +101,8 @@ def isolation_scores(
 ) -> DataFrame:
     """(id, score) for every row; a missing feature counts as 0, scores lie in (0, 1)."""
     full = rows.select(id_col, *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features])
+    # counted, drawn from and scored: three passes over one computation
+    full = written(full, "forest")
     samples = draw_samples(full, id_col, features, trees, size, seed)
     # at most trees * (2 * size) nodes, whatever the data size
     nodes = grow_forest(samples, id_col, features, size, seed).toPandas().sort_values(["tree", "node"])

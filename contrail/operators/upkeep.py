@@ -94,19 +94,17 @@ def within_retention(df: DataFrame, time: str, hours: int = RETENTION_HOURS) ->
     return df.filter(F.col(time) >= newest - F.make_dt_interval(hours=F.lit(hours)))
 
 
-def write_by_date(positions: DataFrame, path: str, mode: str = "overwrite", files_per_day: int = 8) -> None:
+def write_by_date(positions: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Date-partitioned positions, clustered by aircraft and time inside each file.
 
-    A day is spread over ``files_per_day`` range buckets of the aircraft hash, so
-    a heavy day or aircraft is not one task, and files stay few and large.
+    Ranges over day, aircraft and time give tasks of like size whatever the
+    weight of a day or an aircraft, and a day lies in few files.
     """
-    dated = positions.withColumn("position_date", F.to_date("position_time"))
-    spread = F.pmod(F.xxhash64("icao24", F.date_trunc("hour", "position_time")), F.lit(files_per_day))
+    order = ["position_date", "icao24", "position_time"]
     (
-        dated.withColumn("_file", spread)
-        .repartition("position_date", "_file")
-        .drop("_file")
-        .sortWithinPartitions("position_date", "icao24", "position_time")
+        positions.withColumn("position_date", F.to_date("position_time"))
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
         .write.mode(mode)
         .partitionBy("position_date")
         .parquet(path)

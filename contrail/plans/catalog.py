@@ -10,7 +10,7 @@ from contrail.functions.metar import with_metar_columns
 from contrail.operators import cep, features, forest, joins, models, quality, retrieval, serving, upkeep
 from contrail.plans.feed import Feed, present
 from contrail.schemas import ANOMALIES, EVENT_TYPES, FLIGHTS, POSITIONS, WEATHER
-from contrail.session import enable_checkpoints, scratch_path
+from contrail.session import scratch_path, written
 from contrail.sources import adapters, landing
 from contrail.streaming import jobs, spikes, topics
 
@@ -530,8 +530,7 @@ def delay_features(t: Feed) -> DataFrame:
 
 
 def _delay_model(t: Feed):
-    enable_checkpoints(t.spark)
-    rows = models.model_rows(features.delay_features(t.flights, t.weather)).checkpoint()
+    rows = written(models.model_rows(features.delay_features(t.flights, t.weather)), "model-rows")
     train, test = models.split_by_time(rows)
     return models.fit(train), test
 

@@ -4,6 +4,8 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from contrail.operators import cep
+from contrail.plans.feed import Feed
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -35,5 +37,25 @@ def test_gives_rows(spark, name):
     assert queries()[name](spark, SF).count() > 0
 
 
+@pytest.mark.parametrize("name", sorted(n for n in queries() if not n.startswith("stream_")))
+def test_no_nested_loop_in_plan(spark, name):
+    plan = queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_both_spike_rules_share_one_window_exchange(spark):
+    t = Feed(spark, SF)
+    changes = cep.sample_changes(t.positions)
+    plan = changes._jdf.queryExecution().executedPlan().toString()
+    # one to drop repeated polls, one for both windows
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_dimensions_are_broadcast_and_scans_pruned(spark):
+    plan = queries()["flights_enriched"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert "o_totalprice" not in plan
+
+
 def test_entry(spark):
     assert entry(spark).count() > 0

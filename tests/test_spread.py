@@ -1,8 +1,10 @@
 import bisect
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from contrail import session
 from contrail.operators import spread
 from contrail.operators.upkeep import assign_ids
 
@@ -88,3 +90,20 @@ def test_halo_shows_each_row_once(spark):
     own = [r["id"] * 17 for r in cut.filter("is_context").collect()]
     assert all((s // 100 + 1) * 100 - s <= 60 for s in own)
     assert bisect.bisect(sorted(own), 0) <= 1
+
+
+class _NoSetting:
+    class conf:
+        @staticmethod
+        def get(key, default):
+            return default
+
+    class sparkContext:
+        master = "yarn"
+
+
+def test_shared_folder_is_required_on_a_cluster(spark):
+    with pytest.raises(ValueError):
+        session.shared_dir(_NoSetting)
+    _NoSetting.sparkContext.master = "local[2]"
+    assert session.shared_dir(_NoSetting) == session.shared_dir(_NoSetting)
