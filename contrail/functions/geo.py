@@ -11,13 +11,6 @@ def _rad(c: Column) -> Column:
     return F.radians(c.cast("double"))
 
 
-def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    a, b = _rad(lat1), _rad(lat2)
-    half_lat, half_lon = (b - a) / 2, (_rad(lon2) - _rad(lon1)) / 2
-    h = F.pow(F.sin(half_lat), 2) + F.cos(a) * F.cos(b) * F.pow(F.sin(half_lon), 2)
-    return 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
-
-
 def unit_vector(lat: Column, lon: Column) -> Column:
     """The point as x, y, z on the unit sphere."""
     a, b = _rad(lat), _rad(lon)

@@ -19,8 +19,7 @@ from contrail.schemas import ANOMALIES, SEVERITIES
 # fixed values: the declared limits
 ALTITUDE_M = Decimal("152.40")  # 500 ft
 ALTITUDE_WINDOW_S = 30
-VELOCITY_MS = Decimal("185200") / Decimal("3600")  # 100 kt
-KNOTS_100_M_PER_H = 185_200
+KNOTS_100_M_PER_H = 185_200  # 100 kt in metres per hour
 VELOCITY_WINDOW_S = 60
 ROUTE_KM = 10.0
 

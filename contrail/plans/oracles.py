@@ -340,7 +340,6 @@ def _build(sql: str) -> str:
     return f"WITH {views} {sql}" if views else sql
 
 
-_D = "::DOUBLE"
 _HIT = "SELECT position_id, icao24, position_time, d_up::DOUBLE AS d_up, d_dn::DOUBLE AS d_dn FROM "
 _POSITION = """position_id, icao24, callsign, flight_id, position_time, latitude::DOUBLE AS latitude,
     longitude::DOUBLE AS longitude, baro_altitude::DOUBLE AS baro_altitude, geo_altitude::DOUBLE AS geo_altitude,

@@ -55,7 +55,9 @@ def departures_with_weather(departures: DataFrame, weather: DataFrame) -> DataFr
     return d.join(w, near).drop("station", "hour", "seen_hour")
 
 
-def keep_latest(positions: DataFrame, key: str = "icao24", time: str = "position_time", tie: str = "position_id") -> DataFrame:
+def keep_latest(
+    positions: DataFrame, key: str = "icao24", time: str = "position_time", tie: str = "position_id"
+) -> DataFrame:
     """Current state per aircraft, merged batch by batch into a keyed table.
 
     Batch n is written to one of four slots from the table of batch n - 1, so a

@@ -60,6 +60,17 @@ def test_quarantine_splits_bad_documents_and_states(spark):
     ]
 
 
+def test_position_time_falls_back_to_last_contact(spark):
+    states = [
+        state(icao24="aa", time_position=10, last_contact=20, callsign="KAL1    "),
+        state(icao24="bb", last_contact=20),
+        state(icao24="cc"),
+        state(last_contact=20),
+    ]
+    rows = landing.states_to_positions(landing.flatten_states(landed(spark, snapshot(*states)))).orderBy("icao24").collect()
+    assert [(r["icao24"], r["position_time"].second, r["callsign"]) for r in rows] == [("aa", 10, "KAL1"), ("bb", 20, None)]
+
+
 def test_callsign_display(spark):
     cases = {None: "N/A", "": "N/A", " " * 8: "", "LONGCALL10": "LONGCALL10", "KAL1    ": "KAL1"}
     df = landed(spark, snapshot(*[state(icao24="aa", callsign=c) for c in cases]))
