@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from contrail.llm import bpe
+from contrail.llm import bpe, simhash
 from contrail.llm.text import sha256_hex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,12 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         sha256_hex(F.col("token_ids")).alias("ids_sha256"),
         sha256_hex(F.col("decoded")).alias("decoded_sha256"),
     )
+
+
+@register
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and class."""
+    classes = simhash.simhash_classes(table(spark, sf_dir, "documents"))
+    return classes.select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    )
