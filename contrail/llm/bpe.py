@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from contrail.llm.text import blobs, slabs
 
 SLAB_BYTES = 4_000_000
-CACHED_PIECES = 400_000
+CACHED_PIECES = 250_000
 LOCKSTEP_LENGTH = 32
 LOCKSTEP_ROWS = 20_000
 NO_PAIR = 1 << 40

@@ -6,12 +6,24 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 
 # words of the contracts: digits, a-z and everything beyond ASCII, over lower-cased UTF-8
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
+BATCH_ROWS, BATCH_BYTES = 1024, 8_000_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches that suit whole texts: a few MB each, however long the rows are."""
+    for key, most in (("maxRecordsPerBatch", str(BATCH_ROWS)), ("maxBytesPerBatch", f"{BATCH_BYTES}b")):
+        name = f"spark.sql.execution.arrow.{key}"
+        held = spark.conf.get(name).lower().removesuffix("b")
+        if not held.isdigit() or not 0 < int(held) <= int(most.removesuffix("b")):
+            spark.conf.set(name, most)
+
+
 def blobs(column: pa.Array) -> list[bytes]:
     """A string or binary column as bytes; null counts as empty."""
     if pa.types.is_struct(column.type):
