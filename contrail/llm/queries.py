@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from contrail.llm import bpe, simhash
+from contrail.llm import bpe, decontaminate, pii, quality, simhash, toxicity
 from contrail.llm.text import bound_batches, sha256_hex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,73 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+@register
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words that stand in a window of a test item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    hits = decontaminate.with_hits(docs, table(spark, sf_dir, "benchmark"))
+    return hits.select(
+        "doc_id",
+        "hits.n_words",
+        "hits.n_hit",
+        F.size("hits.items").cast("long").alias("n_items"),
+        sha256_hex(F.array_join(F.array_sort("hits.items"), ",")).alias("items_sha256"),
+        "hits.contaminated",
+    )
+
+
+# words as the contracts take them: only A-Z change case
+_SQL_WORDS = (
+    "regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+
+ORACLES["op7_decontamination"] = f"""
+WITH items AS (
+    SELECT item_id, {_SQL_WORDS.format("text")} AS w FROM benchmark
+), windows AS (
+    SELECT DISTINCT item_id, least(13, len(w)) AS size, array_to_string(w[i : i + least(13, len(w)) - 1], ' ') AS gram
+    FROM items, LATERAL (SELECT unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i) WHERE len(w) > 0
+), docs AS (
+    SELECT doc_id, {_SQL_WORDS.format("text")} AS w FROM documents
+), sizes AS (SELECT DISTINCT size FROM windows
+), grams AS (
+    SELECT doc_id, i, size, array_to_string(w[i : i + size - 1], ' ') AS gram
+    FROM docs, sizes, LATERAL (SELECT unnest(range(1, len(w) - size + 2)) AS i) WHERE len(w) >= size
+), hits AS (
+    SELECT g.doc_id, g.i, g.size, s.item_id FROM grams g JOIN windows s ON g.size = s.size AND g.gram = s.gram
+), hit_words AS (
+    SELECT doc_id, count(DISTINCT i + k) AS n_hit
+    FROM (SELECT DISTINCT doc_id, i, size FROM hits), LATERAL (SELECT unnest(range(0, size)) AS k) GROUP BY doc_id
+), hit_items AS (
+    SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+"""
+
+
+@register
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data, plain (counts, base digest) and disguised as well (spans)."""
+    found = pii.find_documents(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", sha256_hex(F.col("base")).alias("base_sha256"), "spans"
+    )
+
+
+@register
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, with the sentences that give offence."""
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality."""
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
