@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from contrail.llm import bpe, decontaminate, pii, quality, simhash, topk, toxicity
+from contrail.llm import bpe, decontaminate, licenses, pii, quality, simhash, topk, toxicity
 from contrail.llm.text import bound_batches, sha256_hex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +137,19 @@ SELECT query_id, CAST(row_number() OVER best AS INTEGER) AS rank, vec_id, score
 WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
 QUALIFY row_number() OVER best <= 5
 """
+
+
+@register
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's licence phrases and the labels its blocks meet."""
+    found = licenses.scan_documents(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_base",
+        "first_word",
+        "last_word",
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
