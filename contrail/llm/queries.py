@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from contrail.llm import bpe, decontaminate, licenses, pii, quality, simhash, topk, toxicity
+from contrail.llm import bpe, decontaminate, extract, licenses, pii, quality, simhash, topk, toxicity
 from contrail.llm.text import bound_batches, sha256_hex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,9 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join("labels", ",").alias("labels"),
         "score",
     )
+
+
+@register
+def op9_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    return extract.extract(table(spark, sf_dir, "pages"))
