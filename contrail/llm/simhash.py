@@ -168,6 +168,14 @@ def fingerprint_links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return links.distinct()
 
 
+def _rooted(marked: DataFrame, bucket: int) -> DataFrame:
+    """(fp, least, root) for every distinct fingerprint: its least document and the least fingerprint of its class."""
+    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    roots = connected(fingerprint_links(distinct.select("fp"), bucket))
+    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    return rooted.select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> DataFrame:
     """One row per document: its id, ``fp`` and ``component_id``, the smallest id its links reach.
 
@@ -176,10 +184,33 @@ def simhash_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     marked = docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text)).alias("fp"))
     marked = written(marked, "simhash-fingerprints")
-    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = connected(fingerprint_links(distinct.select("fp"), bucket))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    rooted = rooted.select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(marked, bucket)
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(smallest, "root").select("fp", "component_id")
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> DataFrame:
+    """One row of each class, with all its columns: the smallest id; of several rows with that id the least text hash.
+
+    A class whose ids are all null keeps one row too.
+    """
+    digest = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    marked = docs.select(F.col(doc_id).alias("doc_id"), digest.alias("th"), fingerprints(F.col(text)).alias("fp"))
+    marked = written(marked, "simhash-fingerprints")
+    roots = _rooted(marked, bucket).select("fp", "root")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
+    firsts = marked.join(roots, "fp").select("root", place.alias("place"))
+    # combined per task first, so a class of any size costs one row and a count from each
+    counts = firsts.groupBy("root", "place").agg(F.count(F.lit(1)).alias("n"))
+    best = written(counts.groupBy("root").agg(F.min(F.struct("place", "n")).alias("best")), "simhash-kept")
+    best = best.select(
+        F.col("best.place.doc_id").alias("_kept_id"), F.col("best.place.th").alias("_kept_th"), F.col("best.n").alias("_n")
+    )
+    same = F.col(doc_id).eqNullSafe(F.col("_kept_id")) & (digest == F.col("_kept_th"))
+    kept = docs.join(best.select("_kept_id", "_kept_th"), same, "left_semi")
+    if best.filter("_n > 1").isEmpty():
+        return kept
+    # some chosen rows are repeated: one of each stays
+    single = kept.withColumn("_kept_th", digest).dropDuplicates([doc_id, "_kept_th"])
+    return single.select(*docs.columns)
