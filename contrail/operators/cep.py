@@ -6,13 +6,14 @@ integer or decimal arithmetic on metres and metres per second.
 
 from __future__ import annotations
 
+import math
 from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from contrail.functions.geo import EARTH_KM, arc_km, leg, off_route_km, unit_vector
-from contrail.operators.spread import BROADCAST_ROWS, lookup_join, with_halo
+from contrail.operators.spread import lookup_join, with_halo
 from contrail.operators.upkeep import first_per_key
 from contrail.schemas import ANOMALIES, SEVERITIES
 
@@ -60,11 +61,9 @@ def sample_changes(
     samples = with_halo(distinct_samples(positions), "position_time", bucket_s, max(altitude_s, velocity_s))
     alt_up, alt_dn = _change("baro_altitude", altitude_s)
     vel_up, vel_dn = _change("velocity", velocity_s)
+    changes = {"alt_up": alt_up, "alt_dn": alt_dn, "vel_up": vel_up, "vel_dn": vel_dn}
     return (
-        samples.withColumn("alt_up", alt_up)
-        .withColumn("alt_dn", alt_dn)
-        .withColumn("vel_up", vel_up)
-        .withColumn("vel_dn", vel_dn)
+        samples.select("*", *[change.alias(name) for name, change in changes.items()])
         .filter("NOT is_context")
         .drop("bucket", "is_context")
     )
@@ -104,65 +103,86 @@ def route_deviations(positions: DataFrame, flights: DataFrame, airports: DataFra
     return tied.withColumn("off_route_km", away).filter(F.col("off_route_km") >= limit_km).drop("_p", "_leg")
 
 
-def _cell(column: Column, offset: int, size: int) -> Column:
-    return F.floor((column.cast("double") + offset) / size).cast("int")
+GRID = (20, 4, 1)  # degrees of the cells, each a multiple of the next
 
 
-def _airport_lists(airports: DataFrame, size: int) -> DataFrame:
-    """Candidate airports per cell: all that lie in the cell or one of its eight neighbours."""
-    lat, lon = F.col("latitude"), F.col("longitude")
-    candidate = F.struct(F.col("airport_code").alias("code"), unit_vector(lat, lon).alias("v"))
-    # a cell of 360 degrees is the whole sphere and has no neighbours
-    near = F.array(*[F.lit(i) for i in ((0,) if size >= 360 else (-1, 0, 1))])
-    return (
-        airports.filter("latitude IS NOT NULL AND longitude IS NOT NULL")
-        .withColumn("_dx", F.explode(near))
-        .withColumn("_dy", F.explode(near))
-        .groupBy(
-            F.pmod(_cell(lon, 180, size) + F.col("_dx"), F.lit(360 // size)).alias("_x"),
-            (_cell(lat, 90, size) + F.col("_dy")).alias("_y"),
-        )
-        .agg(F.collect_set(candidate).alias("_near"))
+def _cells(latitude: Column, longitude: Column, size: int) -> tuple[Column, Column]:
+    """Numbers of the cell, eastward and northward; longitudes wrap, the pole belongs to the last row."""
+    x = F.pmod(F.floor((longitude.cast("double") + 180) / size), F.lit(360 // size))
+    y = F.least(F.floor((latitude.cast("double") + 90) / size), F.lit(180 // size - 1))
+    return x.cast("int"), F.greatest(y, F.lit(0)).cast("int")
+
+
+def _closest_per_cell(candidates: DataFrame, size: int) -> DataFrame:
+    """Keeps, per cell, the airports that may be nearest to some point of the cell.
+
+    What is nearest to any point of a cell is at most two cell radii farther from its
+    middle than the airport nearest to the middle.
+    """
+    middle = unit_vector((F.col("_y") + 0.5) * size - 90, (F.col("_x") + 0.5) * size - 180)
+    radius = EARTH_KM * math.radians(size * 0.7072)  # from the middle to a corner, at most
+    away = candidates.withColumn("_km", arc_km(F.col("v"), middle))
+    closest = F.min("_km").over(W.partitionBy("_x", "_y"))
+    return away.withColumn("_least", closest).filter(F.col("_km") <= F.col("_least") + 2 * radius + 0.01).drop(
+        "_km", "_least"
     )
 
 
-def nearest_airport(
-    positions: DataFrame, airports: DataFrame, cell_degrees: tuple[int, ...] = (1, 4, 20)
-) -> DataFrame:
+def airport_candidates(airports: DataFrame, cells: DataFrame) -> DataFrame:
+    """(_x, _y, code, v): for each wanted cell of the finest grid the airports that may be nearest in it.
+
+    ``cells`` holds distinct (_x, _y). Cells are refined level by level, every level
+    starting from what the coarser one left.
+    """
+    coarse, finest = GRID[0], GRID[-1]
+    lat, lon = F.col("latitude"), F.col("longitude")
+    placed = airports.filter("latitude IS NOT NULL AND longitude IS NOT NULL").select(
+        F.col("airport_code").alias("code"), unit_vector(lat, lon).alias("v")
+    )
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # a fixed number of coarse cells per airport
+    found = placed.withColumn("_x", every(360 // coarse)).withColumn("_y", every(180 // coarse))
+    parent = coarse
+    for size in GRID:
+        if size != parent:
+            step = parent // size
+            found = found.withColumn("_i", every(step)).withColumn("_j", every(step))
+            found = found.withColumn("_x", F.col("_x") * step + F.col("_i"))
+            found = found.withColumn("_y", F.col("_y") * step + F.col("_j")).drop("_i", "_j")
+        ratio = size // finest
+        wanted = cells.select(
+            F.floor(F.col("_x") / ratio).cast("int").alias("_x"), F.floor(F.col("_y") / ratio).cast("int").alias("_y")
+        ).distinct()
+        # at most one row per cell of the sphere
+        found = _closest_per_cell(found.join(F.broadcast(wanted), ["_x", "_y"], "left_semi"), size)
+        parent = size
+    return found
+
+
+def nearest_airport(positions: DataFrame, airports: DataFrame) -> DataFrame:
     """Adds the nearest airport and its distance to every position that has a place.
 
-    Each cell carries the list of airports in and around it, so a position meets
-    its candidates by an equi-join on its own cell and stays one row. A result
-    counts when it is closer than anything outside those cells can be; the rest
-    goes on to coarser cells and at last to the list of all airports (a list
-    bounded by the four-character code), so the answer is exact.
+    Each one-degree cell that holds a position carries the airports that may be nearest
+    inside it, so a position meets all it has to compare by one equi-join on its
+    cell and stays one row. The answer is exact; ties go to the lower code.
     """
     lat, lon = F.col("latitude"), F.col("longitude")
+    finest = GRID[-1]
+    has_place = lat.isNotNull() & lon.isNotNull()
+    x, y = _cells(lat, lon, finest)
+    keyed = positions.withColumn("_x", F.when(has_place, x)).withColumn("_y", F.when(has_place, y))
+    cells = keyed.filter(has_place).select("_x", "_y").distinct()
+    candidates = airport_candidates(airports, cells)
+    lists = candidates.groupBy("_x", "_y").agg(F.collect_set(F.struct("code", "v")).alias("_near"))
+    met = lookup_join(keyed, lists, ["_x", "_y"], counted=candidates)
+    place = unit_vector(lat, lon)
 
     def distance_and_code(a: Column) -> Column:
         return F.struct(F.round(arc_km(a["v"], F.col("_v")), 3).alias("km"), a["code"].alias("code"))
 
-    result = positions.withColumn("_best", F.lit(None).cast("struct<km:double, code:string>")).withColumn(
-        "_v", unit_vector(lat, lon)
-    )
-    for size in (*cell_degrees, 360):
-        accepted = F.col("_found")
-        if size < 360:
-            # the closest that a point outside the 3 x 3 cells can be
-            side = F.asin(F.cos(F.radians(lat.cast("double"))) * F.sin(F.radians(F.lit(float(size)))))
-            reach = EARTH_KM * F.least(F.radians(F.lit(float(size))), side)
-            accepted = F.when(F.col("_found.km") < F.round(reach, 3), F.col("_found"))
-        is_open = F.col("_best").isNull() & lat.isNotNull() & lon.isNotNull()
-        keyed = result.withColumn(
-            "_x", F.when(is_open, F.pmod(_cell(lon, 180, size), F.lit(360 // size)))
-        ).withColumn("_y", F.when(is_open, _cell(lat, 90, size)))
-        # at most nine lists per airport
-        lists = _airport_lists(airports, size)
-        result = lookup_join(keyed, lists, ["_x", "_y"], small_rows=BROADCAST_ROWS // 9, counted=airports)
-        result = result.withColumn("_found", F.array_min(F.transform("_near", distance_and_code)))
-        result = result.withColumn("_best", F.coalesce("_best", accepted)).drop("_x", "_y", "_near", "_found")
-    named = result.withColumn("nearest_code", F.col("_best.code")).withColumn("nearest_km", F.col("_best.km"))
-    return named.drop("_best", "_v")
+    best = met.withColumn("_v", place).withColumn("_best", F.array_min(F.transform("_near", distance_and_code)))
+    named = best.withColumn("nearest_code", F.col("_best.code")).withColumn("nearest_km", F.col("_best.km"))
+    return named.drop("_best", "_v", "_x", "_y", "_near")
 
 
 def ground_proximity(
@@ -199,22 +219,40 @@ def anomaly_rows(
     two generated texts stay null.
     """
     changes = sample_changes(positions)
-    span = F.greatest(F.col("d_up"), -F.col("d_dn"))
     text = lambda c: F.coalesce(c.cast("string"), F.lit("?"))
     place = F.concat(F.lit(" at "), text(F.col("latitude")), F.lit(", "), text(F.col("longitude")))
 
-    altitude = altitude_spikes(changes).select(
-        "*",
-        F.lit("altitude_spike").alias("event_type"),
-        severity(span, F.lit(ALTITUDE_M)).alias("severity"),
-        F.concat(F.lit("altitude change "), text(span), F.lit(" m in 30 s"), place).alias("description"),
-    )
-    velocity = velocity_spikes(changes).select(
+    # both spike rules from one pass: a sample gives one row per rule it breaks
+    climb, speed = (F.greatest(F.col(f"{c}_up"), -F.col(f"{c}_dn")) for c in ("alt", "vel"))
+    spikes = changes.select(
         "*",
-        F.lit("velocity_spike").alias("event_type"),
-        severity(span * 3600, F.lit(Decimal(KNOTS_100_M_PER_H))).alias("severity"),
-        F.concat(F.lit("speed change "), text(span), F.lit(" m/s in 60 s"), place).alias("description"),
-    )
+        F.explode(
+            F.array_compact(
+                F.array(
+                    F.when(
+                        is_altitude_spike(),
+                        F.struct(
+                            F.lit("altitude_spike").alias("event_type"),
+                            severity(climb, F.lit(ALTITUDE_M)).alias("severity"),
+                            F.concat(F.lit("altitude change "), text(climb), F.lit(" m in 30 s"), place).alias(
+                                "description"
+                            ),
+                        ),
+                    ),
+                    F.when(
+                        is_velocity_spike(),
+                        F.struct(
+                            F.lit("velocity_spike").alias("event_type"),
+                            severity(speed * 3600, F.lit(Decimal(KNOTS_100_M_PER_H))).alias("severity"),
+                            F.concat(F.lit("speed change "), text(speed), F.lit(" m/s in 60 s"), place).alias(
+                                "description"
+                            ),
+                        ),
+                    ),
+                )
+            )
+        ).alias("hit"),
+    ).select("*", "hit.*")
     off = route_deviations(on_route, flights, airports).withColumn(
         "km", F.col("off_route_km").cast("decimal(12,2)")
     )
@@ -256,7 +294,7 @@ def anomaly_rows(
             F.lit(None).cast("timestamp").alias("resolved_at"),
             F.col("position_time").alias("created_at"),
         )
-        for df in (altitude, velocity, route, low)
+        for df in (spikes, route, low)
     ]
     return reduce(DataFrame.unionByName, shaped)
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from contrail.session import written
 
-NODE_SCHEMA = "tree int, node int, feature int, split double, low int, high int, depth double"
+NODE_SCHEMA = "tree int, drawn int, node int, feature int, split double, low int, high int, depth double"
 
 
 def mean_path(n: float) -> float:
@@ -85,6 +85,7 @@ def grow_forest(samples: DataFrame, id_col: str, features: list[str], size: int,
         rng = np.random.default_rng([seed, int(key[0])])
         nodes = _grow(pdf[features].to_numpy(dtype="float64"), rng, limit)
         out = pd.DataFrame(nodes, columns=["node", "feature", "split", "low", "high", "depth"])
+        out.insert(0, "drawn", len(pdf))
         out.insert(0, "tree", int(key[0]))
         return out
 
@@ -111,7 +112,9 @@ def isolation_scores(
         for _, g in nodes.groupby("tree")
     ]
     shared = rows.sparkSession.sparkContext.broadcast(forest)
-    norm = mean_path(min(size, max(2, int(nodes.groupby("tree").size().max() + 1) // 2)) if len(nodes) else 2)
+    # the path length is measured against the samples the trees were really grown from
+    drawn = nodes.groupby("tree")["drawn"].first().mean() if len(nodes) else 2
+    norm = mean_path(max(2.0, drawn))
     steps = max(1, math.ceil(math.log2(size)))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

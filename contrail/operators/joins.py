@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from contrail.operators.spread import last_known, lookup_join, stab_intervals
+from contrail.operators.spread import best_interval, last_known, lookup_join
 
 
 def _prefixed(df: DataFrame, key: str, as_key: str, prefix: str, columns: list[str]) -> DataFrame:
@@ -49,7 +49,7 @@ def with_local_flight_date(flights: DataFrame, airports: DataFrame) -> DataFrame
     return joined.withColumn("flight_date", F.to_date(local)).drop("timezone")
 
 
-def attach_flights(positions: DataFrame, flights: DataFrame, tick_s: int = 60) -> DataFrame:
+def attach_flights(positions: DataFrame, flights: DataFrame) -> DataFrame:
     """Fill the flight of each position from the flight times of its aircraft.
 
     A position belongs to the flight in the air at its time, actual times before
@@ -61,10 +61,7 @@ def attach_flights(positions: DataFrame, flights: DataFrame, tick_s: int = 60) -
         F.coalesce("actual_dep_time", "scheduled_dep_time").alias("dep"),
         F.coalesce("actual_arr_time", "scheduled_arr_time").alias("arr"),
     )
-    found = stab_intervals(
-        positions, times, "icao24", "position_id", "position_time", "dep", "arr", "flight_id", ["dep"], tick_s
-    )
-    return positions.drop("flight_id").join(found, "position_id", "left")
+    return best_interval(positions.drop("flight_id"), times, "icao24", "position_time", "dep", "arr", "flight_id")
 
 
 def weather_before(

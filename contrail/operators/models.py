@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from contrail.operators.spread import lookup_join
+from contrail.session import written
+
 TEXT = ["carrier_code", "origin_airport"]
 NUMBERS = [
     "dep_hour",
@@ -40,20 +45,50 @@ def split_by_time(rows: DataFrame, share: float = 0.8) -> tuple[DataFrame, DataF
     return rows.filter(when <= at), rows.filter(when > at)
 
 
-def fit(train: DataFrame, iterations: int = 10, depth: int = 4, bins: int = 64, seed: int = 11) -> PipelineModel:
-    """``bins`` must reach the number of carriers and of airports."""
-    indexed = [c + "_index" for c in TEXT]
-    return Pipeline(
+@dataclass
+class DelayModel:
+    """Trees over numbers, and the mean delay that stands for each carrier and origin."""
+
+    trees: PipelineModel
+    means: dict[str, DataFrame]
+    overall: float
+
+
+def _encoded(rows: DataFrame, means: dict[str, DataFrame], overall: float) -> DataFrame:
+    """Text columns as the mean delay of their value in training; unknown values as the overall mean."""
+    for column, table in means.items():
+        rows = lookup_join(rows, table, [column])
+        rows = rows.withColumn(f"{column}_mean", F.coalesce(f"{column}_mean", F.lit(overall)))
+    return rows
+
+
+def fit(train: DataFrame, iterations: int = 10, depth: int = 4, seed: int = 11, weight: float = 20.0) -> DelayModel:
+    """Carriers and airports become numbers, so any count of them will do.
+
+    A value's mean is drawn towards the overall mean as if ``weight`` more rows had that one.
+    """
+    overall = float(train.agg(F.avg("label").alias("m")).first()["m"] or 0.0)
+    means = {}
+    for column in TEXT:
+        mean = (F.sum("label") + F.lit(overall * weight)) / (F.count("label") + F.lit(weight))
+        table = train.groupBy(column).agg(F.round(mean, 6).alias(f"{column}_mean"))
+        means[column] = written(table, "delay-means")
+    inputs = [f"{c}_mean" for c in TEXT] + NUMBERS
+    trees = Pipeline(
         stages=[
-            StringIndexer(inputCols=TEXT, outputCols=indexed, handleInvalid="keep", stringOrderType="alphabetAsc"),
-            VectorAssembler(inputCols=indexed + NUMBERS, outputCol="features"),
-            GBTRegressor(labelCol="label", maxIter=iterations, maxDepth=depth, maxBins=bins, seed=seed),
+            VectorAssembler(inputCols=inputs, outputCol="features"),
+            GBTRegressor(labelCol="label", maxIter=iterations, maxDepth=depth, seed=seed),
         ]
-    ).fit(train)
+    ).fit(_encoded(train, means, overall))
+    return DelayModel(trees, means, overall)
+
+
+def predict(model: DelayModel, rows: DataFrame) -> DataFrame:
+    return model.trees.transform(_encoded(rows, model.means, model.overall))
 
 
-def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    return model.transform(rows).select("flight_id", "label", "prediction")
+def score(model: DelayModel, rows: DataFrame) -> DataFrame:
+    return predict(model, rows).select("flight_id", "label", "prediction")
 
 
 def permuted_copies(rows: DataFrame, group_rows: int = 1000) -> DataFrame:
@@ -76,9 +111,9 @@ def permuted_copies(rows: DataFrame, group_rows: int = 1000) -> DataFrame:
     return spread.select("flight_id", "label", "changed", *swapped)
 
 
-def permutation_importance(model: PipelineModel, rows: DataFrame) -> DataFrame:
+def permutation_importance(model: DelayModel, rows: DataFrame) -> DataFrame:
     """Rise of the mean absolute error when one feature is permuted. This is not SHAP."""
-    scored = model.transform(permuted_copies(rows))
+    scored = predict(model, permuted_copies(rows))
     errors = scored.groupBy("changed").agg(
         F.avg(F.abs(F.col("label") - F.col("prediction"))).alias("mae"), F.count(F.lit(1)).alias("rows")
     )

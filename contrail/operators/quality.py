@@ -13,15 +13,19 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def _columns_failing(df: DataFrame, table: str, rule: str, tests: dict[str, Column]) -> DataFrame:
-    """One scan: rows checked and rows failing per column."""
-    counts = [F.count(F.when(test, 1)).alias(name) for name, test in tests.items()]
+def _columns_failing(df: DataFrame, table: str, tests: dict[tuple[str, str], Column]) -> DataFrame:
+    """One scan: rows checked and rows failing per (rule, column)."""
+    names = {f"_{number}": key for number, key in enumerate(tests)}
+    counts = [F.count(F.when(tests[key], 1)).alias(name) for name, key in names.items()]
     totals = df.agg(F.count(F.lit(1)).alias("_rows"), *counts)
-    cases = F.explode(
-        F.array(*[F.struct(F.lit(name).alias("column"), F.col(name).alias("failed")) for name in tests])
+    cases = F.array(
+        *[
+            F.struct(F.lit(rule).alias("rule"), F.lit(column).alias("column"), F.col(name).alias("failed"))
+            for name, (rule, column) in names.items()
+        ]
     )
-    return totals.select(F.col("_rows").alias("checked"), cases.alias("c")).select(
-        F.lit(rule).alias("rule"), F.lit(table).alias("table"), "c.column", "checked", "c.failed"
+    return totals.select(F.col("_rows").alias("checked"), F.explode(cases).alias("c")).select(
+        "c.rule", F.lit(table).alias("table"), "c.column", "checked", "c.failed"
     )
 
 
@@ -64,21 +68,40 @@ def typed_load(raw: DataFrame, table: Table) -> tuple[DataFrame, DataFrame]:
     return raw.select(typed), rejects
 
 
+def rules(df: DataFrame, table: Table, kinds: tuple[str, ...]) -> dict[tuple[str, str], Column]:
+    """The row-wise rules of a table that ``df`` has the columns for, by (rule, column)."""
+    held = [c for c in table.columns if c.name in df.columns]
+    tests = {}
+    if "type" in kinds:
+        tests |= {
+            ("type", c.name): F.col(c.name).isNotNull() & fit_type(c.name, c.type).isNull()
+            for c in held
+            if c.type != "string"
+        }
+    if "length" in kinds:
+        tests |= {("length", c.name): F.length(F.col(c.name)) > c.length for c in held if c.length}
+    if "not_null" in kinds:
+        tests |= {("not_null", c.name): F.col(c.name).isNull() for c in held if c.required}
+    if "enum" in kinds:
+        tests |= {("enum", name): ~F.col(name).isin(values) for name, values in table.enums.items()}
+    return tests
+
+
+def checks(df: DataFrame, table: Table, *kinds: str) -> DataFrame:
+    """Type, length, not-null and enum rules of one table, counted together in one scan."""
+    return _columns_failing(df, table.name, rules(df, table, kinds))
+
+
 def too_long(df: DataFrame, table: Table) -> DataFrame:
-    tests = {
-        c.name: F.length(F.col(c.name)) > c.length for c in table.columns if c.length and c.name in df.columns
-    }
-    return _columns_failing(df, table.name, "length", tests)
+    return checks(df, table, "length")
 
 
 def missing(df: DataFrame, table: Table) -> DataFrame:
-    tests = {c.name: F.col(c.name).isNull() for c in table.columns if c.required and c.name in df.columns}
-    return _columns_failing(df, table.name, "not_null", tests)
+    return checks(df, table, "not_null")
 
 
 def outside_enum(df: DataFrame, table: Table) -> DataFrame:
-    tests = {name: ~F.col(name).isin(values) for name, values in table.enums.items()}
-    return _columns_failing(df, table.name, "enum", tests)
+    return checks(df, table, "enum")
 
 
 def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -101,38 +124,41 @@ def key_report(df: DataFrame, table: Table) -> DataFrame:
 def orphans(df: DataFrame, table: Table, parents: dict[str, DataFrame]) -> DataFrame:
     """Per foreign key: rows whose value has no parent, and how many distinct values.
 
-    Child rows are counted per value before the shuffle, so a value that a third
-    of the rows share costs one row.
+    One pass over the child for all its keys. Child rows are counted per value before
+    the shuffle, so a value that a third of the rows share costs one row; a parent
+    key that repeats counts once.
     """
-    reports = []
-    for column, (parent, parent_key) in table.parents.items():
-        values = df.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-        known = parents[parent].select(F.col(parent_key).alias("v"), F.lit(True).alias("known"))
-        lost = F.col("v").isNotNull() & F.col("known").isNull()
-        reports.append(
-            values.join(known, "v", "left").agg(
-                F.sum("n").alias("checked"),
-                F.coalesce(F.sum(F.when(lost, F.col("n"))), F.lit(0)).alias("failed"),
-                F.count(F.when(lost, 1)).alias("failed_values"),
-            ).select(
-                F.lit("foreign_key").alias("rule"),
-                F.lit(table.name).alias("table"),
-                F.lit(column).alias("column"),
-                "checked",
-                "failed",
-                "failed_values",
+    columns = list(table.parents)
+    pairs = F.array(
+        *[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in columns]
+    )
+    values = df.select(F.explode(pairs).alias("p")).groupBy("p.column", "p.v").agg(F.count(F.lit(1)).alias("n"))
+    used: dict[tuple[str, str], list[str]] = {}
+    for column, parent in table.parents.items():
+        used.setdefault(parent, []).append(column)
+    known = _union(
+        [
+            parents[parent].select(
+                F.explode(F.array(*[F.lit(c) for c in of])).alias("column"),
+                F.col(key).cast("string").alias("v"),
             )
-        )
-    return _union(reports)
+            for (parent, key), of in used.items()
+        ]
+    ).distinct()
+    lost = F.col("v").isNotNull() & F.col("known").isNull()
+    joined = values.join(known.withColumn("known", F.lit(True)), ["column", "v"], "left")
+    counted = joined.groupBy("column").agg(
+        F.sum("n").alias("checked"),
+        F.coalesce(F.sum(F.when(lost, F.col("n"))), F.lit(0)).alias("failed"),
+        F.count(F.when(lost, 1)).alias("failed_values"),
+    )
+    return counted.select(
+        F.lit("foreign_key").alias("rule"), F.lit(table.name).alias("table"), "column", "checked", "failed", "failed_values"
+    )
 
 
 def load_report(raw: DataFrame, table: Table) -> DataFrame:
-    tests = {
-        c.name: F.col(c.name).isNotNull() & fit_type(c.name, c.type).isNull()
-        for c in table.columns
-        if c.type != "string" and c.name in raw.columns
-    }
-    return _columns_failing(raw, table.name, "type", tests)
+    return checks(raw, table, "type")
 
 
 def report(parts: list[DataFrame]) -> DataFrame:

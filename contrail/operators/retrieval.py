@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from contrail.operators.spread import lookup_join
 
-MAX_QUERIES = 4096
+QUERY_BLOCK = 4096
 
 
 def chunks(documents: DataFrame, size: int = 64, stride: int = 50) -> DataFrame:
@@ -30,61 +30,92 @@ def chunks(documents: DataFrame, size: int = 64, stride: int = 50) -> DataFrame:
     )
 
 
+def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
+    """Vectors that can be compared: not null, not empty, no null or non-finite component, not all zero."""
+    finite = F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return vectors.filter(F.col(column).isNotNull() & finite & F.exists(column, lambda x: x != 0))
+
+
 def label_centroids(embeddings: DataFrame) -> DataFrame:
-    """One query vector per label: the mean of its vectors, as (query_id, vector)."""
-    parts = embeddings.select("label", F.posexplode("embedding").alias("i", "x"))
+    """One query vector per label: the mean of its vectors, as (query_id, vector). Rows without a label ask nothing."""
+    named = usable(embeddings).filter("label IS NOT NULL")
+    parts = named.select("label", F.posexplode("embedding").alias("i", "x"))
     means = parts.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     # one group holds as many rows as a vector has dimensions
     vectors = means.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("v"))
     return vectors.select(F.col("label").cast("bigint").alias("query_id"), F.col("v.m").alias("vector"))
 
 
-def top_passages(passages: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """The k passages of highest cosine per query vector; ties go to the lower id.
-
-    Exact: each task multiplies its passages with the query matrix and keeps its k
-    best per query, then these are merged. The query side is counted; more
-    than ``MAX_QUERIES`` are worked off in several passes.
-    """
-    rows = queries.orderBy("query_id").limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        low = rows[MAX_QUERIES]["query_id"]
-        head = top_passages(passages, queries.filter(F.col("query_id") < low), k)
-        return head.unionByName(top_passages(passages, queries.filter(F.col("query_id") >= low), k))
-    ids = np.array([r["query_id"] for r in rows], dtype="int64")
-    matrix = np.array([r["vector"] for r in rows], dtype="float64").reshape(len(rows), -1)
+def _block_passages(passages: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int) -> DataFrame:
+    """The k best passages per query and task, for one block of queries."""
 
     def best_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
-        kept = [pd.DataFrame({"vec_id": [], "score": []}) for _ in ids]
+        owner, vec, score = np.zeros(0, int), np.zeros(0, "int64"), np.zeros(0)
         for batch in batches:
             if batch.empty:
                 continue
             vectors = np.vstack(batch["embedding"].to_numpy()).astype("float64")
-            scores = np.round(unit @ (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).T, 9)
-            for q in range(len(ids)):
-                rows = pd.DataFrame({"vec_id": batch["vec_id"], "score": scores[q]})
-                joined = rows if kept[q].empty else pd.concat([kept[q], rows])
-                kept[q] = joined.sort_values(["score", "vec_id"], ascending=[False, True]).head(k)
-        for q, rows in zip(ids, kept):
-            if not rows.empty:
-                yield pd.DataFrame(
-                    {"query_id": q, "vec_id": rows["vec_id"].astype("int64"), "score": rows["score"]}
-                )
-
-    partial = passages.select("vec_id", "embedding").mapInPandas(
-        best_of, "query_id bigint, vec_id bigint, score double"
-    )
+            found = np.round(unit @ (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).T, 9)
+            # only scores that reach the batch's own k-th best can matter; ties stay in
+            low = max(0, found.shape[1] - k)
+            least = np.partition(found, low, axis=1)[:, low]
+            rows, columns = np.nonzero(found >= least[:, None])
+            owner = np.concatenate([owner, rows])
+            vec = np.concatenate([vec, batch["vec_id"].to_numpy("int64")[columns]])
+            score = np.concatenate([score, found[rows, columns]])
+            order = np.lexsort((vec, -score, owner))
+            owner, vec, score = owner[order], vec[order], score[order]
+            kept = np.arange(len(owner)) - np.searchsorted(owner, owner) < k
+            owner, vec, score = owner[kept], vec[kept], score[kept]
+        if len(owner):
+            yield pd.DataFrame({"query_id": ids[owner], "vec_id": vec, "score": score})
+
+    return passages.mapInPandas(best_of, "query_id bigint, vec_id bigint, score double")
+
+
+def top_passages(passages: DataFrame, queries: DataFrame, k: int = 5, block: int = QUERY_BLOCK) -> DataFrame:
+    """The k passages of highest cosine per query vector; ties go to the lower id.
+
+    Exact: each task multiplies its passages with the query matrix and keeps its k
+    best per query, then these are merged. Queries go to the tasks in blocks of about
+    ``block``, chosen by a hash of the id; the passages are read once per block. Vectors that
+    cannot be compared and queries without an id take no part.
+    """
+    known = usable(passages).select("vec_id", "embedding")
+    asked = usable(queries, "vector").filter("query_id IS NOT NULL").dropDuplicates(["query_id"])
+    blocks = max(1, -(-asked.count() // block))
+    partial = None
+    for number in range(blocks):
+        part = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number)
+        rows = sorted(part.select("query_id", "vector").collect())
+        ids = np.array([r["query_id"] for r in rows], dtype="int64")
+        matrix = np.array([r["vector"] for r in rows], dtype="float64").reshape(len(rows), -1)
+        found = _block_passages(known if len(ids) else known.limit(0), ids, matrix, k)
+        partial = found if partial is None else partial.unionByName(found)
     # the planner keeps k per query inside each task before the shuffle
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def passages_by_topic(topics: DataFrame, best: DataFrame, texts: DataFrame) -> DataFrame:
+    """One row per event type with ids and texts of its passages, best first.
+
+    ``topics`` says which query stands for which event type, ``texts`` holds a text per vector.
+    """
+    found = best.join(topics, "query_id").select("event_type", "rank", "vec_id")
+    told = lookup_join(found, texts.select("vec_id", F.col("text")), ["vec_id"], small_rows=0)
+    listed = told.groupBy("event_type").agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id", "text"))).alias("p"))
+    return listed.select(
+        "event_type", F.col("p.vec_id").alias("passages"), F.transform("p", lambda x: x["text"]).alias("passage_texts")
+    )
+
+
 def grounding_records(anomalies: DataFrame, passages: DataFrame) -> DataFrame:
     """Per anomaly one JSON record of what is known about it; the generated texts stay null.
 
     ``anomalies`` carry flight and weather columns; ``passages`` is one row per
-    event type with its passage ids.
+    event type with the ids and texts of its passages.
     """
     record = F.to_json(
         F.struct(
@@ -97,7 +128,9 @@ def grounding_records(anomalies: DataFrame, passages: DataFrame) -> DataFrame:
             F.struct("flight_id", "carrier_code", "origin_airport", "dest_airport").alias("flight"),
             F.struct("observed_at", "wind_speed_knots", "visibility_miles").alias("weather"),
             "passages",
+            "passage_texts",
         ),
         {"ignoreNullFields": "false"},
     )
-    return lookup_join(anomalies, passages, ["event_type"]).withColumn("grounding", record)
+    # at most one row per event type, so nothing has to be counted
+    return anomalies.join(F.broadcast(passages), "event_type", "left").withColumn("grounding", record)

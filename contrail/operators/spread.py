@@ -7,8 +7,10 @@ unique side either broadcast after a size check or split the hot keys.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from weakref import WeakKeyDictionary
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 BROADCAST_ROWS = 100_000
@@ -132,101 +134,105 @@ def last_known(
     )
 
 
-def block_spans(first: Column, last: Column, radix: int, levels: int) -> Column:
-    """Aligned blocks that tile the closed integer range [first, last] exactly.
+def interval_segments(
+    intervals: DataFrame, key: str, start: str, end: str, value: str, bucket_s: int
+) -> DataFrame:
+    """Disjoint segments per (key, time bucket), each with the interval that started last.
 
-    A block of level l holds ``radix ** l`` integers. The result is an array of
-    (level, lo, hi) runs of blocks, empty where lo > hi; the top level is used
-    without an upper limit, so no range is too long to tile.
+    Columns: key, ``bucket``, ``lo``, ``hi`` (microseconds, both inclusive) and the value. Intervals
+    are cut at the bucket bounds, so the sweep over a bucket needs no other one; it keeps
+    the intervals that are open on a stack, the latest on top.
     """
-    runs = []
-    for level in range(levels):
-        size = radix**level
-        lo, hi = F.ceil(first / F.lit(size)), F.floor((last + 1) / F.lit(size)) - 1
-        if level == levels - 1:
-            ends = [(lo, hi)]
-        else:
-            outer = size * radix
-            outer_lo, outer_hi = F.ceil(first / F.lit(outer)), F.floor((last + 1) / F.lit(outer)) - 1
-            inside = outer_hi >= outer_lo
-            ends = [
-                (lo, F.when(inside, outer_lo * radix - 1).otherwise(hi)),
-                (F.when(inside, (outer_hi + 1) * radix).otherwise(hi + 1), hi),
-            ]
-        runs += [
-            F.struct(F.lit(level).alias("level"), start.cast("long").alias("lo"), stop.cast("long").alias("hi"))
-            for start, stop in ends
-        ]
-    return F.array(*runs)
-
-
-def stab_intervals(
+    width = bucket_s * 1_000_000
+    first, last = F.unix_micros(start), F.unix_micros(end)
+    cut = (
+        intervals.filter(F.col(key).isNotNull() & (F.col(start) <= F.col(end)))
+        .select(key, first.alias("begun"), last.alias("over"), F.col(value).cast("bigint").alias(value))
+        .withColumn(
+            "bucket",
+            F.explode(
+                F.sequence(
+                    F.floor(F.col("begun") / F.lit(width)).cast("bigint"),
+                    F.floor(F.col("over") / F.lit(width)).cast("bigint"),
+                )
+            ),
+        )
+        .withColumn("lo", F.greatest("begun", F.col("bucket") * width))
+        .withColumn("hi", F.least("over", (F.col("bucket") + 1) * width - 1))
+        .select(key, "bucket", "begun", "lo", "hi", value)
+    )
+    ordered = cut.repartition(key, "bucket").sortWithinPartitions(key, "bucket", "begun", value)
+    columns = [key, "bucket", "lo", "hi", value]
+
+    def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, now, stack = None, 0, []
+
+        def close(until: float, out: list[tuple]) -> None:
+            """Write what the open intervals cover before ``until``."""
+            nonlocal now
+            while stack and now < until:
+                hi, owner = stack[-1]
+                if hi < now:
+                    stack.pop()
+                    continue
+                out.append((*group, now, int(min(hi, until - 1)), owner))
+                now = int(min(hi + 1, until))
+
+        for batch in batches:
+            out: list[tuple] = []
+            for k, bucket, lo, hi, owner in batch[columns].itertuples(index=False):
+                if (k, bucket) != group:
+                    close(float("inf"), out)
+                    stack.clear()
+                    group = (k, bucket)
+                else:
+                    close(lo, out)
+                now = lo
+                stack.append((hi, owner))
+            yield pd.DataFrame(out, columns=columns)
+        out = []
+        close(float("inf"), out)
+        yield pd.DataFrame(out, columns=columns)
+
+    kind = intervals.schema[key].dataType.simpleString()
+    return ordered.mapInPandas(sweep, f"{key} {kind}, bucket bigint, lo bigint, hi bigint, {value} bigint")
+
+
+def best_interval(
     points: DataFrame,
     intervals: DataFrame,
     key: str,
-    point_id: str,
-    point_time: str,
+    time: str,
     start: str,
     end: str,
     value: str,
-    rank: list[str],
-    tick_s: int = 60,
-    radix: int = 8,
-    levels: int = 4,
+    bucket_s: int = 3600,
 ) -> DataFrame:
-    """For each point, the highest-ranked interval of its key that holds it.
+    """Points with the value of the interval of their key that holds their time, else null.
 
-    Returns (``point_id``, ``value``) for points inside some interval. Both ends
-    are inclusive. Interval ends must be whole ticks; points may fall anywhere.
-    Intervals are tiled by aligned blocks and the best interval per block is kept
-    on the map side, so overlapping intervals never multiply into pairs.
+    Both ends are inclusive, to the microsecond. Of several intervals the one that started
+    last counts, then the highest value. Points are shuffled once, by key and time bucket; inside
+    a bucket each takes the last segment that started before it.
     """
-    tick = tick_s * 1_000_000
-
-    def code(column: str) -> Column:
-        # 2t for the instant of tick t, 2t+1 for what lies between t and t+1
-        micros = F.unix_micros(column)
-        whole = F.floor(micros / F.lit(tick)).cast("long")
-        return 2 * whole + F.when(micros % tick != 0, 1).otherwise(0)
-
-    tiles = (
-        intervals.filter(F.col(key).isNotNull() & (F.col(start) <= F.col(end)))
-        .select(
-            key,
-            F.struct(*rank).alias("_rank"),
-            F.col(value).alias("_value"),
-            F.explode(block_spans(code(start), code(end), radix, levels)).alias("_run"),
-        )
-        .filter("_run.lo <= _run.hi")
-        .select(key, "_rank", "_value", "_run.level", F.explode(F.sequence("_run.lo", "_run.hi")).alias("block"))
-        .groupBy(key, "level", "block")
-        .agg(F.max(F.struct("_rank", "_value")).alias("_best"))
-    )
-    probes = (
-        points.select(key, point_id, code(point_time).alias("_code"))
-        .select(
-            key,
-            point_id,
-            F.explode(
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(lv).alias("level"),
-                            F.floor(F.col("_code") / F.lit(radix**lv)).cast("long").alias("block"),
-                        )
-                        for lv in range(levels)
-                    ]
-                )
-            ).alias("_tile"),
-        )
-        .select(key, point_id, "_tile.level", "_tile.block")
-    )
-    hits = lookup_join(probes, tiles, [key, "level", "block"], "inner", small_rows=0)
-    return (
-        hits.groupBy(point_id)
-        .agg(F.max("_best").alias("_best"))
-        .select(point_id, F.col("_best._value").alias(value))
+    segments = interval_segments(intervals, key, start, end, value, bucket_s)
+    at = F.unix_micros(time)
+    # points that nothing can hold are spread over tasks
+    bucket = F.coalesce(F.floor(at / F.lit(bucket_s * 1_000_000)), F.xxhash64(*points.columns) % 4096).cast("bigint")
+    bucket = F.when(F.col(key).isNull(), F.xxhash64(*points.columns) % 4096).otherwise(bucket)
+    probes = points.select(*points.columns, bucket.alias("_b"), at.alias("_t"), F.lit(True).alias("_point"))
+    starts = segments.select(
+        key,
+        F.col("bucket").alias("_b"),
+        F.col("lo").alias("_t"),
+        F.lit(False).alias("_point"),
+        F.struct("hi", F.col(value).alias("v")).alias("_s"),
     )
+    both = probes.unionByName(starts, allowMissingColumns=True)
+    # a segment that starts at the very time of a point comes first
+    before = W.partitionBy(key, "_b").orderBy("_t", "_point").rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = both.withColumn("_s", F.last("_s", ignorenulls=True).over(before)).filter("_point")
+    held = F.when(F.col("_t") <= F.col("_s.hi"), F.col("_s.v"))
+    return found.select(*points.columns, held.alias(value))
 
 
 def dense_ids(df: DataFrame, order_by: list[str], id_name: str, start: int = 1) -> DataFrame:

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from contrail.functions.metar import with_metar_columns
-from contrail.operators import cep, features, forest, joins, models, quality, retrieval, serving, upkeep
+from contrail.operators import cep, features, forest, joins, models, pairs, quality, retrieval, serving, upkeep
 from contrail.plans.feed import Feed, present
-from contrail.schemas import ANOMALIES, EVENT_TYPES, FLIGHTS, POSITIONS, WEATHER
+from contrail.schemas import ANOMALIES, FLIGHTS, POSITIONS, WEATHER
 from contrail.session import scratch_path, written
 from contrail.sources import adapters, landing
 from contrail.streaming import jobs, spikes, topics
@@ -61,8 +61,8 @@ def ingest_quarantine(t: Feed) -> DataFrame:
         .when(F.col("snapshot_id") % 7 == 5, F.regexp_replace("body", r"\]\}$", ",[],null]}"))
         .otherwise(F.col("body"))
     )
-    good, rejects = landing.quarantine(t.snapshots.withColumn("body", body))
-    both = good.select("snapshot_id", F.lit("good").alias("reason")).unionByName(rejects.select("snapshot_id", "reason"))
+    tagged = landing.tagged_states(t.snapshots.withColumn("body", body))
+    both = tagged.select("snapshot_id", F.coalesce("reason", F.lit("good")).alias("reason"))
     return both.groupBy("snapshot_id", "reason").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -251,10 +251,8 @@ def dq_report(t: Feed) -> DataFrame:
     return quality.report(
         [
             quality.load_report(t.raw_weather_text, WEATHER),
-            quality.too_long(t.raw_flights, FLIGHTS),
-            quality.too_long(t.raw_positions, POSITIONS),
-            quality.missing(t.raw_flights, FLIGHTS),
-            quality.missing(t.raw_positions, POSITIONS),
+            quality.checks(t.raw_flights, FLIGHTS, "length", "not_null"),
+            quality.checks(t.raw_positions, POSITIONS, "length", "not_null"),
             quality.key_report(t.readings, WEATHER),
             quality.outside_enum(t.raw_anomalies, ANOMALIES),
             _orphans(t),
@@ -518,7 +516,14 @@ def stream_position_weather(t: Feed) -> DataFrame:
 
 @query
 def stream_late_report(t: Feed) -> DataFrame:
-    return jobs.late_report(_positions_stream(t))
+    """The events arrive in five files, one after the other, so rows can be late."""
+    folder = scratch_path(t.spark, "arrivals")
+    events = t.table("events")
+    for slot in range(5):
+        part = events.filter(F.col("event_id") % 5 == slot).coalesce(1)
+        part.write.mode("append").parquet(f"{folder}/events.parquet")
+    positions = topics.read_stream(t.spark, "flight-position", folder, files_per_trigger=1)
+    return jobs.late_report(positions)
 
 
 # features, models, drift
@@ -585,15 +590,13 @@ def rag_topk(t: Feed) -> DataFrame:
 
 @query
 def anomaly_prompt_table(t: Feed) -> DataFrame:
-    """Anomalies with flight, weather at departure and passages; event types ask with the first label vectors."""
+    """Anomalies with flight, weather at departure and passages; each event type asks with its topic's vector."""
     vectors = t.table("embeddings")
-    best = retrieval.top_passages(vectors, retrieval.label_centroids(vectors), 3)
-    types = F.array(*[F.lit(e) for e in EVENT_TYPES])
-    passages = (
-        best.filter(F.col("query_id") < len(EVENT_TYPES))
-        .groupBy(F.get(types, F.col("query_id").cast("int")).alias("event_type"))
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "vec_id"))), lambda p: p["vec_id"]).alias("passages"))
-    )
+    asked = adapters.event_topics(t.spark)
+    queries = retrieval.label_centroids(vectors).join(F.broadcast(asked.select("query_id")), "query_id", "left_semi")
+    best = retrieval.top_passages(vectors, queries, 3)
+    texts = adapters.passage_texts(vectors, t.table("documents"))
+    passages = retrieval.passages_by_topic(asked, best, texts)
     flights = joins.weather_before(
         t.flights.select("flight_id", "carrier_code", "origin_airport", "dest_airport", "scheduled_dep_time"),
         t.weather,
@@ -610,6 +613,25 @@ def anomaly_prompt_table(t: Feed) -> DataFrame:
         "wind_speed_knots",
         F.array_join(F.col("passages").cast("array<string>"), ",").alias("passage_ids"),
         F.get_json_object("grounding", "$.flight.dest_airport").alias("grounded_dest"),
+        F.get_json_object("grounding", "$.passage_texts[0]").alias("first_passage"),
         "llm_explanation",
         "response_procedure",
     )
+
+
+# training pairs
+
+
+@query
+def transcript_clean(t: Feed) -> DataFrame:
+    return pairs.clean_transcripts(t.table("conversations"))
+
+
+@query
+def sft_pairs(t: Feed) -> DataFrame:
+    return pairs.answer_pairs(pairs.clean_transcripts(t.table("conversations")))
+
+
+@query
+def dpo_pairs(t: Feed) -> DataFrame:
+    return pairs.preference_pairs(t.table("documents"), t.table("labels"))

@@ -41,22 +41,29 @@ _RANK = "list_position(['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'], severity)::BIGINT"
 _FLIGHT_TIMES = "o_orderdate + to_minutes(CAST(o_orderkey * 37 % 1440 AS INTEGER))"
 
 _VIEWS = {
+    "clean_turns": """
+        SELECT conv_id, turn, role, array_to_string(list_filter(lines, lambda x, i: list_position(lines, x) = i), chr(10)) AS text
+        FROM (SELECT conv_id, turn, role, list_filter(list_transform(string_split(text, chr(10)),
+                  lambda line: array_to_string(list_filter(regexp_split_to_array(line, '[ \\t\\r]+'),
+                      lambda w: w <> '' AND NOT list_contains(['um', 'uh', 'uhm', 'erm', 'hmm', 'um,', 'uh,', 'uhm,', 'erm,', 'hmm,'], lower(w))), ' ')),
+                  lambda line: line <> '') AS lines FROM conversations)""",
     "airports": """
-        SELECT 'A' || lpad(n_nationkey::VARCHAR, 3, '0') AS airport_code, n_name AS airport_name,
+        SELECT 'A' || lpad(n_nationkey::VARCHAR, greatest(3, length(n_nationkey::VARCHAR))::INTEGER, '0') AS airport_code, n_name AS airport_name,
                'City ' || n_name AS city, r_name AS country,
                CAST(33.0 + (n_nationkey * 7 % 60) / 10.0 AS DECIMAL(9,6)) AS latitude,
                CAST(124.0 + (n_nationkey * 11 % 61) / 10.0 AS DECIMAL(9,6)) AS longitude,
                ['Asia/Seoul', 'Asia/Tokyo', 'Asia/Shanghai'][n_nationkey % 3 + 1] AS timezone
         FROM nation JOIN region ON n_regionkey = r_regionkey""",
     "airlines": """
-        SELECT lpad((s_suppkey % 1000)::VARCHAR, 3, '0') AS carrier_code,
-               arg_min(s_name, s_suppkey) AS carrier_name, arg_min(n_name, s_suppkey) AS country
-        FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1""",
+        SELECT lpad(s_suppkey::VARCHAR, greatest(3, length(s_suppkey::VARCHAR))::INTEGER, '0') AS carrier_code,
+               s_name AS carrier_name, n_name AS country
+        FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
     "positions": """
-        SELECT event_id AS position_id, lpad(user_id::VARCHAR, 6, '0') AS icao24,
+        SELECT event_id AS position_id,
+               lpad(user_id::VARCHAR, greatest(6, length(user_id::VARCHAR))::INTEGER, '0') AS icao24,
                CASE event_id % 10 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '        '
                     WHEN 3 THEN 'LONGCALL' || lpad((user_id % 100)::VARCHAR, 2, '0')
-                    ELSE rpad('KAL' || user_id::VARCHAR, 8, ' ') END AS callsign,
+                    ELSE rpad('KAL' || user_id::VARCHAR, greatest(8, 3 + length(user_id::VARCHAR))::INTEGER, ' ') END AS callsign,
                event_id AS flight_id,
                make_timestamp(1704067200000000 + (epoch_us(ts) - 1704067200000000) // 900) AS position_time,
                CAST(32.0 + (event_id * 7919 % 8000) / 1000.0 AS DECIMAL(9,6)) AS latitude,
@@ -82,8 +89,8 @@ _VIEWS = {
                'A' || lpad((k % 25)::VARCHAR, 3, '0') AS origin_airport,
                'A' || lpad(((k * 7 + 1 + c) % 25)::VARCHAR, 3, '0') AS dest_airport,
                dep AS scheduled_dep_time, arr AS scheduled_arr_time,
-               CASE WHEN k % 20 != 0 THEN dep + to_minutes(CAST(k * 53 % 181 - 30 AS INTEGER)) END AS actual_dep_time,
-               CASE WHEN status != 'P' THEN arr + to_minutes(CAST(k * 59 % 181 - 30 AS INTEGER)) END AS actual_arr_time,
+               CASE WHEN k % 20 != 0 THEN dep + to_seconds((k * 53 % 181 - 30) * 60 + k % 60) END AS actual_dep_time,
+               CASE WHEN status != 'P' THEN arr + to_seconds((k * 59 % 181 - 30) * 60 + k * 7 % 60) END AS actual_arr_time,
                CAST((k * 31 % 300000) / 100.0 AS DECIMAL(8,2)) AS distance_miles,
                CAST(dep AS DATE) AS flight_date, status
         FROM timed""",
@@ -107,7 +114,7 @@ _VIEWS = {
         FROM first_gate_events WHERE flight_id % 4 = 0""",
     "track": """
         SELECT flight_id * 10 + n AS position_id, icao24,
-               scheduled_dep_time + to_seconds(CAST(n * 1800 - 3600 AS INTEGER)) AS position_time
+               scheduled_dep_time + to_seconds(n * 1800 - 3600 + flight_id * 13 % 60) AS position_time
         FROM (SELECT unnest(range(0, 10)) AS n, flight_id, icao24, scheduled_dep_time FROM flights)""",
     "route_positions": """
         SELECT 1000000000000 + flight_id AS position_id, icao24, callsign, flight_id,
@@ -659,14 +666,39 @@ _QUERIES = {
     "rag_topk": "SELECT query_id, vec_id, round(score, 4) AS score, rank FROM ranked_passages WHERE rank <= 5",
     "anomaly_prompt_table": """
         SELECT a.event_id, a.event_type, a.severity, a.flight_id, w.origin_airport, w.observed_at,
-               w.wind_speed_knots::DOUBLE AS wind_speed_knots, p.passage_ids, f.dest_airport AS grounded_dest,
+               w.wind_speed_knots::DOUBLE AS wind_speed_knots, p.passage_ids, f.dest_airport AS grounded_dest, p.first_passage,
                NULL::VARCHAR AS llm_explanation, NULL::VARCHAR AS response_procedure
         FROM anomalies a LEFT JOIN departure_weather w ON a.flight_id = w.flight_id
         LEFT JOIN flights f ON a.flight_id = f.flight_id
         LEFT JOIN (
             SELECT ['altitude_spike', 'velocity_spike', 'route_deviation', 'ground_proximity'][query_id + 1] AS event_type,
-                   string_agg(vec_id::VARCHAR, ',' ORDER BY rank) AS passage_ids
-            FROM ranked_passages WHERE rank <= 3 AND query_id < 4 GROUP BY query_id) p ON a.event_type = p.event_type""",
+                   string_agg(vec_id::VARCHAR, ',' ORDER BY rank) AS passage_ids,
+                   arg_min(array_to_string(string_split(text, ' ')[1 : 64], ' '), rank) AS first_passage
+            FROM ranked_passages LEFT JOIN documents ON vec_id = doc_id
+            WHERE rank <= 3 AND query_id < 4 GROUP BY query_id) p ON a.event_type = p.event_type""",
+    "stream_late_report": """
+        SELECT batch, count(*) AS rows, count(*) FILTER (t < before - INTERVAL 10 MINUTES) AS late,
+               any_value(max_time) AS max_time
+        FROM (SELECT position_id % 5 AS batch, position_time AS t FROM positions) JOIN (
+            SELECT position_id % 5 AS batch, max(max(position_time)) OVER (ORDER BY position_id % 5) AS max_time,
+                   max(max(position_time)) OVER (ORDER BY position_id % 5
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+            FROM positions GROUP BY position_id % 5) USING (batch)
+        GROUP BY batch""",
+    "transcript_clean": "SELECT * FROM clean_turns",
+    "sft_pairs": """
+        SELECT min(p).conv_id AS conv_id, min(p).turn AS turn, prompt, response FROM (
+            SELECT {'conv_id': q.conv_id, 'turn': q.turn} AS p, q.text AS prompt, a.text AS response
+            FROM clean_turns q JOIN clean_turns a ON q.conv_id = a.conv_id AND q.turn + 1 = a.turn
+            WHERE q.role = 'user' AND a.role = 'assistant' AND length(q.text) > 0 AND length(a.text) > 0
+              AND len(regexp_split_to_array(q.text, '\\s+')) <= 2048 AND len(regexp_split_to_array(a.text, '\\s+')) <= 2048)
+        GROUP BY prompt, response""",
+    "dpo_pairs": """
+        WITH ranked AS (
+            SELECT d.doc_id, lang, quality, text, row_number() OVER (PARTITION BY lang, quality ORDER BY d.doc_id) AS pair_no
+            FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE quality IN (0, 1))
+        SELECT g.lang, g.pair_no, g.doc_id AS chosen_id, b.doc_id AS rejected_id, g.text AS chosen, b.text AS rejected
+        FROM ranked g JOIN ranked b ON g.lang = b.lang AND g.pair_no = b.pair_no AND g.quality = 1 AND b.quality = 0""",
 }
 
 ORACLES = {name: _build(sql) for name, sql in _QUERIES.items()}

@@ -15,13 +15,19 @@ STATES_PER_SNAPSHOT = 25
 FLIGHTS_PER_HISTORY = 4000
 
 
+def padded(number: str, width: int) -> str:
+    """A number as text of at least ``width`` digits; longer ones are not cut."""
+    text = f"cast({number} AS string)"
+    return f"lpad({text}, greatest({width}, length({text})), '0')"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def airports(nation: DataFrame, region: DataFrame) -> DataFrame:
     return nation.join(region, nation.n_regionkey == region.r_regionkey).selectExpr(
-        "concat('A', lpad(cast(n_nationkey AS string), 3, '0')) AS airport_code",
+        f"concat('A', {padded('n_nationkey', 3)}) AS airport_code",
         "n_name AS airport_name",
         "concat('City ', n_name) AS city",
         "r_name AS country",
@@ -32,23 +38,18 @@ def airports(nation: DataFrame, region: DataFrame) -> DataFrame:
 
 
 def airlines(supplier: DataFrame, nation: DataFrame) -> DataFrame:
-    """At most 1000 carriers whatever the table size: the code has three digits."""
-    first = supplier.groupBy(
-        F.lpad((F.col("s_suppkey") % 1000).cast("string"), 3, "0").alias("carrier_code")
-    ).agg(
-        F.min_by("s_name", "s_suppkey").alias("carrier_name"),
-        F.min_by("s_nationkey", "s_suppkey").alias("n_nationkey"),
-    )
-    return first.join(nation, "n_nationkey").selectExpr("carrier_code", "carrier_name", "n_name AS country")
+    """Every supplier is a carrier; its code has three digits or more."""
+    placed = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey)
+    return placed.selectExpr(f"{padded('s_suppkey', 3)} AS carrier_code", "s_name AS carrier_name", "n_name AS country")
 
 
 def positions(events: DataFrame) -> DataFrame:
     return events.selectExpr(
         "event_id AS position_id",
-        "lpad(cast(user_id AS string), 6, '0') AS icao24",
+        f"{padded('user_id', 6)} AS icao24",
         """CASE event_id % 10 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '        '
                 WHEN 3 THEN concat('LONGCALL', lpad(cast(user_id % 100 AS string), 2, '0'))
-                ELSE rpad(concat('KAL', user_id), 8, ' ') END AS callsign""",
+                ELSE rpad(concat('KAL', user_id), greatest(8, 3 + length(user_id)), ' ') END AS callsign""",
         "event_id AS flight_id",
         f"""timestamp_micros({EPOCH_2024}L
               + (unix_micros(cast(ts AS timestamp)) - {EPOCH_2024}L) div 900) AS position_time""",
@@ -75,6 +76,7 @@ def polls(events: DataFrame) -> DataFrame:
 
 def _flights(orders: DataFrame) -> DataFrame:
     minutes = "timestampadd(MINUTE, cast({} AS int), {})"
+    seconds = minutes.replace("MINUTE", "SECOND")
     dep = minutes.format("o_orderkey * 37 % 1440", "cast(o_orderdate AS timestamp)")
     timed = orders.selectExpr(
         "o_orderkey AS k", "o_custkey AS c", "o_orderstatus AS status", f"{dep} AS dep"
@@ -88,8 +90,8 @@ def _flights(orders: DataFrame) -> DataFrame:
         "concat('A', lpad(cast((k * 7 + 1 + c) % 25 AS string), 3, '0')) AS dest_airport",
         "dep AS scheduled_dep_time",
         "arr AS scheduled_arr_time",
-        "CASE WHEN k % 20 != 0 THEN " + minutes.format("k * 53 % 181 - 30", "dep") + " END AS actual_dep_time",
-        "CASE WHEN status != 'P' THEN " + minutes.format("k * 59 % 181 - 30", "arr") + " END AS actual_arr_time",
+        "CASE WHEN k % 20 != 0 THEN " + seconds.format("(k * 53 % 181 - 30) * 60 + k % 60", "dep") + " END AS actual_dep_time",
+        "CASE WHEN status != 'P' THEN " + seconds.format("(k * 59 % 181 - 30) * 60 + k * 7 % 60", "arr") + " END AS actual_arr_time",
         "cast((k * 31 % 300000) / 100.0 AS decimal(8,2)) AS distance_miles",
         "to_date(dep) AS flight_date",
         "status",
@@ -131,7 +133,7 @@ def track(orders: DataFrame) -> DataFrame:
     ).selectExpr(
         "flight_id * 10 + n AS position_id",
         "icao24",
-        "timestampadd(SECOND, n * 1800 - 3600, scheduled_dep_time) AS position_time",
+        "timestampadd(SECOND, cast(n * 1800 - 3600 + flight_id * 13 % 60 AS int), scheduled_dep_time) AS position_time",
     )
 
 
@@ -293,3 +295,16 @@ def metar_reports(events: DataFrame) -> DataFrame:
         + pad("2900 + event_id % 150", 4)
         + ") AS raw_metar",
     )
+
+
+def passage_texts(embeddings: DataFrame, documents: DataFrame) -> DataFrame:
+    """A text per vector: the first 64 words of the document that has the vector's id."""
+    words = F.slice(F.split("text", " ", -1), 1, 64)
+    texts = documents.select(F.col("doc_id").alias("vec_id"), F.array_join(words, " ").alias("text"))
+    return lookup_join(embeddings.select("vec_id"), texts, ["vec_id"], small_rows=0)
+
+
+def event_topics(spark: SparkSession) -> DataFrame:
+    """The label whose mean vector asks for passages on an event type."""
+    rows = [("altitude_spike", 0), ("velocity_spike", 1), ("route_deviation", 2), ("ground_proximity", 3)]
+    return spark.createDataFrame(rows, "event_type string, query_id bigint")

@@ -73,11 +73,11 @@ def states_to_positions(states: DataFrame) -> DataFrame:
     )
 
 
-def quarantine(landed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split into good states and rejects (snapshot_id, pos, reason, raw).
+def tagged_states(landed: DataFrame) -> DataFrame:
+    """Every state and every broken document as one row, with the ``reason`` it is rejected for, else null.
 
-    A document that is not a snapshot is rejected whole, with position null; a
-    state without aircraft code or time is rejected alone.
+    Documents are parsed once. One that is not a snapshot is a row without position; a
+    state without aircraft code or time has its own reason.
     """
     parsed = landed.withColumn(
         "_p",
@@ -88,24 +88,34 @@ def quarantine(landed: DataFrame) -> tuple[DataFrame, DataFrame]:
         ),
     )
     is_broken = F.col("_p").isNull() | F.col("_p._broken").isNotNull()
-    documents = parsed.filter(is_broken).select(
+    spread = parsed.withColumn("_bad", is_broken).select(
         "snapshot_id",
-        F.lit(None).cast("int").alias("pos"),
-        F.lit("broken document").alias("reason"),
-        F.col("body").alias("raw"),
+        F.when(F.col("_bad"), F.col("body")).alias("body"),
+        "_bad",
+        "_p.time",
+        F.posexplode_outer(F.when(~F.col("_bad"), F.col("_p.states"))).alias("pos", "state"),
     )
     states = (
-        parsed.filter(~is_broken)
-        .select("snapshot_id", "_p.time", F.posexplode("_p.states").alias("pos", "state"))
-        .select("snapshot_id", "time", "pos", F.to_json("state").alias("raw"), typed_state(F.col("state")).alias("s"))
-        .select("snapshot_id", "time", "pos", "raw", "s.*")
+        spread.filter("_bad OR pos IS NOT NULL")
+        .select("*", F.coalesce("body", F.to_json("state")).alias("raw"), typed_state(F.col("state")).alias("s"))
+        .select("snapshot_id", "time", "pos", "raw", "_bad", "s.*")
     )
-    reason = F.when(F.col("icao24").isNull() | (F.col("icao24") == ""), "no aircraft code").when(
-        position_time().isNull(), "no position time"
+    reason = (
+        F.when(F.col("_bad"), "broken document")
+        .when(F.col("icao24").isNull() | (F.col("icao24") == ""), "no aircraft code")
+        .when(position_time().isNull(), "no position time")
     )
-    rejected = states.withColumn("reason", reason).filter("reason IS NOT NULL")
-    good = states.filter(reason.isNull()).drop("raw")
-    return good, documents.unionByName(rejected.select("snapshot_id", "pos", "reason", "raw"))
+    return states.withColumn("reason", reason).drop("_bad")
+
+
+def quarantine(landed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Split into good states and rejects (snapshot_id, pos, reason, raw).
+
+    To write both from one parse, write :func:`tagged_states` and split what was written.
+    """
+    tagged = tagged_states(landed)
+    good = tagged.filter("reason IS NULL").drop("raw", "reason")
+    return good, tagged.filter("reason IS NOT NULL").select("snapshot_id", "pos", "reason", "raw")
 
 
 def in_area(df: DataFrame, lamin: float, lamax: float, lomin: float, lomax: float) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from contrail.operators.serving import latest, window_metrics
 from contrail.operators.spread import lookup_join, time_bucket
@@ -55,18 +56,47 @@ def departures_with_weather(departures: DataFrame, weather: DataFrame) -> DataFr
     return d.join(w, near).drop("station", "hour", "seen_hour")
 
 
+def _each_batch(stream: DataFrame, work, checkpoint: str, trigger: dict[str, object] | None):
+    """Run ``work`` on every batch; without a trigger, on what the sources hold now."""
+    query = (
+        stream.writeStream.foreachBatch(work)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+    if not trigger:
+        query.awaitTermination()
+    return query
+
+
+def current_state(spark: SparkSession, target: str, columns: list[str]) -> DataFrame | None:
+    """The newest finished table under ``target``, None before the first batch."""
+    try:
+        slots = spark.read.parquet(target)
+    except AnalysisException:
+        return None
+    newest = slots.agg(F.max("_batch").alias("b")).scalar()
+    return slots.filter((F.col("slot") == F.lit(newest) % 4) & (F.col("_batch") == newest)).select(columns)
+
+
 def keep_latest(
-    positions: DataFrame, key: str = "icao24", time: str = "position_time", tie: str = "position_id"
+    positions: DataFrame,
+    key: str = "icao24",
+    time: str = "position_time",
+    tie: str = "position_id",
+    target: str | None = None,
+    checkpoint: str | None = None,
+    trigger: dict[str, object] | None = None,
 ) -> DataFrame:
     """Current state per aircraft, merged batch by batch into a keyed table.
 
     Batch n is written to one of four slots from the table of batch n - 1, so a
-    repeated batch writes the same table again and a reader keeps a finished one.
+    repeated batch writes the same table again and a reader keeps a finished one. Started
+    again with the same ``target`` and ``checkpoint`` the job goes on where it stopped.
     """
     spark = positions.sparkSession
-    root = scratch_path(spark, "latest")
+    root = target or scratch_path(spark, "latest")
     columns = positions.columns
-    done: list[int] = []
 
     def slot(batch: int) -> str:
         return f"{root}/slot={batch % 4}"
@@ -75,27 +105,28 @@ def keep_latest(
         newest = latest(rows, key, time, tie)
         if batch > 0:
             newest = latest(spark.read.parquet(slot(batch - 1)).select(columns).unionByName(newest), key, time, tie)
-        newest.write.mode("overwrite").parquet(slot(batch))
-        done.append(batch)
+        newest.withColumn("_batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(slot(batch))
 
-    query = (
-        positions.writeStream.foreachBatch(merge)
-        .option("checkpointLocation", root + "-checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return spark.read.parquet(slot(done[-1])) if done else spark.createDataFrame([], positions.schema)
+    _each_batch(positions, merge, checkpoint or root.rstrip("/") + "-checkpoint", trigger)
+    state = current_state(spark, root, columns)
+    return spark.createDataFrame([], positions.schema) if state is None else state
 
 
-def late_report(positions: DataFrame, time: str = "position_time", delay: str = WATERMARK) -> DataFrame:
+def late_report(
+    positions: DataFrame,
+    time: str = "position_time",
+    delay: str = WATERMARK,
+    target: str | None = None,
+    checkpoint: str | None = None,
+    trigger: dict[str, object] | None = None,
+) -> DataFrame:
     """Rows per batch that arrive behind the watermark of the batches before.
 
     Returns (batch, rows, late, max_time). Each batch leaves one row; a repeated
-    batch writes the same row again.
+    batch writes the same row again, and a job started again on the same folders goes on.
     """
     spark = positions.sparkSession
-    root = scratch_path(spark, "late")
+    root = target or scratch_path(spark, "late")
 
     def count(rows: DataFrame, batch: int) -> None:
         seen = None
@@ -110,11 +141,5 @@ def late_report(positions: DataFrame, time: str = "position_time", delay: str =
             "overwrite"
         ).parquet(f"{root}/batch={batch}")
 
-    query = (
-        positions.writeStream.foreachBatch(count)
-        .option("checkpointLocation", root + "-checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    _each_batch(positions, count, checkpoint or root.rstrip("/") + "-checkpoint", trigger)
     return spark.read.parquet(root)

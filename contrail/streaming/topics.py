@@ -30,16 +30,27 @@ def stream_files(spark: SparkSession, folder: str, name: str, files_per_trigger:
     return reader.parquet(path)
 
 
-def stream_broker(spark: SparkSession, topic: str, schema: str, servers: str) -> DataFrame:
-    """A broker topic of JSON messages; needs the Kafka connector on the cluster."""
+def stream_broker(spark: SparkSession, topic: str, schema: str, servers: str) -> tuple[DataFrame, DataFrame]:
+    """A broker topic of JSON messages as (rows, rejects); needs the Kafka connector on the cluster."""
     raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
     return decode(raw.load(), schema)
 
 
-def decode(messages: DataFrame, schema: str) -> DataFrame:
-    """The JSON ``value`` of broker messages as columns; unreadable messages drop out."""
-    parsed = F.from_json(F.col("value").cast("string"), schema)
-    return messages.select(parsed.alias("_m")).filter("_m IS NOT NULL").select("_m.*")
+def decode(messages: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
+    """The JSON ``value`` of broker messages as columns, and what could not be read.
+
+    Rejects carry the message as ``raw`` and a ``reason``; every message is in exactly one part.
+    """
+    raw = F.col("value").cast("string")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+    parsed = messages.select(raw.alias("raw"), F.from_json(raw, schema + ", _broken string", options).alias("_m"))
+    reason = (
+        F.when(F.col("raw").isNull(), "no message")
+        .when(F.col("_m").isNull() | F.col("_m._broken").isNotNull(), "broken message")
+    )
+    told = parsed.withColumn("reason", reason)
+    rows = told.filter("reason IS NULL").select("_m.*").drop("_broken")
+    return rows, told.filter("reason IS NOT NULL").select("raw", "reason")
 
 
 def read_stream(spark: SparkSession, topic: str, folder: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -69,16 +80,28 @@ def envelopes(spark: SparkSession, folder: str) -> DataFrame:
     return merged
 
 
-def run_to_table(stream: DataFrame, label: str) -> DataFrame:
-    """Work off what the sources hold now, into a table, and give that table."""
+def run_to_table(
+    stream: DataFrame,
+    label: str,
+    path: str | None = None,
+    checkpoint: str | None = None,
+    trigger: dict[str, object] | None = None,
+) -> DataFrame:
+    """A stream into a table, and that table.
+
+    Without ``trigger`` the job works off what the sources hold now and stops; with one,
+    such as ``{"processingTime": "30 seconds"}``, it goes on in the background. A job that is
+    started again with the same ``path`` and ``checkpoint`` goes on where it stopped.
+    """
     spark = stream.sparkSession
-    path = scratch_path(spark, label)
+    path = path or scratch_path(spark, label)
     query = (
         stream.writeStream.format("parquet")
         .outputMode("append")
-        .option("checkpointLocation", path + "-checkpoint")
-        .trigger(availableNow=True)
+        .option("checkpointLocation", checkpoint or path.rstrip("/") + "-checkpoint")
+        .trigger(**(trigger or {"availableNow": True}))
         .start(path)
     )
-    query.awaitTermination()
+    if not trigger:
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)

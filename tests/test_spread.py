@@ -5,40 +5,44 @@ import pytest
 from pyspark.sql import functions as F
 
 from contrail import session
-from contrail.operators import spread
+from contrail.operators import joins, spread
 from contrail.operators.upkeep import assign_ids
 
 BASE = 1_704_067_200
 
 
-def test_spans_tile_every_range(spark):
-    df = spark.range(0, 3000, 7).select(F.col("id").alias("a"), (F.col("id") + F.col("id") * 31 % 701).alias("b"))
-    runs = df.select("a", "b", F.explode(spread.block_spans(F.col("a"), F.col("b"), 8, 3)).alias("r")).select("a", "b", "r.*")
-    covered: dict = {}
-    for r in runs.filter("lo <= hi").collect():
-        size = 8**r["level"]
-        covered.setdefault((r["a"], r["b"]), []).extend(range(r["lo"] * size, (r["hi"] + 1) * size))
-    assert len(covered) == df.count()
-    assert all(sorted(v) == list(range(a, b + 1)) for (a, b), v in covered.items())
+def at(column):
+    return F.timestamp_micros(F.col(column) + BASE * 1_000_000)
 
 
-def test_stab_intervals_equals_brute_force(spark):
+@pytest.mark.parametrize("bucket_s", [7, 3600, 1_000_000])
+def test_best_interval_equals_brute_force(spark, bucket_s):
     rng = random.Random(5)
-    flights = [(f"k{rng.randrange(3)}", i, s := rng.randrange(5000) * 60, s + rng.randrange(900) * 60) for i in range(150)]
-    points = [(f"k{rng.randrange(4)}", i, rng.randrange(400_000) if i % 3 else rng.randrange(6000) * 60) for i in range(600)]
-    f = spark.createDataFrame(flights, "k string, v bigint, s bigint, e bigint").select(
-        "k", "v", F.timestamp_seconds(F.col("s") + BASE).alias("s"), F.timestamp_seconds(F.col("e") + BASE).alias("e")
-    )
-    p = spark.createDataFrame(points, "k string, id bigint, t bigint").select(
-        "k", "id", F.timestamp_seconds(F.col("t") + BASE).alias("t")
-    )
-    wanted = {}
-    for k, i, t in points:
-        inside = [(s, v) for key, v, s, e in flights if key == k and s <= t <= e]
-        if inside:
-            wanted[i] = max(inside)[1]
-    found = spread.stab_intervals(p, f, "k", "id", "t", "s", "e", "v", ["s"])
-    assert {r["id"]: r["v"] for r in found.collect()} == wanted
+    second = 1_000_000
+    flights = [
+        (f"k{rng.randrange(3)}", i, s := rng.randrange(3000) * second + rng.choice([0, 1, 500_000]), s + rng.randrange(900) * second)
+        for i in range(150)
+    ]
+    flights += [("k0", 900, 50, 40), ("k1", 901, flights[0][2], flights[0][3]), (None, 902, 0, 10**9)]
+    points = [(f"k{rng.randrange(4)}", i, rng.randrange(4000 * second)) for i in range(500)]
+    points += [(k, 1000 + i, t + d) for i, (k, _, s, e) in enumerate(flights[:60]) for t in (s, e) for d in (-1, 0, 1)]
+    points += [(None, 9000, 5), ("k0", 9001, None)]
+    f = spark.createDataFrame(flights, "k string, v bigint, s bigint, e bigint").select("k", "v", at("s").alias("s"), at("e").alias("e"))
+    p = spark.createDataFrame(points, "k string, id bigint, t bigint").select("k", "id", "t", at("t").alias("time"))
+    found = spread.best_interval(p, f, "k", "time", "s", "e", "v", bucket_s).collect()
+    assert len(found) == len(points)
+    for r in found:
+        inside = [(s, v) for key, v, s, e in flights if r["t"] is not None and key == r["k"] and s <= r["t"] <= e and key]
+        assert r["v"] == (max(inside)[1] if inside else None), r
+
+
+def test_positions_before_and_after_the_flight_stay_free(spark):
+    f = spark.sql("""SELECT 'a' AS icao24, 7L AS flight_id, timestamp'2024-01-01 10:00:30' AS actual_dep_time,
+        timestamp'2024-01-01 11:00:30' AS actual_arr_time, null AS scheduled_dep_time, null AS scheduled_arr_time""")
+    p = spark.sql("""SELECT * FROM VALUES (1L, 'a', timestamp'2024-01-01 10:00:10'), (2L, 'a', timestamp'2024-01-01 10:00:30'),
+        (3L, 'a', timestamp'2024-01-01 11:00:30'), (4L, 'a', timestamp'2024-01-01 11:00:50') AS t(position_id, icao24, position_time)""")
+    found = joins.attach_flights(p, f)
+    assert {r["position_id"]: r["flight_id"] for r in found.collect()} == {1: None, 2: 7, 3: 7, 4: None}
 
 
 def test_last_known_equals_brute_force(spark):

@@ -73,6 +73,39 @@ def test_late_rows_are_counted(spark, arrivals):
     assert on_time == 0
 
 
-def test_decode_drops_nothing_readable(spark):
-    df = spark.createDataFrame([(bytearray(b'{"a": 1}'),)], "value binary")
-    assert topics.decode(df, "a int").first()["a"] == 1
+def test_decode_splits_rows_and_rejects(spark):
+    messages = [b'{"a": 1}', b"not json", None, b"[1, 2]", b'{"a": "x"}', b"null", b'{"b": 3}']
+    df = spark.createDataFrame([(None if m is None else bytearray(m),) for m in messages], "value binary")
+    rows, rejects = topics.decode(df, "a int")
+    assert sorted(str(r["a"]) for r in rows.collect()) == ["1", "None"]
+    told = {r["raw"]: r["reason"] for r in rejects.collect()}
+    assert told[None] == "no message" and told["not json"] == told["null"] == told['{"a": "x"}'] == "broken message"
+    assert rows.count() + rejects.count() == len(messages)
+
+
+def test_job_goes_on_after_a_restart(spark, arrivals, tmp_path):
+    landing = tmp_path / "in"
+    landing.mkdir()
+    names = sorted(n for n in os.listdir(arrivals) if n.endswith(".parquet") and n.startswith("events"))
+
+    def land(some):
+        for name in some:
+            (landing / name).write_bytes(open(f"{arrivals}/{name}", "rb").read())
+
+    places = {"target": f"{tmp_path}/state", "checkpoint": f"{tmp_path}/cp"}
+    late = {"target": f"{tmp_path}/late", "checkpoint": f"{tmp_path}/late-cp"}
+    land(names[:2])
+    jobs.keep_latest(stream(spark, str(landing)), **places)
+    jobs.late_report(stream(spark, str(landing)), **late)
+    land(names[2:])
+    got = jobs.keep_latest(stream(spark, str(landing)), **places)
+    assert rows(got) == rows(serving.latest(positions(spark), "icao24", "position_time", "position_id"))
+    assert rows(jobs.keep_latest(stream(spark, str(landing)), **places)) == rows(got)
+    report = jobs.late_report(stream(spark, str(landing)), **late)
+    assert sorted(r["batch"] for r in report.collect()) == [0, 1, 2, 3, 4] and report.agg(F.sum("rows")).first()[0] == 1000
+
+
+def test_table_job_goes_on_after_a_restart(spark, arrivals, tmp_path):
+    places = {"path": f"{tmp_path}/out", "checkpoint": f"{tmp_path}/cp"}
+    first = topics.run_to_table(stream(spark, arrivals), "p", **places).count()
+    assert topics.run_to_table(stream(spark, arrivals), "p", **places).count() == first == 1000
