@@ -17,7 +17,8 @@ import base64
 import hashlib
 import heapq
 import unicodedata
-from functools import cache
+from array import array
+from functools import cache, cached_property
 from struct import pack
 
 import numpy as np
@@ -27,8 +28,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from contrail.llm.text import blobs, slabs
 
-SLAB_BYTES = 4_000_000
-CACHED_PIECES = 250_000
+SLAB_BYTES = 1_000_000
+CACHED_PIECES = 200_000
 LOCKSTEP_LENGTH = 32
 LOCKSTEP_ROWS = 20_000
 NO_PAIR = 1 << 40
@@ -211,17 +212,16 @@ class Pieces:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.known: dict[bytes, bytes] = {}
-        known = [
-            (ranks[token[:at]], ranks[token[at:]], rank)
-            for token, rank in ranks.items()
-            for at in range(1, len(token))
-            if token[:at] in ranks and token[at:] in ranks
-        ]
         # pairs of ids that merge, sorted by one key; the id of what they merge to is its rank
-        pairs = np.array(known or [(0, 0, NO_PAIR)], np.int64)
-        keys = pairs[:, 0] << 32 | pairs[:, 1]
+        keys, merged = array("q"), array("q")
+        for token, rank in ranks.items():
+            for at in range(1, len(token)):
+                left, right = ranks.get(token[:at]), ranks.get(token[at:])
+                if left is not None and right is not None:
+                    keys.append(left << 32 | right)
+                    merged.append(rank)
         order = np.argsort(keys)
-        self.keys, self.merged = keys[order], pairs[order, 2]
+        self.keys, self.merged = np.array(keys)[order], np.array(merged)[order]
         self.bytes = np.array([ranks[bytes([value])] for value in range(256)], np.int64) if ranks else None
 
     def admit(self, pieces: set[bytes]) -> None:
@@ -242,6 +242,8 @@ class Pieces:
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 32 | right
+        if not len(self.keys):
+            return np.full(key.shape, NO_PAIR)
         place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[place] == key, self.merged[place], NO_PAIR)
 
@@ -288,7 +290,6 @@ class Vocabulary:
     def __init__(self, content: bytes):
         pairs = (line.split() for line in content.splitlines() if line)
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
-        self.pieces = Pieces(self.ranks)
         size = max(self.ranks.values(), default=-1) + 1
         tokens = [b""] * size
         for token, rank in self.ranks.items():
@@ -297,6 +298,11 @@ class Vocabulary:
         self.places = np.cumsum(self.lengths) - self.lengths
         self.content = np.frombuffer(b"".join(tokens), np.uint8)
 
+    @cached_property
+    def pieces(self) -> Pieces:
+        """Only encoding needs the pair table."""
+        return Pieces(self.ranks)
+
     def encode(self, texts: list[bytes]) -> tuple[list[bytes], list[bytes]]:
         """Packed ids and packed byte offsets of each text."""
         ids, offsets = [], []
@@ -340,18 +346,20 @@ def load(spark: SparkSession, path: str) -> Broadcast:
         return spark.sparkContext.broadcast(file.read())
 
 
-ENCODED = "struct<token_ids: binary, token_offsets: binary>"
-
+def encode(text: str | Column, ranks: Broadcast, decoded: bool = False) -> Column:
+    """A text column as packed token ids and the byte offset of each token (32 bits, little endian).
 
-def encode(text: str | Column, ranks: Broadcast) -> Column:
-    """A text column as packed token ids and the byte offset of each token (32 bits, little endian)."""
+    With ``decoded`` the same task also turns ids and offsets back into bytes.
+    """
+    names = ["token_ids", "token_offsets", *(["decoded"] if decoded else [])]
 
-    @F.arrow_udf(ENCODED)
+    @F.arrow_udf("struct<" + ", ".join(f"{name}: binary" for name in names) + ">")
     def run(column: pa.Array) -> pa.Array:
-        ids, offsets = vocabulary(ranks.value).encode(blobs(column))
-        return pa.StructArray.from_arrays(
-            [pa.array(ids, pa.binary()), pa.array(offsets, pa.binary())], ["token_ids", "token_offsets"]
-        )
+        vocab = vocabulary(ranks.value)
+        parts = list(vocab.encode(blobs(column)))
+        if decoded:
+            parts.append([vocab.decode(a, b) for a, b in zip(*parts)])
+        return pa.StructArray.from_arrays([pa.array(part, pa.binary()) for part in parts], names)
 
     return run.asNondeterministic()(text)
 
@@ -374,8 +382,5 @@ def encode_documents(docs: DataFrame, ranks: Broadcast, text: str = "text", deco
     """
     names = {"token_ids", "token_offsets", "decoded"}
     kept = [F.col(name) for name in docs.columns if name.lower() not in names]
-    coded = docs.select(*kept, encode(F.col(text), ranks).alias("_coded"))
-    coded = coded.select(*[F.col(c) for c in coded.columns if c != "_coded"], "_coded.token_ids", "_coded.token_offsets")
-    if decoded:
-        coded = coded.withColumn("decoded", decode("token_ids", "token_offsets", ranks))
-    return coded
+    coded = docs.select(*kept, encode(F.col(text), ranks, decoded).alias("_coded"))
+    return coded.select(*[F.col(c) for c in coded.columns if c != "_coded"], "_coded.*")

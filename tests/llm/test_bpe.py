@@ -33,6 +33,7 @@ def test_same_ids_as_the_library(vocab, library):
     draw = random.Random(5)
     letters = "aé'  \n\t srelvmtdT1½!日　\x00\x1c"
     texts = ["", " ", "'", "it's 'll they're've 's!'s '' ''s'x 'sabc", " 's", "ab  \n\n cd   ", "x" * 5000, " " * 700]
+    texts += ["A!! BC!! !!!! ?!", "!" * 40]
     texts += ["日本語 テキスト１２３ ½", "\U0001e5d0\U0001e5f1 Ᲊ"]
     texts += ["".join(draw.choice(letters) for _ in range(draw.randint(0, 50))) for _ in range(1500)]
     ids, offsets = vocab.encode([text.encode() for text in texts])
@@ -71,6 +72,10 @@ def test_documents(spark, library):
         assert ids_of(bytes(row.token_ids)) == library.encode_ordinary(text)
         assert bytes(row.decoded) == text.encode()
     assert bpe.encode_documents(docs.limit(0), ranks).count() == 0
+    again = bpe.encode_documents(docs, ranks, decoded=False)
+    assert "decoded" not in again.columns
+    back = again.select("text", bpe.decode("token_ids", "token_offsets", ranks).alias("b")).collect()
+    assert all(bytes(row.b) == (row.text or "").encode() for row in back)
 
 
 def test_query(spark, library):
