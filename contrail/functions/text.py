@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+# fixed value: the aircraft shown where no snapshot names one
 SAMPLE_AIRCRAFT = "71bf5c"
 
 

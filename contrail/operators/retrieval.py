@@ -90,7 +90,7 @@ def top_passages(passages: DataFrame, queries: DataFrame, k: int = 5, block: int
         part = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number)
         rows = sorted(part.select("query_id", "vector").collect())
         ids = np.array([r["query_id"] for r in rows], dtype="int64")
-        matrix = np.array([r["vector"] for r in rows], dtype="float64").reshape(len(rows), -1)
+        matrix = np.array([r["vector"] for r in rows] or np.zeros((0, 1)), dtype="float64")
         found = _block_passages(known if len(ids) else known.limit(0), ids, matrix, k)
         partial = found if partial is None else partial.unionByName(found)
     # the planner keeps k per query inside each task before the shuffle

@@ -36,7 +36,6 @@ def lookup_join(
     on: list[str],
     how: str = "left",
     small_rows: int = BROADCAST_ROWS,
-    hot_rows: int | None = None,
     counted: DataFrame | None = None,
 ) -> DataFrame:
     """Join to a side holding one row per key.
@@ -45,8 +44,7 @@ def lookup_join(
     the count where the side is known to be large. ``counted`` names a frame to
     count instead, one that has at least as many rows. Otherwise both sides are
     shuffled. Null keys match nothing and are spread over tasks. A hot key is
-    split by adaptive execution, which sees the real partition sizes; with
-    ``hot_rows`` it is also salted up front, at the price of counting the keys.
+    split by adaptive execution, which sees the real partition sizes.
     """
     if small_rows and is_small(unique if counted is None else counted, small_rows):
         return facts.join(F.broadcast(unique), on, how)
@@ -54,21 +52,8 @@ def lookup_join(
     for name in on:
         has_key = has_key & F.col(name).isNotNull()
     spread = F.pmod(F.xxhash64(*facts.columns), F.lit(1024))
-    if hot_rows is None:
-        salted = facts.withColumn("_salt", F.when(has_key, 0).otherwise(spread).cast("int"))
-        return salted.join(unique.withColumn("_salt", F.lit(0)), [*on, "_salt"], how).drop("_salt")
-    hot = (
-        facts.filter(has_key)
-        .groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > hot_rows)
-        .select(*on, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts"))
-    )
-    copies = F.coalesce(F.col("_salts"), F.lit(1))
-    salt = F.when(has_key, F.pmod(F.xxhash64(*facts.columns), copies)).otherwise(spread).cast("int")
-    salted = lookup_join(facts, hot, on).withColumn("_salt", salt).drop("_salts")
-    copied = lookup_join(unique, hot, on).withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1)))
-    return salted.join(copied.drop("_salts"), [*on, "_salt"], how).drop("_salt")
+    salted = facts.withColumn("_salt", F.when(has_key, 0).otherwise(spread).cast("int"))
+    return salted.join(unique.withColumn("_salt", F.lit(0)), [*on, "_salt"], how).drop("_salt")
 
 
 def time_bucket(time: str | Column, seconds: int) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from contrail.operators.spread import dense_ids
+from contrail.operators.spread import dense_ids, is_small
 from contrail.schemas import (
     AIRLINES,
     AIRPORTS,
@@ -42,8 +42,15 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str | Column]) ->
 
 
 def insert_ignore(target: DataFrame, batch: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
-    """Target plus the batch rows whose key is new; the first of a repeated key wins."""
-    new = first_per_key(batch, keys, order).join(target.select(*keys), keys, "left_anti")
+    """Target plus the batch rows whose key is new; the first of a repeated key wins.
+
+    If the batch is counted small, its keys are broadcast to the target, and only the target
+    keys that it names are compared; else both sides are shuffled.
+    """
+    first, known = first_per_key(batch, keys, order), target.select(*keys)
+    if is_small(batch):
+        known = known.join(F.broadcast(first.select(*keys)), keys, "left_semi")
+    new = first.join(known, keys, "left_anti")
     return target.unionByName(new.select(target.columns))
 
 

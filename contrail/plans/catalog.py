@@ -399,7 +399,8 @@ def geo_cell_heatmap(t: Feed) -> DataFrame:
 
 @query
 def delay_stats(t: Feed) -> DataFrame:
-    return serving.delay_stats(joins.with_delays(t.flights), ["carrier_code", "origin_airport", "flight_date"])
+    dated = joins.with_local_flight_date(joins.with_delays(t.flights), t.airports)
+    return serving.delay_stats(dated, ["carrier_code", "origin_airport", "flight_date"])
 
 
 @query

@@ -423,6 +423,7 @@ _QUERIES = {
             SELECT icao24, min(pos) = 0 AS is_sample FROM states
             WHERE snapshot_id = (SELECT snapshot_id FROM states ORDER BY time DESC, snapshot_id DESC LIMIT 1)
             GROUP BY icao24) s ON h.icao24 = s.icao24""",
+    # the literal rows are fixed values
     "seed_dimensions": """
         SELECT 'airports' AS "table", airport_code AS code, airport_name AS name, country,
                latitude::DOUBLE AS latitude, longitude::DOUBLE AS longitude, timezone FROM airports
@@ -556,12 +557,15 @@ _QUERIES = {
                count(*) AS samples, min(baro_altitude)::DOUBLE AS min_altitude
         FROM positions GROUP BY 1, 2, 3""",
     "delay_stats": """
-        SELECT carrier_code, origin_airport, CAST(flight_date AS VARCHAR) AS flight_date, count(*) AS flights,
-               round(sum(dep_delay_min)::DOUBLE / count(*), 6) AS mean_delay,
+        SELECT carrier_code, origin_airport,
+               CAST(CAST(scheduled_dep_time + to_hours(CASE timezone WHEN 'Asia/Shanghai' THEN 8 ELSE 9 END) AS DATE) AS VARCHAR)
+                 AS flight_date,
+               count(*) AS flights, round(sum(dep_delay_min)::DOUBLE / count(*), 6) AS mean_delay,
                round(quantile_cont(dep_delay_min, 0.5), 6) AS median_delay,
                round(quantile_cont(dep_delay_min, 0.9), 6) AS p90_delay,
                round(count(*) FILTER (dep_delay_min >= 15)::DOUBLE / count(*), 6) AS late_share
-        FROM delays WHERE dep_delay_min IS NOT NULL GROUP BY 1, 2, 3""",
+        FROM delays LEFT JOIN airports ON origin_airport = airport_code
+        WHERE dep_delay_min IS NOT NULL GROUP BY 1, 2, 3""",
     "anomaly_counts": """
         SELECT CASE WHEN grouping(event_type) = 1 THEN 'ALL' ELSE event_type END AS event_type,
                CASE WHEN grouping(severity) = 1 THEN 'ALL' ELSE severity END AS severity, count(*) AS events

@@ -76,6 +76,7 @@ class Table:
         return T._parse_datatype_string(", ".join(f"{c.name} {c.type}" for c in self.columns))
 
 
+# fixed values: the declared columns, lengths, defaults, keys and enums of the six tables
 AIRPORTS = Table(
     "airports",
     "airport_code",

@@ -58,9 +58,30 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_folder()
 
 
+_scratch: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A path under the shared folder that no other run uses."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A path under the shared folder that no other run uses; :func:`forget_scratch` clears it."""
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+def forget_scratch(spark: SparkSession) -> int:
+    """Delete what this driver has written under scratch paths, with stream checkpoints beside them.
+
+    To be called once the results that were built on them have been written or read.
+    """
+    files = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsc.hadoopConfiguration()
+    gone = 0
+    while _scratch:
+        path = _scratch.pop()
+        for name in (path, f"{path}-checkpoint"):
+            place = files.Path(name)
+            gone += bool(place.getFileSystem(conf).delete(place, True))
+    return gone
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

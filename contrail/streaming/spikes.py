@@ -8,10 +8,10 @@ arrival does not matter.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from decimal import Decimal
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -27,73 +27,65 @@ from contrail.operators.spread import with_halo
 from contrail.streaming.jobs import WATERMARK
 
 HIT_SCHEMA = "icao24 string, position_id bigint, micros bigint, event_type string, up bigint, down bigint"
-STATE_SCHEMA = "samples string"
-
-# one sample: time in microseconds, id, altitude and speed in hundredths, context flag, judged flag
-TIME, ID, ALT, VEL, CONTEXT, JUDGED = range(6)
+# one entry per sample: time, id, altitude and speed in hundredths, whether it is context and whether it was judged
+STATE_SCHEMA = (
+    "micros array<bigint>, ids array<bigint>, alts array<bigint>, vels array<bigint>, "
+    "contexts array<boolean>, judged array<boolean>"
+)
+FIELDS = ["micros", "position_id", "alt", "vel", "is_context", "judged"]
 
 
-def _changes(samples: list[list], at: int, field: int, seconds: int) -> tuple[int, int] | None:
-    value = samples[at][field]
-    if value is None:
-        return None
-    low = high = value
-    first = samples[at][TIME] - seconds * 1_000_000
-    i = at - 1
-    while i >= 0 and samples[i][TIME] >= first:
-        other = samples[i][field]
-        if other is not None:
-            low, high = min(low, other), max(high, other)
-        i -= 1
-    return value - low, value - high
+def _changes(samples: pd.DataFrame, field: str, seconds: int) -> tuple[pd.Series, pd.Series]:
+    """Rise over the lowest and fall from the highest value of the trailing window, of all samples at once."""
+    values = pd.Series(
+        samples[field].astype("float64").to_numpy(), index=pd.DatetimeIndex(samples["micros"].astype("int64") * 1000)
+    )
+    window = values.rolling(f"{seconds}s", closed="both", min_periods=1)
+    return values - window.min(), values - window.max()
 
 
-def _judge(samples: list[list], at: int) -> list[tuple]:
+def _judge(samples: pd.DataFrame, aircraft: str) -> list[tuple]:
+    """Hits of the samples marked ``due``."""
     hits = []
-    change = _changes(samples, at, ALT, ALTITUDE_WINDOW_S)
-    limit = int(ALTITUDE_M * 100)
-    if change and (change[0] >= limit or change[1] <= -limit):
-        hits.append(("altitude_spike", *change))
-    change = _changes(samples, at, VEL, VELOCITY_WINDOW_S)
-    limit = KNOTS_100_M_PER_H * 100
-    if change and (change[0] * 3600 >= limit or change[1] * 3600 <= -limit):
-        hits.append(("velocity_spike", *change))
+    due = samples["due"].to_numpy()
+    rules = (
+        ("altitude_spike", "alt", ALTITUDE_WINDOW_S, 1, int(ALTITUDE_M * 100)),
+        ("velocity_spike", "vel", VELOCITY_WINDOW_S, 3600, KNOTS_100_M_PER_H * 100),
+    )
+    for name, field, seconds, factor, limit in rules:
+        up, down = (change.to_numpy() for change in _changes(samples, field, seconds))
+        found = due & ((up * factor >= limit) | (down * factor <= -limit))
+        for at in np.flatnonzero(found):
+            row = samples.iloc[at]
+            hits.append((aircraft, int(row["position_id"]), int(row["micros"]), name, int(up[at]), int(down[at])))
     return hits
 
 
 def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    known = json.loads(state.get[0]) if state.exists else []
-    merged = {s[TIME]: s for s in known}
-    for frame in frames if not state.hasTimedOut else ():
-        for t, pid, alt, vel, context in zip(
-            frame["micros"], frame["position_id"], frame["alt"], frame["vel"], frame["is_context"]
-        ):
-            # of repeated samples of one instant the lowest id stands, unless one was judged
-            if t not in merged or (int(pid) < merged[t][ID] and not merged[t][JUDGED]):
-                merged[int(t)] = [
-                    int(t),
-                    int(pid),
-                    None if pd.isna(alt) else int(alt),
-                    None if pd.isna(vel) else int(vel),
-                    bool(context),
-                    False,
-                ]
-    samples = [merged[t] for t in sorted(merged)]
-    passed = state.getCurrentWatermarkMs() * 1000
-    hits = []
-    for at, sample in enumerate(samples):
-        if sample[TIME] < passed and not sample[JUDGED]:
-            sample[JUDGED] = True
-            if not sample[CONTEXT]:
-                hits += [(key[0], sample[ID], sample[TIME], *hit) for hit in _judge(samples, at)]
+    parts = [pd.DataFrame(dict(zip(FIELDS, state.get)))] if state.exists else []
+    if not state.hasTimedOut:
+        parts += [frame[FIELDS[:-1]].assign(judged=False) for frame in frames]
+    samples = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=FIELDS)
+    samples["judged"] = samples["judged"].astype(bool)
+    # of repeated samples of one instant the lowest id stands, unless one was judged
+    samples = samples.sort_values(["micros", "judged", "position_id"], ascending=[True, False, True])
+    samples = samples.drop_duplicates("micros").reset_index(drop=True)
+    mark = state.getCurrentWatermarkMs()
+    passed = mark * 1000
+    fresh = (samples["micros"] < passed) & ~samples["judged"]
+    samples["due"] = fresh & ~samples["is_context"].astype(bool)
+    hits = _judge(samples, key[0]) if samples["due"].any() else []
+    samples["judged"] |= fresh
     horizon = passed - VELOCITY_WINDOW_S * 1_000_000
-    kept = [s for s in samples if not s[JUDGED] or s[TIME] >= horizon]
-    waiting = [s[TIME] for s in kept if not s[JUDGED]]
-    if kept:
-        state.update((json.dumps(kept),))
+    kept = samples[~samples["judged"] | (samples["micros"] >= horizon)]
+    if len(kept):
+        whole = lambda c: [None if pd.isna(v) else int(v) for v in kept[c]]
+        flags = [[bool(v) for v in kept[c]] for c in ("is_context", "judged")]
+        state.update((whole("micros"), whole("position_id"), whole("alt"), whole("vel"), *flags))
+        waiting = kept.loc[~kept["judged"], "micros"]
         # wake when the next sample, or else the last context sample, is passed
-        due = min(waiting) if waiting else kept[-1][TIME] + VELOCITY_WINDOW_S * 1_000_000
-        state.setTimeoutTimestamp(max(due // 1000, state.getCurrentWatermarkMs()) + 1)
+        due = int(waiting.min()) if len(waiting) else int(kept["micros"].iloc[-1]) + VELOCITY_WINDOW_S * 1_000_000
+        state.setTimeoutTimestamp(max(due // 1000, mark) + 1)
     elif state.exists:
         state.remove()
     yield pd.DataFrame(hits, columns=["icao24", "position_id", "micros", "event_type", "up", "down"])

@@ -72,7 +72,6 @@ def test_lookup_join_ways_agree(spark):
         plain = rows(facts.join(unique, "k", how))
         assert rows(spread.lookup_join(facts, unique, ["k"], how)) == plain
         assert rows(spread.lookup_join(facts, unique, ["k"], how, small_rows=0)) == plain
-        assert rows(spread.lookup_join(facts, unique, ["k"], how, small_rows=0, hot_rows=50)) == plain
 
 
 def test_dense_ids_do_not_depend_on_partitions(spark):
