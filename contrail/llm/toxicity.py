@@ -13,7 +13,9 @@ however long; repeated rows are scored alike.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +31,11 @@ WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6)
 LEAST_DOCS = 3
 FEATURES, LEAST_LEAN = 5000, 2.0
-SELECT_ROUNDS, ROUNDS = 120, 300
-RATE = 0.5
-PENALTY, PENALTY_DOCS = 2e-4, 0.5  # the least mean slope a feature must have, and documents it must explain
+SELECT_ROUNDS, ROUNDS = 200, 400
+RATE = 1.0
+PENALTY, PENALTY_DOCS = 2e-5, 0.3  # the least mean slope a feature must have, and documents it must explain
 BIAS = -5.0
+SAMPLE_ROWS = 8000
 
 
 def features(word: str) -> list[str]:
@@ -40,17 +43,29 @@ def features(word: str) -> list[str]:
     return [word, *(word[:size] + "*" for size in STEMS if len(word) > size)]
 
 
-def _leaning(bags: list[list[set[str]]], wanted: np.ndarray) -> dict[str, int]:
+def _sentences(text: bytes) -> Iterator[set[str]]:
+    """The distinct features of each sentence."""
+    for match in SENTENCE.finditer(text.decode()):
+        yield {name for word in WORD.findall(match.group().lower()) for name in features(word)}
+
+
+def _leaning(texts: list[bytes], wanted: np.ndarray) -> dict[str, int]:
     """Codes of the features that stand in toxic documents clearly more often than in clean ones."""
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for sentences, label in zip(bags, wanted):
-        seen[int(label)].update(set().union(*sentences) if sentences else ())
+    seen: Counter = Counter()
+    for text, label in zip(texts, wanted):
+        if label:
+            seen.update(set().union(*_sentences(text)))
+    others = dict.fromkeys(seen, 0)  # features of clean documents alone cannot lean
+    for text, label in zip(texts, wanted):
+        if not label:
+            for name in others.keys() & set().union(*_sentences(text)):
+                others[name] += 1
     clean, toxic = max(1, int((wanted == 0).sum())), max(1, int((wanted == 1).sum()))
     lean = {}
-    for name, n in seen[1].items():
-        rate, other = n / toxic, seen[0][name] / clean
-        both = (n + seen[0][name]) / (clean + toxic)
-        if n + seen[0][name] >= LEAST_DOCS:
+    for name, n in seen.items():
+        rate, other = n / toxic, others[name] / clean
+        both = (n + others[name]) / (clean + toxic)
+        if n + others[name] >= LEAST_DOCS:
             lean[name] = (rate - other) / max(1e-9, both * (1 - both) * (1 / clean + 1 / toxic)) ** 0.5
     chosen = sorted((name for name, z in lean.items() if z >= LEAST_LEAN), key=lambda name: (-lean[name], name))
     return {name: code for code, name in enumerate(chosen[:FEATURES])}
@@ -58,17 +73,14 @@ def _leaning(bags: list[list[set[str]]], wanted: np.ndarray) -> dict[str, int]:
 
 def fit(texts: list[bytes], labels: list[int]) -> dict:
     """Feature weights and bias that maximise the noisy-or likelihood of the labels."""
-    bags, wanted = [], np.array(labels, float)
-    for text in texts:
-        found = (WORD.findall(m.group().lower()) for m in SENTENCE.finditer(text.decode()))
-        bags.append([{name for word in words for name in features(word)} for words in found])
-    codes = _leaning(bags, wanted)
-    word_of, sentence_of, document_of = [], [], []
-    for document, sentences in enumerate(bags):
-        for names in sentences:
-            known = sorted(codes[name] for name in names if name in codes)
-            word_of += known
-            sentence_of += [len(document_of)] * len(known)
+    wanted = np.array(labels, float)
+    codes = _leaning(texts, wanted)
+    word_of, sentence_of, document_of = array("q"), array("q"), array("q")
+    for document, text in enumerate(texts):
+        for names in _sentences(text):
+            known = sorted(codes[name] for name in names & codes.keys())
+            word_of.extend(known)
+            sentence_of.extend([len(document_of)] * len(known))
             document_of.append(document)
     word_of, sentence_of = np.array(word_of, np.int64), np.array(sentence_of, np.int64)
     document_of = np.array(document_of, np.int64)
@@ -76,11 +88,10 @@ def fit(texts: list[bytes], labels: list[int]) -> dict:
     weights, bias = np.zeros(size), BIAS
     grown, bias_grown = np.full(size, 1e-8), 1e-8
     penalty = PENALTY + PENALTY_DOCS / n_docs
-    chosen = np.ones(size, bool)
     for step in range(ROUNDS if n_sentences else 0):
         if step == SELECT_ROUNDS:
-            # what was selected is fitted on without the penalty that selected it
-            chosen, penalty = weights != 0, penalty / 20
+            # what has been selected is fitted on under a smaller penalty
+            penalty /= 5
         logits = bias + np.bincount(sentence_of, weights[word_of], n_sentences)
         clean = np.logaddexp(0, logits)  # minus the log of "this sentence is clean"
         all_clean = np.bincount(document_of, clean, len(texts))
@@ -93,7 +104,7 @@ def fit(texts: list[bytes], labels: list[int]) -> dict:
         # proximal step: what does not pay for its penalty stays at zero
         pace = RATE / np.sqrt(grown)
         weights = weights - pace * gradient
-        weights = np.sign(weights) * np.maximum(np.abs(weights) - pace * penalty, 0) * chosen
+        weights = np.sign(weights) * np.maximum(np.abs(weights) - pace * penalty, 0)
         bias -= RATE * slope.sum() / np.sqrt(bias_grown)
     kept = {name: float(weights[code]) for name, code in codes.items() if abs(weights[code]) > 1e-3}
     return {"weights": kept, "heads": {name.rstrip("*")[: min(STEMS)] for name in kept}, "bias": float(bias)}
@@ -144,9 +155,11 @@ def score(text: str | Column, model: Broadcast, least: float = 0.5) -> Column:
     return run.asNondeterministic()(text)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", **sample) -> Broadcast:
+def train(
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS, **sample
+) -> Broadcast:
     """The model, learned from a bounded sample of the rows that are not held out."""
-    return fitted(training_sample(docs, labels, label, **sample), fit)
+    return fitted(training_sample(docs, labels, label, rows, **sample), fit)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
