@@ -49,6 +49,7 @@ SKIPPED_WORDS = frozenset(
     "respond search skip".split()
 )
 COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond".split())
+STATE_WORDS = frozenset("has with without no not is".split())  # "has-sidebar" is no sidebar
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 _NAME = re.compile(r"/?([A-Za-z][^\s/>]*)")
@@ -67,7 +68,7 @@ class Reader:
         self.parts: list[str] = []
         # open regions: [element, kind, how many elements of that name are open inside]
         self.regions: list[list] = []
-        self.skips = self.articles = 0
+        self.skips = self.articles = self.forms = 0
         self.has_article = False
         self._read()
 
@@ -79,7 +80,7 @@ class Reader:
                 self.blocks.append((text, self.articles > 0))
 
     def _text(self, start: int, end: int) -> None:
-        if end > start and not self.skips:
+        if end > start and not self.skips and (self.articles or not self.forms):
             text = self.html[start:end]
             self.parts.append(unescape(text) if "&" in text else text)
 
@@ -139,6 +140,7 @@ class Reader:
             self.regions.append([element, kind, 0])
             self.skips += kind == "skip"
             self.articles += kind == "article"
+            self.forms += kind == "form"
             self.has_article |= kind == "article" and not self.skips
         elif self.regions and self.regions[-1][0] == element:
             self.regions[-1][2] += 1
@@ -152,11 +154,16 @@ class Reader:
                 if name.lower() == "role":
                     role = value.strip()
                 else:
-                    found.update(_SPLIT.split(value))
+                    for own in value.split():
+                        parts = [part for part in _SPLIT.split(own) if part]
+                        if parts and parts[0] not in STATE_WORDS:
+                            found.update(parts)
         if element in ("html", "body"):
             return None
         if element in ("article", "main") or role in ("main", "article"):
             return "skip" if found & COMMENT_WORDS else "article"
+        if element == "form" and not self.articles:
+            return "form"  # some pages wrap all they have in one form, the article too
         if element in SKIPPED or role in SKIPPED_ROLES or found & SKIPPED_WORDS:
             return "skip"
         if not self.articles and (element == "header" or "header" in found or "masthead" in found):
@@ -177,6 +184,7 @@ class Reader:
             for _, kind, _ in self.regions[place:]:
                 self.skips -= kind == "skip"
                 self.articles -= kind == "article"
+                self.forms -= kind == "form"
             del self.regions[place:]
             return
 

@@ -25,6 +25,12 @@ def test_structure():
     assert text_of(page) == "Head & line One two three <4>é a < b © x i j"
 
 
+def test_wrappers():
+    assert text_of('<form id=f>q<div class="wrap has-sidebar"><article>a<form>b</form></article></div></form>') == "a"
+    assert text_of('<div class="sidebar-left">s</div><p>t</p><form>u</form>') == ["t"]
+    assert text_of('<div class="with-ads no-nav">x</div>') == ["x"]
+
+
 def test_broken_markup():
     assert text_of("") == [] and text_of("plain <b>text") == ["plain text"]
     assert text_of("<article>a<div class='ad'>x</article>b") == "a"
