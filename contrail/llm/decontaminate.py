@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
-from contrail.llm.text import WORD, blobs, words
+from contrail.llm.text import WORD, blobs, free_name, words
 from contrail.session import written
 
 WINDOW = 13
@@ -251,16 +251,17 @@ def with_hits(
     item_text: str = "text",
     window: int = WINDOW,
     block_bytes: int = BLOCK_BYTES,
+    column: str = "hits",
 ) -> DataFrame:
-    """The documents with a struct ``hits``: n_words, starts, ends, items, n_hit, contaminated.
+    """The documents with a struct ``column``: n_words, starts, ends, items, n_hit, contaminated.
 
-    A column ``hits`` of the input is replaced. Spans count words and exclude the end.
+    A column of that name in the input is replaced. Spans count words and exclude the end.
     """
-    kept = [name for name in docs.columns if name.lower() != "hits"]
+    kept = [name for name in docs.columns if name.lower() != column.lower()]
     docs = docs.select(*kept)
     shared = blocks(benchmark, item_id, item_text, window, block_bytes)
     if len(shared) == 1:
-        scanned = docs.withColumn("hits", scan(F.col(text), shared[0]))
+        scanned = docs.withColumn(column, scan(F.col(text), shared[0]))
     else:
         # rows of one text are scanned once and meet again by the text's digest
         texts = docs.select(F.col(text).alias("body")).filter("body is not null")
@@ -279,15 +280,17 @@ def with_hits(
         )
         spans = merge_spans(F.col("starts"), F.col("ends"))
         merged = merged.select("digest", "n_words", spans.alias("spans"), "items")
+        digest = free_name(docs, "_digest")
         merged = merged.select(
-            F.col("digest").alias("_digest"),
-            F.struct("n_words", "spans.starts", "spans.ends", "items").alias("hits"),
+            F.col("digest").alias(digest),
+            F.struct("n_words", "spans.starts", "spans.ends", "items").alias(column),
         )
-        scanned = docs.join(merged, F.sha2(F.col(text), 256) == F.col("_digest"), "left").drop("_digest")
+        scanned = docs.join(merged, F.sha2(F.col(text), 256) == F.col(digest), "left").drop(digest)
     none = F.array().cast("array<long>")
-    n_words = F.coalesce("hits.n_words", F.lit(0).cast("long"))
+    field = lambda name: F.col(column).getField(name)
+    n_words = F.coalesce(field("n_words"), F.lit(0).cast("long"))
     n_hit = F.aggregate(
-        F.arrays_zip(F.coalesce("hits.starts", none).alias("a"), F.coalesce("hits.ends", none).alias("b")),
+        F.arrays_zip(F.coalesce(field("starts"), none).alias("a"), F.coalesce(field("ends"), none).alias("b")),
         F.lit(0).cast("long"),
         lambda total, span: total + span["b"] - span["a"],
     )
@@ -295,12 +298,12 @@ def with_hits(
         *[F.col(name) for name in kept],
         F.struct(
             n_words.alias("n_words"),
-            F.coalesce("hits.starts", none).alias("starts"),
-            F.coalesce("hits.ends", none).alias("ends"),
-            F.coalesce("hits.items", F.array().cast("array<string>")).alias("items"),
+            F.coalesce(field("starts"), none).alias("starts"),
+            F.coalesce(field("ends"), none).alias("ends"),
+            F.coalesce(field("items"), F.array().cast("array<string>")).alias("items"),
             n_hit.alias("n_hit"),
             ((n_hit > 0) & (COVERAGE * n_hit >= n_words)).alias("contaminated"),
-        ).alias("hits"),
+        ).alias(column),
     )
     return counted
 

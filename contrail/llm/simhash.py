@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from contrail.llm.links import connected
-from contrail.llm.text import blobs
+from contrail.llm.text import blobs, free_name
 from contrail.session import written
 
 SEED = 42
@@ -204,13 +204,14 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # combined per task first, so a class of any size costs one row and a count from each
     counts = firsts.groupBy("root", "place").agg(F.count(F.lit(1)).alias("n"))
     best = written(counts.groupBy("root").agg(F.min(F.struct("place", "n")).alias("best")), "simhash-kept")
+    kept_id, kept_th = free_name(docs, "_kept_id"), free_name(docs, "_kept_th")
     best = best.select(
-        F.col("best.place.doc_id").alias("_kept_id"), F.col("best.place.th").alias("_kept_th"), F.col("best.n").alias("_n")
+        F.col("best.place.doc_id").alias(kept_id), F.col("best.place.th").alias(kept_th), F.col("best.n").alias("n")
     )
-    same = F.col(doc_id).eqNullSafe(F.col("_kept_id")) & (digest == F.col("_kept_th"))
-    kept = docs.join(best.select("_kept_id", "_kept_th"), same, "left_semi")
-    if best.filter("_n > 1").isEmpty():
+    same = F.col(doc_id).eqNullSafe(F.col(kept_id)) & (digest == F.col(kept_th))
+    kept = docs.join(best.select(kept_id, kept_th), same, "left_semi")
+    if best.filter("n > 1").isEmpty():
         return kept
     # some chosen rows are repeated: one of each stays
-    single = kept.withColumn("_kept_th", digest).dropDuplicates([doc_id, "_kept_th"])
+    single = kept.withColumn(kept_th, digest).dropDuplicates([doc_id, kept_th])
     return single.select(*docs.columns)

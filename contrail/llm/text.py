@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # words of the contracts: digits, a-z and everything beyond ASCII, over lower-cased UTF-8
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -48,6 +48,14 @@ def words(text: bytes) -> list[bytes]:
     return WORD.findall(text.lower())
 
 
+def free_name(frame: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column is called so."""
+    taken = {column.lower() for column in frame.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def sha256_hex(column: Column) -> Column:
     return F.sha2(column, 256)
 

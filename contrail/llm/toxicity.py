@@ -33,7 +33,7 @@ LEAST_DOCS = 3
 FEATURES, LEAST_LEAN = 5000, 2.0
 SELECT_ROUNDS, ROUNDS = 200, 400
 RATE = 1.0
-PENALTY, PENALTY_DOCS = 2e-5, 0.3  # the least mean slope a feature must have, and documents it must explain
+PENALTY, PENALTY_DOCS = 2e-5, 1.0  # the least mean slope a feature must have, and documents it must explain
 BIAS = -5.0
 SAMPLE_ROWS = 8000
 

@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from contrail.llm import bpe, decontaminate, pii, simhash, toxicity
-from contrail.llm.text import bound_batches
+from contrail.llm.text import bound_batches, free_name
 from contrail.session import written
 
 
@@ -24,8 +24,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, learned from the labels that are not held out, does not reject."""
     bound_batches(spark)
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
-    scored = docs.select(*docs.columns, toxicity.score(F.col("text"), model).alias("_toxicity"))
-    return scored.filter(F.col("_toxicity.score") < toxicity.THRESHOLD).select(*docs.columns)
+    name = free_name(docs, "toxicity")
+    scored = docs.select(*docs.columns, toxicity.score(F.col("text"), model).getField("score").alias(name))
+    return scored.filter(F.col(name) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,19 +38,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which test items cover less than a twentieth; they stay as they are."""
     bound_batches(spark)
-    hits = decontaminate.with_hits(docs, _table(spark, sf_dir, "benchmark"))
-    return hits.filter(~F.col("hits.contaminated")).select(*docs.columns)
+    name = free_name(docs, "hits")
+    hits = decontaminate.with_hits(docs, _table(spark, sf_dir, "benchmark"), column=name)
+    return hits.filter(~F.col(name).getField("contaminated")).select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with marks in place of personal data; ``n_chars`` follows the text."""
     bound_batches(spark)
-    masked = docs.select(*docs.columns, pii.redacted(F.col("text")).alias("_masked"))
+    new = free_name(docs, "masked")
+    masked = docs.select(*docs.columns, pii.redacted(F.col("text")).alias(new))
+    changed = F.col("text") != F.col(new)
     columns = {
-        "text": F.col("_masked"),
-        "n_chars": F.when(F.col("text") == F.col("_masked"), F.col("n_chars")).otherwise(
-            F.char_length("_masked").cast("long")
-        ),
+        "text": F.col(new),
+        "n_chars": F.when(changed, F.char_length(new).cast("long")).otherwise(F.col("n_chars")),
     }
     return masked.select(*[columns.get(name, F.col(name)).alias(name) for name in docs.columns])
 
