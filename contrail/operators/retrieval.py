@@ -101,11 +101,13 @@ def top_passages(passages: DataFrame, queries: DataFrame, k: int = 5, block: int
 def passages_by_topic(topics: DataFrame, best: DataFrame, texts: DataFrame) -> DataFrame:
     """One row per event type with ids and texts of its passages, best first.
 
-    ``topics`` says which query stands for which event type, ``texts`` holds a text per vector.
+    ``topics`` says which query stands for which event type, ``texts`` holds a text per vector;
+    a vector without one has an empty text.
     """
     found = best.join(topics, "query_id").select("event_type", "rank", "vec_id")
     told = lookup_join(found, texts.select("vec_id", F.col("text")), ["vec_id"], small_rows=0)
-    listed = told.groupBy("event_type").agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id", "text"))).alias("p"))
+    text = F.coalesce("text", F.lit("")).alias("text")
+    listed = told.groupBy("event_type").agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id", text))).alias("p"))
     return listed.select(
         "event_type", F.col("p.vec_id").alias("passages"), F.transform("p", lambda x: x["text"]).alias("passage_texts")
     )

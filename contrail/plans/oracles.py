@@ -677,7 +677,7 @@ _QUERIES = {
         LEFT JOIN (
             SELECT ['altitude_spike', 'velocity_spike', 'route_deviation', 'ground_proximity'][query_id + 1] AS event_type,
                    string_agg(vec_id::VARCHAR, ',' ORDER BY rank) AS passage_ids,
-                   arg_min(array_to_string(string_split(text, ' ')[1 : 64], ' '), rank) AS first_passage
+                   arg_min(coalesce(array_to_string(string_split(text, ' ')[1 : 64], ' '), ''), rank) AS first_passage
             FROM ranked_passages LEFT JOIN documents ON vec_id = doc_id
             WHERE rank <= 3 AND query_id < 4 GROUP BY query_id) p ON a.event_type = p.event_type""",
     "stream_late_report": """
