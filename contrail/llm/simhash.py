@@ -200,10 +200,11 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     marked = written(marked, "simhash-fingerprints")
     roots = _rooted(marked, bucket).select("fp", "root")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
-    firsts = marked.join(roots, "fp").select("root", place.alias("place"))
-    # combined per task first, so a class of any size costs one row and a count from each
-    counts = firsts.groupBy("root", "place").agg(F.count(F.lit(1)).alias("n"))
-    best = written(counts.groupBy("root").agg(F.min(F.struct("place", "n")).alias("best")), "simhash-kept")
+    # combined per task and per fingerprint before the join, so copies of any number meet it as one row
+    counts = marked.groupBy("fp", place.alias("place")).agg(F.count(F.lit(1)).alias("n"))
+    firsts = counts.groupBy("fp").agg(F.min(F.struct("place", "n")).alias("first"))
+    best = firsts.join(roots, "fp").groupBy("root").agg(F.min("first").alias("best"))
+    best = written(best, "simhash-kept")
     kept_id, kept_th = free_name(docs, "_kept_id"), free_name(docs, "_kept_th")
     best = best.select(
         F.col("best.place.doc_id").alias(kept_id), F.col("best.place.th").alias(kept_th), F.col("best.n").alias("n")
