@@ -16,6 +16,7 @@ from contrail.functions.geo import EARTH_KM, arc_km, leg, off_route_km, unit_vec
 from contrail.operators.spread import lookup_join, with_halo
 from contrail.operators.upkeep import first_per_key
 from contrail.schemas import ANOMALIES, SEVERITIES
+from contrail.session import written
 
 # fixed values: the declared limits
 ALTITUDE_M = Decimal("152.40")  # 500 ft
@@ -171,8 +172,9 @@ def nearest_airport(positions: DataFrame, airports: DataFrame) -> DataFrame:
     has_place = lat.isNotNull() & lon.isNotNull()
     x, y = _cells(lat, lon, finest)
     keyed = positions.withColumn("_x", F.when(has_place, x)).withColumn("_y", F.when(has_place, y))
-    cells = keyed.filter(has_place).select("_x", "_y").distinct()
-    candidates = airport_candidates(airports, cells)
+    # both small and read several times: at most a row per cell, and the airports of these cells
+    cells = written(keyed.filter(has_place).select("_x", "_y").distinct(), "cells")
+    candidates = written(airport_candidates(airports, cells), "cell-airports")
     lists = candidates.groupBy("_x", "_y").agg(F.collect_set(F.struct("code", "v")).alias("_near"))
     met = lookup_join(keyed, lists, ["_x", "_y"], counted=candidates)
     place = unit_vector(lat, lon)

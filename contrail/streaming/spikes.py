@@ -8,10 +8,10 @@ arrival does not matter.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from decimal import Decimal
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -32,60 +32,76 @@ STATE_SCHEMA = (
     "micros array<bigint>, ids array<bigint>, alts array<bigint>, vels array<bigint>, "
     "contexts array<boolean>, judged array<boolean>"
 )
-FIELDS = ["micros", "position_id", "alt", "vel", "is_context", "judged"]
+TIME, ID, ALT, VEL, CONTEXT, JUDGED = range(6)
 
 
-def _changes(samples: pd.DataFrame, field: str, seconds: int) -> tuple[pd.Series, pd.Series]:
-    """Rise over the lowest and fall from the highest value of the trailing window, of all samples at once."""
-    values = pd.Series(
-        samples[field].astype("float64").to_numpy(), index=pd.DatetimeIndex(samples["micros"].astype("int64") * 1000)
-    )
-    window = values.rolling(f"{seconds}s", closed="both", min_periods=1)
-    return values - window.min(), values - window.max()
+def _changes(samples: list[list], field: int, seconds: int) -> list[tuple[int, int] | None]:
+    """Rise over the lowest and fall from the highest value of each trailing window.
 
+    Two queues hold the values that can still be lowest and highest, so the whole
+    series takes one pass.
+    """
+    found: list[tuple[int, int] | None] = []
+    lows: deque[tuple[int, int]] = deque()
+    highs: deque[tuple[int, int]] = deque()
+    for sample in samples:
+        value, first = sample[field], sample[TIME] - seconds * 1_000_000
+        if value is None:
+            found.append(None)
+            continue
+        while lows and lows[-1][1] >= value:
+            lows.pop()
+        while highs and highs[-1][1] <= value:
+            highs.pop()
+        lows.append((sample[TIME], value))
+        highs.append((sample[TIME], value))
+        while lows[0][0] < first:
+            lows.popleft()
+        while highs[0][0] < first:
+            highs.popleft()
+        found.append((value - lows[0][1], value - highs[0][1]))
+    return found
 
-def _judge(samples: pd.DataFrame, aircraft: str) -> list[tuple]:
-    """Hits of the samples marked ``due``."""
-    hits = []
-    due = samples["due"].to_numpy()
-    rules = (
-        ("altitude_spike", "alt", ALTITUDE_WINDOW_S, 1, int(ALTITUDE_M * 100)),
-        ("velocity_spike", "vel", VELOCITY_WINDOW_S, 3600, KNOTS_100_M_PER_H * 100),
-    )
-    for name, field, seconds, factor, limit in rules:
-        up, down = (change.to_numpy() for change in _changes(samples, field, seconds))
-        found = due & ((up * factor >= limit) | (down * factor <= -limit))
-        for at in np.flatnonzero(found):
-            row = samples.iloc[at]
-            hits.append((aircraft, int(row["position_id"]), int(row["micros"]), name, int(up[at]), int(down[at])))
-    return hits
+
+RULES = (
+    ("altitude_spike", ALT, ALTITUDE_WINDOW_S, 1, int(ALTITUDE_M * 100)),
+    ("velocity_spike", VEL, VELOCITY_WINDOW_S, 3600, KNOTS_100_M_PER_H * 100),
+)
 
 
 def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    parts = [pd.DataFrame(dict(zip(FIELDS, state.get)))] if state.exists else []
-    if not state.hasTimedOut:
-        parts += [frame[FIELDS[:-1]].assign(judged=False) for frame in frames]
-    samples = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=FIELDS)
-    samples["judged"] = samples["judged"].astype(bool)
-    # of repeated samples of one instant the lowest id stands, unless one was judged
-    samples = samples.sort_values(["micros", "judged", "position_id"], ascending=[True, False, True])
-    samples = samples.drop_duplicates("micros").reset_index(drop=True)
+    merged = {sample[TIME]: list(sample) for sample in zip(*state.get)} if state.exists else {}
+    whole = lambda value: None if pd.isna(value) else int(value)
+    for frame in frames if not state.hasTimedOut else ():
+        columns = (frame[name] for name in ("micros", "position_id", "alt", "vel", "is_context"))
+        for t, pid, alt, vel, context in zip(*columns):
+            # of repeated samples of one instant the lowest id stands, unless one was judged
+            if t not in merged or (pid < merged[t][ID] and not merged[t][JUDGED]):
+                merged[int(t)] = [int(t), int(pid), whole(alt), whole(vel), bool(context), False]
+    samples = [merged[t] for t in sorted(merged)]
     mark = state.getCurrentWatermarkMs()
     passed = mark * 1000
-    fresh = (samples["micros"] < passed) & ~samples["judged"]
-    samples["due"] = fresh & ~samples["is_context"].astype(bool)
-    hits = _judge(samples, key[0]) if samples["due"].any() else []
-    samples["judged"] |= fresh
+    due = []
+    for at, sample in enumerate(samples):
+        if sample[TIME] < passed and not sample[JUDGED]:
+            sample[JUDGED] = True
+            if not sample[CONTEXT]:
+                due.append(at)
+    hits = []
+    for name, field, seconds, factor, limit in RULES if due else ():
+        changes = _changes(samples, field, seconds)
+        for at in due:
+            up, down = changes[at] or (0, 0)
+            if up * factor >= limit or down * factor <= -limit:
+                hits.append((key[0], samples[at][ID], samples[at][TIME], name, up, down))
     horizon = passed - VELOCITY_WINDOW_S * 1_000_000
-    kept = samples[~samples["judged"] | (samples["micros"] >= horizon)]
-    if len(kept):
-        whole = lambda c: [None if pd.isna(v) else int(v) for v in kept[c]]
-        flags = [[bool(v) for v in kept[c]] for c in ("is_context", "judged")]
-        state.update((whole("micros"), whole("position_id"), whole("alt"), whole("vel"), *flags))
-        waiting = kept.loc[~kept["judged"], "micros"]
+    kept = [s for s in samples if not s[JUDGED] or s[TIME] >= horizon]
+    if kept:
+        state.update(tuple(list(column) for column in zip(*kept)))
+        waiting = [s[TIME] for s in kept if not s[JUDGED]]
         # wake when the next sample, or else the last context sample, is passed
-        due = int(waiting.min()) if len(waiting) else int(kept["micros"].iloc[-1]) + VELOCITY_WINDOW_S * 1_000_000
-        state.setTimeoutTimestamp(max(due // 1000, mark) + 1)
+        wake = min(waiting) if waiting else kept[-1][TIME] + VELOCITY_WINDOW_S * 1_000_000
+        state.setTimeoutTimestamp(max(wake // 1000, mark) + 1)
     elif state.exists:
         state.remove()
     yield pd.DataFrame(hits, columns=["icao24", "position_id", "micros", "event_type", "up", "down"])
