@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -200,16 +201,45 @@ def fold_digits(tape: Tape) -> Tape:
 
 
 _BRACKETED = re.compile(rf"[\[({{<]\s*(?:(?P<at>{AT_WORDS})|(?P<dot>{DOT_WORDS}))\s*[\])}}>]\s*", re.I)
-# without brackets the name must end in a common top-level domain; fixed values
+# without brackets and without a spelled dot the name must end in a common top-level domain; fixed values
 TOP_LEVEL = "com|org|net|edu|gov|info|biz|io|eu|de|fr|es|uk|us|ch|it|nl|be|ca|au|jp|ru|br|mx|in"
-_BARE = re.compile(
-    r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9][A-Za-z0-9._%+-]*(?P<at>\s+(?:at|arroba)\s+|@)"
-    r"[A-Za-z0-9-]+(?:(?:\s+(?:dot|punkt|point|punto)\s+|\.)[A-Za-z0-9-]+)*"
-    rf"(?:\s+(?:dot|punkt|point|punto)\s+|\.)(?:{TOP_LEVEL})(?![A-Za-z0-9-])",
+_DOT = r"\s+(?:dot|punkt|point|punto)\s+"
+_NAME = "[A-Za-z0-9-]+"
+_HEAD = r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9][A-Za-z0-9._%+-]*(?P<at>\s+(?:at|arroba)\s+|@)"
+# with a spelled dot any letters end the name, unless they are the local part of a further address
+_SPOKEN = re.compile(
+    rf"{_HEAD}{_NAME}(?:\.{_NAME})*{_DOT}(?:{_NAME}(?:{_DOT}|\.))*(?P<last>[A-Za-z]{{2,}})(?![A-Za-z0-9-])"
+    rf"(?!(?:\s+(?:at|arroba)\s+|@){_NAME}(?:{_DOT}|\.)[A-Za-z])",
     re.I,
 )
+_BARE = re.compile(rf"{_HEAD}{_NAME}(?:(?:{_DOT}|\.){_NAME})*(?:{_DOT}|\.)(?:{TOP_LEVEL})(?![A-Za-z0-9-])", re.I)
 _BARE_SIGN = re.compile(r"\s+(?:(?P<at>at|arroba)|(?P<dot>dot|punkt|point|punto))\s+", re.I)
-_DOT_WORD = re.compile(r"\s(?:dot|punkt|point|punto)\s", re.I)
+_AT_SIGN = re.compile(r"\s(?:at|arroba)\s|@", re.I)
+_STARTS = re.compile(_HEAD, re.I)
+_WEB = re.compile(r"\s+(?:at|arroba)\s+www\.", re.I)
+# "the dot on", "at this point we": such words stand before a dot word or behind it only in prose; none is a
+# top-level domain. Fixed values
+_PROSE_BEFORE = re.compile(rf"\b(?:the|an?|this|that|these|those|some|any|one|which|what|every|each|no|another){_DOT}", re.I)
+_PROSE_LAST = frozenset(
+    "the an and or but if of on for from with by than then that this these those there their they we he she you "
+    "was were are has had have will would can could should when where which who while because into onto over "
+    "under after before not".split()
+)
+
+
+def _bare(text: str) -> Iterator[re.Match]:
+    """Addresses without brackets; each is decided by its own characters alone."""
+    at = 0
+    while head := _STARTS.search(text, at):
+        match = _SPOKEN.match(text, head.start())
+        if match and (match.group("last").lower() in _PROSE_LAST or _PROSE_BEFORE.search(match.group())):
+            match = None
+        match = match or _BARE.match(text, head.start())
+        if match and _WEB.match(text, match.start("at")):
+            match = None  # "us at www.example.com" names a site
+        if match:
+            yield match
+        at = match.end() if match else head.start("at")
 
 
 def fold_signs(tape: Tape) -> Tape:
@@ -221,10 +251,10 @@ def fold_signs(tape: Tape) -> Tape:
             start -= 1
         sites.append((start, match.end(), "@" if match.group("at") else "."))
     tape = tape.rewritten(sites)
-    if not _DOT_WORD.search(tape.text):
+    if not _AT_SIGN.search(tape.text):
         return tape
     sites = []
-    for match in _BARE.finditer(tape.text):
+    for match in _bare(tape.text):
         seen_at = "@" in match.group()
         for sign in _BARE_SIGN.finditer(tape.text, *match.span()):
             if sign.group("at"):

@@ -108,3 +108,25 @@ def test_query(spark):
         wanted = slow(texts[row.doc_id])
         assert row.base_sha256 == hashlib.sha256(pii.joined(wanted).encode()).hexdigest()
         assert [row.n_email, row.n_ip, row.n_card, row.n_phone] == [sum(k == kind for k, _, _ in wanted) for kind in PATTERNS]
+
+
+@pytest.mark.parametrize(
+    "text, covered",
+    [
+        ("write to alice at example.com", "alice at example.com"),
+        ("jane at mail dot example dot pl", "jane at mail dot example dot pl"),
+        ("jane@mail dot example dot kr", "jane@mail dot example dot kr"),
+        ("jane arroba correo punto ejemplo punto se now", "jane arroba correo punto ejemplo punto se"),
+        ("ask jane at example dot dev at any time", "jane at example dot dev"),
+        ("look at boiling point jane at example dot com", "jane at example dot com"),
+    ],
+)
+def test_bare_addresses_do_not_hang_on_the_rest(text, covered):
+    for whole in (text, "Rien à ce point du texte. " + text, text + " ; y punto final del texto"):
+        assert [whole[a:b] for k, a, b in pii.spans(whole)[1] if k == "email"] == [covered]
+        assert pii.redact(whole, pii.spans(whole)[1]) == whole.replace(covered, "<email>")
+
+
+def test_dot_words_in_prose_are_left_alone():
+    for text in ("We arrived at this point we left.", "water at boiling point when heated", "see us at www.example.com", "he at one point sang"):
+        assert pii.spans(text) == ([], [])
