@@ -1,15 +1,16 @@
 """License scans: licence phrases, and an exact set-similarity join with licence templates.
 
 Phrases are searched as consecutive words. Templates are sets of words. A text block,
-some consecutive words of a line, meets a template when it holds the required share
-of the template's words. The join is exact and filtered three ways, with all words in
+some consecutive words of a line or of the whole text, meets a template when it holds
+the required share of the template's words. The join is exact and filtered three ways, with all words in
 one global order, rarest in the whole corpus first: a block must hold a word of the
 template's prefix, must be long enough, and the places of the first shared word in
 both orders must leave room for the overlap.
 
 Null texts count as empty. Lines of any length are covered: a line longer than a block
 is cut into blocks that overlap by half, so every run of half a block's words stands
-whole in one. Repeated rows are scanned alike. The templates and phrases are given
+whole in one. The same blocks run over the words of the whole text, for notices that are
+wrapped over several lines. Repeated rows are scanned alike. The templates and phrases are given
 as parameters; their number does not depend on the data.
 """
 
@@ -120,6 +121,18 @@ class Join:
                     found.append((number, shared / len(ranks)))
         return found
 
+    def _stretch(self, ranks: np.ndarray, hits: np.ndarray, start: int, end: int, block_words: int) -> list[tuple]:
+        """The overlapping blocks of some consecutive words that meet a template: (start, end, label, containment)."""
+        found, step = [], max(1, block_words // 2)
+        for first in range(start, max(start + 1, end - block_words + step), step):
+            last = min(first + block_words, end)
+            if not hits[first:last].any():
+                continue
+            block = np.unique(ranks[first:last])
+            for number, share in self.matches(block[block >= 0].tolist()):
+                found.append((first, last, self.labels[number], share))
+        return found
+
     def scan(self, text: bytes, block_words: int) -> dict:
         lines = [words(line) for line in text.split(b"\n")]
         parts = [part for line in lines for part in line]
@@ -135,33 +148,29 @@ class Join:
                     places.append(at)
                     base.add(label)
         ranks = np.array(list(map(self.rank.get, parts, repeat(-1))), np.int64)
-        best, spans, labels = 1.0 if base else 0.0, [], set(base)
+        spans, wrapped = [], []
         hits = self.is_prefix[ranks]
         if hits.any():
-            step, start = max(1, block_words // 2), 0
+            start = 0
             for line in lines:
-                end = start + len(line)
-                for first in range(start, max(start + 1, end - block_words + step), step):
-                    last = min(first + block_words, end)
-                    if not hits[first:last].any():
-                        continue
-                    block = np.unique(ranks[first:last])
-                    for number, share in self.matches(block[block >= 0].tolist()):
-                        labels.add(self.labels[number])
-                        spans.append((first, last, self.labels[number], share))
-                        best = max(best, share)
-                start = end
+                spans += self._stretch(ranks, hits, start, start + len(line), block_words)
+                start += len(line)
+            if sum(map(bool, lines)) > 1:
+                wrapped = self._stretch(ranks, hits, 0, len(parts), block_words)
+        best = max([1.0 if base else 0.0, *(share for *_, share in spans + wrapped)])
+        labels = base.union(label for _, _, label, _ in spans + wrapped)
         return {
             "n_words": len(parts), "n_base": len(places), "first_word": min(places, default=None),
             "last_word": max(places, default=None), "base_labels": sorted(base), "labels": sorted(labels),
-            "score": best, "blocks": spans,
+            "score": best, "blocks": spans, "wrapped": wrapped,
         }
 
 
 SCANNED = (
     "struct<n_words: long, n_base: long, first_word: long, last_word: long, base_labels: array<string>, "
     "labels: array<string>, score: double, "
-    "blocks: array<struct<start: long, end: long, label: string, containment: double>>>"
+    "blocks: array<struct<start: long, end: long, label: string, containment: double>>, "
+    "wrapped: array<struct<start: long, end: long, label: string, containment: double>>>"
 )
 BLOCKS = pa.list_(
     pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("containment", pa.float64())])
@@ -169,6 +178,7 @@ BLOCKS = pa.list_(
 FIELDS = {
     "n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(),
     "base_labels": pa.list_(pa.string()), "labels": pa.list_(pa.string()), "score": pa.float64(), "blocks": BLOCKS,
+    "wrapped": BLOCKS,
 }
 
 _joins: dict[bytes, Join] = {}
@@ -188,7 +198,7 @@ def scan(text: Column, shared: Broadcast) -> Column:
         arrays = []
         for name, kind in FIELDS.items():
             values = [row[name] for row in rows]
-            if name == "blocks":
+            if kind == BLOCKS:
                 values = [[dict(zip(("start", "end", "label", "containment"), b)) for b in v] for v in values]
             arrays.append(pa.array(values, kind))
         return pa.StructArray.from_arrays(arrays, list(FIELDS))
@@ -205,7 +215,7 @@ def scan_documents(
     containment: float = CONTAINMENT,
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
-    """One row per document: id, words, phrase places, labels, score and matching blocks (in words)."""
+    """One row per document: id, words, phrase places, labels, score and matching blocks of lines and of the whole text (in words)."""
     tokens = frozenset().union(*(_token_set(notice) for _, notice in templates)) if templates else frozenset()
     counts = token_counts(docs, text, tokens)
     content = pickle.dumps((templates, phrases, counts, containment, block_words))

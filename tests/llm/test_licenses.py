@@ -76,3 +76,22 @@ def test_query(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     for row in QUERIES["op3_licenses"](spark, folder).collect():
         assert (row.n_words, row.n_base, row.first_word, row.last_word, row.base_labels) == slow_base(texts[row.doc_id])
+
+
+def test_wrapped_notices(spark):
+    notices = {
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files",
+        "bsd": " * Redistribution and use in source and binary forms, with or without\r\n * modification, are permitted provided that the following conditions\r\n * are met:",
+        "gpl-3": "# Licensed under the GNU General Public\n#\n# License, version 3",
+    }
+    words_before = "x y " * 150 + "\n" + "z\n" * 77
+    rows = [(label, front + notice + behind) for label, notice in notices.items() for front in ("", words_before) for behind in ("", "\nend " * 200)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    found = licenses.scan_documents(docs).collect()
+    assert len(found) == len(rows)
+    for row in found:
+        assert row["labels"] == [row.doc_id] and row.score == 1.0
+        assert row.blocks == [] and row.wrapped
+    apart = "Licensed under the Apache\n" + "word " * 70 + "\nLicense, Version 2.0"
+    join = licenses.Join(licenses.TEMPLATES, licenses.PHRASES, {t: 1 for _, n in licenses.TEMPLATES for t in words(n.encode())}, 0.95)
+    assert join.scan(apart.encode(), 64)["labels"] == []
