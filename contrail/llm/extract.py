@@ -52,6 +52,18 @@ COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies res
 STATE_WORDS = frozenset("has with without no not is".split())  # "has-sidebar" is no sidebar
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
+# what ends a list item, option or paragraph that was left open: the next one, unless other structure is open between
+OPTIONAL = {"li": ("li",), "option": ("option",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "optgroup": ("option",)}
+OPTIONAL |= dict.fromkeys(
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 "
+    "h4 h5 h6 header hr main menu nav ol p pre section summary table ul".split(),
+    ("p",),
+)
+ENDS = frozenset("li option dt dd p".split())
+# what keeps the items outside of it open, for the start of a next item and for an end tag
+BETWEEN = BLOCKS - frozenset("address br dd div dt hr html body li option p".split())
+LISTS = frozenset("ul ol menu dir dl select table caption td th".split())
+
 _NAME = re.compile(r"/?([A-Za-z][^\s/>]*)")
 _REST = re.compile(r"(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -66,8 +78,12 @@ class Reader:
         self.html = html
         self.blocks: list[tuple[str, bool]] = []
         self.parts: list[str] = []
-        # open regions: [element, kind, how many elements of that name are open inside]
+        # open regions: [element, kind, how many elements of a name are open inside, and the first place of a region
+        # that the start and the end of an item reach from here]
         self.regions: list[list] = []
+        self.places: dict[str, list[int]] = {}  # of the open regions of an element
+        self.outside: dict[str, int] = {}  # open lists outside of all regions
+        self.levels: dict[str, list[int]] = {name: [] for name in LISTS}  # numbers of regions around open lists
         self.skips = self.articles = self.forms = 0
         self.has_article = False
         self._read()
@@ -132,18 +148,45 @@ class Reader:
     def _open(self, element: str, attributes: str) -> None:
         if element in BLOCKS:
             self._flush()
-        if element in VOID or attributes.endswith("/>") and element not in BLOCKS:
+        if element in VOID and element not in OPTIONAL or attributes.endswith("/>") and element not in BLOCKS:
+            return
+        if element in OPTIONAL:
+            self._close_open(element)
+        if element in VOID:
             return
         kind = self._kind(element, attributes)
         if kind:
             self._flush()
-            self.regions.append([element, kind, 0])
+            place = len(self.regions)
+            reach = [place + 1 if element in held else self._reach(held) for held in (BETWEEN, LISTS)]
+            self.regions.append([element, kind, {}, *reach])
+            self.places.setdefault(element, []).append(place)
             self.skips += kind == "skip"
             self.articles += kind == "article"
             self.forms += kind == "form"
             self.has_article |= kind == "article" and not self.skips
-        elif self.regions and self.regions[-1][0] == element:
-            self.regions[-1][2] += 1
+        elif element in LISTS or (
+            self.regions and (element in BETWEEN or self.regions[-1][0] == element and element not in ENDS)
+        ):
+            inside = self.regions[-1][2] if self.regions else self.outside
+            if element in LISTS and element not in inside:
+                self.levels[element].append(len(self.regions))
+            inside[element] = inside.get(element, 0) + 1
+
+    def _close_open(self, element: str) -> None:
+        """End the region of an item that was left open where the next one starts."""
+        place = max((self.places[name][-1] for name in OPTIONAL[element] if self.places.get(name)), default=-1)
+        if place >= 0 and place >= self._reach(BETWEEN):
+            self._cut(place)
+
+    def _reach(self, held: frozenset[str]) -> int:
+        """The first place of a region that is not shut off by an open element of these."""
+        if not self.regions:
+            return 0
+        top = self.regions[-1]
+        if any(name in held for name in top[2]):
+            return len(self.regions)
+        return top[3 if held is BETWEEN else 4]
 
     def _kind(self, element: str, attributes: str) -> str | None:
         found: set[str] = set()
@@ -173,20 +216,31 @@ class Reader:
     def _close(self, element: str) -> None:
         if element in BLOCKS:
             self._flush()
-        for place in range(len(self.regions) - 1, max(-1, len(self.regions) - 64), -1):
-            region = self.regions[place]
-            if region[0] != element:
-                continue
-            if region[2] and place == len(self.regions) - 1:
-                region[2] -= 1
-                return
+        place = self.places[element][-1] if self.places.get(element) else -1
+        if element in LISTS and self.levels[element] and self.levels[element][-1] > place:
+            self._cut(self.levels[element][-1])  # what was left open in a list ends with it
+        inside = self.regions[-1][2] if self.regions else self.outside
+        if element in inside:
+            inside[element] -= 1
+            if not inside[element]:
+                del inside[element]
+                if element in LISTS:
+                    self.levels[element].pop()
+        elif place >= 0 and (element not in ENDS or place >= self._reach(LISTS)):
+            self._cut(place)
+
+    def _cut(self, place: int) -> None:
+        """Close a region with all that are open inside."""
+        if len(self.regions) > place:
             self._flush()
-            for _, kind, _ in self.regions[place:]:
-                self.skips -= kind == "skip"
-                self.articles -= kind == "article"
-                self.forms -= kind == "form"
-            del self.regions[place:]
-            return
+        while len(self.regions) > place:
+            element, kind, inside, *_ = self.regions.pop()
+            self.places[element].pop()
+            for name in LISTS.intersection(inside):
+                self.levels[name].pop()
+            self.skips -= kind == "skip"
+            self.articles -= kind == "article"
+            self.forms -= kind == "form"
 
 
 def read_page(html: str) -> tuple[str | None, list[str]]:

@@ -102,3 +102,19 @@ def test_query(spark):
             plain = plain.replace(name, sign)
         assert row.url == pages[row.page_id].url and row.n_chars == len(row.text)
         assert row.text == " ".join(plain.split()) or "&am" in body
+
+
+def test_items_left_open():
+    for n in (1, 62, 63, 64, 500):
+        item = '<li class="nav-item"><a href=x>menu</a>'
+        assert text_of(f"<nav><ul>{item * n}</ul></nav><article><p>story</article>") == "story"
+        assert text_of(f"<ul>{item * n}</ul><article>story</article>") == "story"
+        assert text_of("<nav>" + "<span class=ad>x" * n + "</nav><main>story</main>") == "story"
+    assert text_of("<article>a<ul><li class=share>s<li>b<li class=share>t<ul><li>u<li>v</ul>w</li><li>c</ul>d</article>") == "a b c d"
+    assert text_of("<article>a<dl><dt class=ad>x<dd>b</dl><p class=promo>y<p>c<p class=promo>z<div>d</div></article>") == "a b c d"
+    assert text_of('<p class="share">s<article>story</article>') == "story"
+    assert text_of("<ul class=menu><li class=item>a<ul class=nav><li>b</li><li>c</li></ul></li><li>d</ul><p>e") == ["e"]
+    start = time.time()
+    for piece in ("<li class=nav>", "<li class=nav><ul>", "<p class=ad><span class=ad>", "<li class=ad></div>", "<nav><li>"):
+        extract.read_page(piece * 40_000)
+    assert time.time() - start < 20
