@@ -1,4 +1,4 @@
-"""Main text of web pages: page structure first, then a suffix array over each host.
+"""Main text of web pages: page structure first, then what repeats over each host.
 
 A page is read tag by tag into blocks. Scripts, styles, menus, headers, footers,
 sidebars, notices, adverts, forms and reader comments are left out by their elements
@@ -6,11 +6,13 @@ or by the words of their class, id and role. If a page marks its article (``arti
 ``main``, role main), the blocks inside are its text and nothing of them is dropped:
 copied articles are common, so repetition says nothing against them.
 
-Pages that mark no article keep all other blocks for the second step. Their words are
-laid end to end by host, a suffix array finds runs of ``LEAST_WORDS`` words and more
-that stand on ``LEAST_PAGES`` distinct pages, and what such runs cover is removed;
-the unique runs between them are the text. A host with many pages is dealt into shards
-of bounded size by a hash of the page; menus and the like stand in every shard.
+Pages that mark no article keep all other blocks for the second step. It looks for runs of
+whole blocks, of ``LEAST_WORDS`` words at least, that stand on several distinct pages of the
+host; all pages of a host count together, whatever their number. Never is a part of a block
+removed. Near copies of an article repeat their blocks as well, so a run goes only if the
+pages that hold it differ otherwise: ``LEAST_PAGES`` pages with different text of their own
+that is half of the page at least, or ``MANY_PAGES`` where it is an eighth. The count is made
+twice, the second time without the blocks that the first one has found.
 
 Null html counts as empty and gives an empty text. Pages of any length are read whole;
 broken markup is read as far as it goes. Repeated rows each keep their row, and as copies
@@ -19,11 +21,11 @@ of one page they count as one page.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from html import unescape
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -31,6 +33,7 @@ from contrail.session import written
 
 LEAST_WORDS = 6
 LEAST_PAGES = 3
+MANY_PAGES = 20
 SHARD_WORDS = 200_000
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -305,25 +308,94 @@ def covered(codes: np.ndarray, pages: np.ndarray, least_words: int, least_pages:
     return np.cumsum(edges[:-1]) > 0
 
 
-def _unique_runs(pages: pd.DataFrame, least_words: int, least_pages: int) -> pd.DataFrame:
-    """The rows of one shard with the text that boilerplate leaves of them."""
-    known: dict[str, int] = {}
-    texts, copies = [], pages["loose"].map(lambda blocks: "\n".join(blocks))
-    first = ~copies.duplicated()
-    codes, owners = [], []
-    for number, text in enumerate(copies[first]):
-        own = [known.setdefault(word, len(known)) for word in text.split()]
-        codes += [*own, -number - 1]  # a sign of its own ends each page
-        owners += [number] * (len(own) + 1)
-    gone = covered(np.array(codes, np.int64), np.array(owners, np.int64), least_words, least_pages)
-    left, at = {}, 0
-    for text in copies[first]:
-        own = text.split()
-        keep = ~gone[at : at + len(own)]
-        left[text] = " ".join(word for word, kept in zip(own, keep) if kept)
-        at += len(own) + 1
-    texts = [left[text] for text in copies]
-    return pd.DataFrame({"page_id": pages["page_id"], "url": pages["url"], "text": texts})
+def runs(blocks: list[str], least_words: int) -> list[tuple[int, int, str]]:
+    """From each block the shortest run of whole blocks with so many words: (first, end, digest)."""
+    sizes = [len(block.split()) for block in blocks]
+    found, end, held = [], 0, 0
+    for first, size in enumerate(sizes):
+        while end < len(blocks) and held < least_words:
+            held += sizes[end]
+            end += 1
+        if held < least_words:
+            break
+        found.append((first, end, _digest("\n".join(blocks[first:end]))))
+        held -= size
+    return found
+
+
+def _digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
+def _left(blocks: list[str], gone: set[str], least_words: int) -> list[str]:
+    """The blocks that stand in none of these runs."""
+    kept = [True] * len(blocks)
+    for first, end, digest in runs(blocks, least_words) if gone else ():
+        if digest in gone:
+            kept[first:end] = [False] * (end - first)
+    return [block for block, keep in zip(blocks, kept) if keep]
+
+
+def _own(blocks: list[str], repeated: set[str], gone: set[str], least_words: int) -> tuple[str | None, int]:
+    """A signature of a page's own text, equal for most near copies, and that text's share of the page in eighths.
+
+    The signature is the least digest of three words in a row: two texts agree on it as often as their triples do.
+    """
+    own = " ".join(_left(blocks, repeated | gone, least_words)).split()
+    if not own:
+        return None, 0
+    every = sum(len(block.split()) for block in _left(blocks, gone, least_words))
+    least = min(_digest(" ".join(own[at : at + 3])) for at in range(max(1, len(own) - 2)))
+    return least, 8 * len(own) // every
+
+
+def _boilerplate(open_pages: DataFrame, least_words: int, least_pages: int) -> DataFrame:
+    """(host, page, gone): the digests of the runs that go, for pages (host, page, loose) that hold any.
+
+    Pages come together only as digests, combined in each task first; texts stay on their rows.
+    """
+
+    @F.arrow_udf("array<string>")
+    def digests(loose: pa.Array) -> pa.Array:
+        found = [sorted({digest for *_, digest in runs(blocks, least_words)}) for blocks in loose.to_pylist()]
+        return pa.array(found, pa.list_(pa.string()))
+
+    @F.arrow_udf("struct<own: string, share: long>")
+    def owns(loose: pa.Array, repeated: pa.Array, gone: pa.Array) -> pa.Array:
+        columns = loose.to_pylist(), repeated.to_pylist(), gone.to_pylist()
+        rows = [_own(blocks, set(r), set(g or ()), least_words) for blocks, r, g in zip(*columns)]
+        return pa.StructArray.from_arrays(
+            [pa.array([own for own, _ in rows], pa.string()), pa.array([share for _, share in rows], pa.int64())],
+            ["own", "share"],
+        )
+
+    held = open_pages.select("host", "page", F.explode(digests.asNondeterministic()("loose")).alias("run")).distinct()
+    held = written(held, "runs")
+    often = held.groupBy("host", "run").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)
+    held = written(held.join(often.select("host", "run"), ["host", "run"]), "runs")
+    repeated = held.groupBy("host", "page").agg(F.collect_list("run").alias("repeated"))
+    gone = held.limit(0).groupBy("host", "page").agg(F.collect_list("run").alias("gone"))
+    for _ in range(2):
+        marked = open_pages.join(repeated, ["host", "page"]).join(gone, ["host", "page"], "left")
+        told = marked.select("host", "page", owns.asNondeterministic()("loose", "repeated", "gone").alias("o"))
+        told = told.select("host", "page", "o.own", "o.share").filter("own is not null").distinct()
+        alike = held.join(told, ["host", "page"]).groupBy("host", "run", "own").agg(
+            F.count(F.when(F.col("share") >= 4, 1)).alias("mostly"),
+            F.count(F.when(F.col("share") >= 1, 1)).alias("partly"),
+        )
+        counted = alike.groupBy("host", "run").agg(
+            F.sum("mostly").alias("mostly"),
+            F.count(F.when(F.col("mostly") > 0, 1)).alias("differ_mostly"),
+            F.sum("partly").alias("partly"),
+            F.count(F.when(F.col("partly") > 0, 1)).alias("differ_partly"),
+        )
+        common = counted.filter(
+            (F.col("differ_mostly") >= least_pages) & (4 * F.col("differ_mostly") >= F.col("mostly"))
+            | (F.col("differ_partly") >= max(least_pages, MANY_PAGES)) & (4 * F.col("differ_partly") >= F.col("partly"))
+        )
+        found = held.join(common.select("host", "run"), ["host", "run"])
+        gone = written(found.groupBy("host", "page").agg(F.collect_list("run").alias("gone")), "gone")
+    return gone
 
 
 def extract(
@@ -335,22 +407,25 @@ def extract(
     least_pages: int = LEAST_PAGES,
     shard_words: int = SHARD_WORDS,
 ) -> DataFrame:
-    """One row per page: its id, url, main text and the text's length in code points."""
+    """One row per page: its id, url, main text and the text's length in code points.
+
+    ``shard_words`` is taken for callers of old; hosts are not dealt into shards, so it changes nothing.
+    """
     named = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), parsed(F.col(html)).alias("p"))
     read = written(named.select("page_id", "url", "p.text", "p.loose"), "pages")
     settled = read.filter("text is not null").select("page_id", "url", "text")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
-    n_words = F.aggregate("loose", F.lit(0).cast("long"), lambda n, block: n + F.size(F.split(block, " ")))
-    open_pages = read.filter("text is null").select("page_id", "url", "loose", host.alias("host"), n_words.alias("n"))
-    shards = open_pages.groupBy("host").agg(F.ceil(F.sum("n") / shard_words).cast("long").alias("shards"))
-    dealt = open_pages.join(shards, "host").withColumn(
-        "shard", F.pmod(F.xxhash64("loose"), F.greatest("shards", F.lit(1).cast("long")))
-    )
+    page = F.sha2(F.array_join("loose", "\n"), 256)
+    open_pages = read.filter("text is null").select("page_id", "url", "loose", host.alias("host"), page.alias("page"))
+    gone = _boilerplate(open_pages, least_words, least_pages)
 
-    def unique_runs(shard: pd.DataFrame) -> pd.DataFrame:
-        return _unique_runs(shard, least_words, least_pages)
+    @F.arrow_udf("string")
+    def left(loose: pa.Array, gone: pa.Array) -> pa.Array:
+        rows = zip(loose.to_pylist(), gone.to_pylist())
+        return pa.array([" ".join(_left(blocks, set(g or ()), least_words)) for blocks, g in rows], pa.string())
 
-    kinds = f"page_id {settled.schema['page_id'].dataType.simpleString()}, url string, text string"
-    mended = dealt.select("host", "shard", "page_id", "url", "loose").groupBy("host", "shard")
-    every = settled.unionByName(mended.applyInPandas(unique_runs, kinds))
+    mended = open_pages.join(gone, ["host", "page"], "left").select(
+        "page_id", "url", left.asNondeterministic()("loose", "gone").alias("text")
+    )
+    every = settled.unionByName(mended)
     return every.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -118,3 +118,24 @@ def test_items_left_open():
     for piece in ("<li class=nav>", "<li class=nav><ul>", "<p class=ad><span class=ad>", "<li class=ad></div>", "<nav><li>"):
         extract.read_page(piece * 40_000)
     assert time.time() - start < 20
+
+
+def own_words(draw, n):
+    return " ".join("".join(draw.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+
+
+def texts_of(spark, rows, **how):
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = extract.extract(pages, **how).collect()
+    assert len(found) == len(rows)
+    return {r.page_id: r.text for r in found}
+
+
+def test_pages_count_for_the_whole_host(spark):
+    draw = random.Random(11)
+    notice = "this section is kept by the council of the town"
+    menu = "".join(f"<li>{word}" for word in "home news sport weather travel food more".split())
+    own = {k: own_words(draw, 25) for k in range(300)}
+    rows = [(k, f"http://big.example/{k}", f"<ul>{menu}</ul><p>{own[k]}</p>" + f"<p>{notice}</p>" * (k < 5)) for k in range(300)]
+    for words in (200_000, 100):
+        assert texts_of(spark, rows, shard_words=words) == own
