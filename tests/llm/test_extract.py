@@ -139,3 +139,24 @@ def test_pages_count_for_the_whole_host(spark):
     rows = [(k, f"http://big.example/{k}", f"<ul>{menu}</ul><p>{own[k]}</p>" + f"<p>{notice}</p>" * (k < 5)) for k in range(300)]
     for words in (200_000, 100):
         assert texts_of(spark, rows, shard_words=words) == own
+
+
+def test_near_copies_and_phrases_stay(spark):
+    draw = random.Random(12)
+    parts = [own_words(draw, 40) for _ in range(5)]
+    phrase = "as the old saying of the sailors of the north goes"
+    rows, wanted = [], {}
+    for k in range(30):  # one word of one paragraph differs; all others are the same on every page
+        mine = [*parts]
+        mine[k % 2] = mine[k % 2].rsplit(" ", 1)[0] + f" word{k}"
+        rows.append((k, "http://copies.example/x", "".join(f"<p>{part}</p>" for part in mine)))
+        wanted[k] = " ".join(mine)
+    for k in range(100, 104):  # few near copies with a line of their own
+        rows.append((k, "http://few.example/x", "".join(f"<p>{part}</p>" for part in [*parts, f"written for the day number {k}"])))
+        wanted[k] = " ".join([*parts, f"written for the day number {k}"])
+    for k in range(200, 240):  # a phrase inside of sentences
+        wanted[k] = f"{own_words(draw, 9)} {phrase} {own_words(draw, 9)}"
+        rows.append((k, "http://said.example/x", f"<p>{wanted[k]}</p>"))
+    rows += [(k, "http://many.example/x", f"<p>{parts[0]}</p><p>{parts[1]}</p>") for k in range(300, 360)]  # exact copies
+    wanted |= {k: f"{parts[0]} {parts[1]}" for k in range(300, 360)}
+    assert texts_of(spark, rows) == wanted
