@@ -160,3 +160,11 @@ def test_near_copies_and_phrases_stay(spark):
     rows += [(k, "http://many.example/x", f"<p>{parts[0]}</p><p>{parts[1]}</p>") for k in range(300, 360)]  # exact copies
     wanted |= {k: f"{parts[0]} {parts[1]}" for k in range(300, 360)}
     assert texts_of(spark, rows) == wanted
+
+
+def test_copies_do_not_meet_in_one_group(spark):
+    rows = [(k, "http://copies.example/x", "<p>one text of seven words on it</p>") for k in range(2000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = extract.extract(pages)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+    assert {(r.page_id, r.text) for r in found.collect()} == {(k, "one text of seven words on it") for k in range(2000)}
