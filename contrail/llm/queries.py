@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from contrail.llm import bpe, decontaminate, dedup, extract, licenses, pii, quality, simhash, topk, toxicity
+from contrail.llm import bpe, decontaminate, dedup, extract, licenses, pii, quality, simhash, topk, toxicity, vectors
 from contrail.llm.text import bound_batches, sha256_hex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,3 +198,9 @@ SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BI
        sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
 """
+
+
+@register
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's near copies of the same label: how many, and the least id they connect it with."""
+    return vectors.near_copies(table(spark, sf_dir, "embeddings"))
