@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from contrail.llm import bpe, decontaminate, dedup, extract, licenses, pii, quality, simhash, topk, toxicity, vectors
+from contrail.llm import bpe, decontaminate, dedup, extract, licenses, pii, prefixes, quality, simhash, topk, toxicity, vectors
 from contrail.llm.text import bound_batches, sha256_hex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -204,3 +204,51 @@ FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
 def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector's near copies of the same label: how many, and the least id they connect it with."""
     return vectors.near_copies(table(spark, sf_dir, "embeddings"))
+
+
+@register
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    return prefixes.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op13_prefix_trie"] = r"""
+WITH t AS (
+    SELECT conv_id, turn, coalesce(text, '') AS x,
+           left(sha256(octet_length(encode(coalesce(role, '')))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')), 32) AS dig
+    FROM conversations WHERE conv_id IS NOT NULL
+), d AS (
+    SELECT conv_id, dig, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS words,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, dig) - 1 AS pos FROM t
+), c AS (
+    SELECT conv_id, conv_id - conv_id % 20 AS base, xor(4294967295, list_reduce(
+               list_concat([4294967295], list_transform(string_split(conv_id::VARCHAR, ''), lambda z: ascii(z)::BIGINT)),
+               lambda a, b: list_reduce(list_concat([xor(a, b)], [0, 0, 0, 0, 0, 0, 0, 0]),
+                                        lambda v, z: xor(v >> 1, 3988292384 * (v & 1))))) % 4 AS h
+    FROM (SELECT DISTINCT conv_id FROM t)
+), sizes AS (SELECT conv_id AS base, count(*) AS n FROM d GROUP BY 1
+), rebuilt AS (
+    SELECT c.conv_id, d.pos AS place, dig, words FROM c JOIN d ON d.conv_id = c.base AND d.pos < c.h
+    UNION ALL
+    SELECT c.conv_id, d.pos - c.h + least(c.h, coalesce(n, 0)), dig, words
+    FROM c JOIN d ON d.conv_id = c.conv_id AND d.pos >= c.h LEFT JOIN sizes USING (base)
+), paths AS (
+    SELECT conv_id, place + 1 AS depth, string_agg(dig, '') OVER (PARTITION BY conv_id ORDER BY place) AS path, words FROM rebuilt
+    UNION ALL SELECT conv_id, 0, '', 0 FROM c
+), ends AS (SELECT conv_id, max(depth) AS size FROM paths GROUP BY 1
+), nodes AS (
+    SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, min(words) AS words,
+           string_agg(CASE WHEN depth = size THEN conv_id::VARCHAR END, ',' ORDER BY conv_id) AS enders
+    FROM paths JOIN ends USING (conv_id) GROUP BY path, depth
+), kids AS (SELECT left(path, len(path) - 32) AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1
+), below AS (
+    SELECT p.path, sum(CASE WHEN k.n IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((u.n_convs - 1) * u.words) AS saved
+    FROM nodes u LEFT JOIN kids k ON k.path = u.path JOIN paths p ON p.conv_id = u.conv_id AND p.depth <= u.depth GROUP BY p.path
+)
+SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, CASE WHEN v.depth > 0 THEN up.conv_id END AS parent_conv_id,
+       CAST(v.n_convs AS BIGINT) AS n_convs, CAST(coalesce(k.n, 0) AS BIGINT) AS n_children,
+       CAST(b.n_leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens,
+       sha256(coalesce(v.enders, '')) AS ends_sha256
+FROM nodes v JOIN below b ON b.path = v.path LEFT JOIN kids k ON k.path = v.path
+LEFT JOIN nodes up ON v.depth > 0 AND up.path = left(v.path, len(v.path) - 32)
+"""
