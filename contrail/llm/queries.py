@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from contrail.llm import bpe, decontaminate, dedup, extract, licenses, pii, prefixes, quality, simhash, topk, toxicity, vectors
+from contrail.llm import alignment, bpe, decontaminate, dedup, extract, licenses, pii, prefixes, quality, simhash
+from contrail.llm import topk, toxicity, vectors
 from contrail.llm.text import bound_batches, sha256_hex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -252,3 +253,11 @@ SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, CASE WHEN v.depth > 0 THEN u
 FROM nodes v JOIN below b ON b.path = v.path LEFT JOIN kids k ON k.path = v.path
 LEFT JOIN nodes up ON v.depth > 0 AND up.path = left(v.path, len(v.path) - 32)
 """
+
+
+@register
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens by two tokenizers, laid beside each other and counted over all documents."""
+    path = public_tokenizers.path
+    files = alignment.load(spark, path("byte_bpe_50k.json"), path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+    return alignment.align(table(spark, sf_dir, "documents"), files)
