@@ -26,7 +26,7 @@ import hashlib
 import heapq
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +48,8 @@ DOCS, RECORDS = -2, -1  # parts of a chunk beside its digits
 B_SHIFT = 32
 
 _STRETCH = re.compile(r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
+_PLAIN = re.compile(r" \S+")
+JOINED = 500  # plain stretches that are encoded by one call
 _CUT = re.compile(r"\S(?=[ \n])")
 
 
@@ -95,33 +97,65 @@ class Tokenizers:
             bytes([int(name[1:-1], 16)]) if self.b.is_byte(i) else name.replace("▁", " ").encode() if inside[i] else b""
             for i, name in enumerate(names)
         ]
+        self.a_feed = ranks[b"\n"]
+        self.a_size = [len(self.a_bytes.get(i, b"")) for i in range(max(self.a_bytes) + 1)]
+        self.b_size = [len(entry) for entry in self.b_bytes]
         self.b_start = [self.b.piece_to_id("▁"), self.b.piece_to_id("<0x0A>")]
 
-    def encode(self, stretches: list[str]) -> Iterator[tuple[list[int], list[int]] | None]:
-        """Ids of A and B per stretch; None where their bytes are not the stretch's."""
-        # nothing merges with a line feed, so behind one there is no added space to care for
+    def _encoded(self, stretches: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+        # nothing of B merges with a line feed, so behind one there is no added space to care for
         found = self.b.encode(["\n" + s for s in stretches], num_threads=1)
         for stretch, b in zip(stretches, found):
-            a = self.a.encode_ordinary(stretch)
-            whole, b_start, b = stretch.encode(), b[:2], b[2:]
-            same_a = b"".join(map(self.a_bytes.__getitem__, a)) == whole
-            same_b = b"".join(map(self.b_bytes.__getitem__, b)) == whole
-            yield (a, b) if same_a and same_b and b_start == self.b_start else None
-
-    def groups(self, a: list[int], b: list[int]) -> Iterator[tuple[list[int], list[int]]]:
-        """The ids between places where tokens of both sides end."""
-        a_ends = np.cumsum([len(self.a_bytes[i]) for i in a]).tolist()
-        b_ends = np.cumsum([len(self.b_bytes[i]) for i in b]).tolist()
+            yield self.a.encode_ordinary(stretch), b[2:] if b[:2] == self.b_start else []
+
+    def _joined(self, stretches: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+        """Stretches of one space and one word, with line feeds between them that stay tokens of their own."""
+        a, b = self.a.encode_ordinary("\n".join(stretches) + "\n"), self.b.encode("\n" + "\n".join(stretches) + "\n")[2:]
+        at_a = at_b = 0
+        for _ in stretches:
+            to_a, to_b = a.index(self.a_feed, at_a), b.index(self.b_start[1], at_b)
+            yield a[at_a:to_a], b[at_b:to_b]
+            at_a, at_b = to_a + 1, to_b + 1
+
+    def encode(self, stretches: list[str]) -> Iterator[tuple[list[int], list[int]] | None]:
+        """Ids of A and B per stretch; None where their bytes are not the stretch's."""
+        plain = [s for s in stretches if _PLAIN.fullmatch(s)]
+        quick: dict[str, tuple[list[int], list[int]]] = {}
+        for at in range(0, len(plain), JOINED):
+            quick.update(zip(plain[at : at + JOINED], self._joined(plain[at : at + JOINED])))
+        slow = [s for s in stretches if s not in quick]
+        quick.update(zip(slow, self._encoded(slow)))
+        a_bytes, b_bytes = self.a_bytes, self.b_bytes
+        for stretch in stretches:
+            a, b = quick[stretch]
+            whole = stretch.encode()
+            same = b"".join([a_bytes[i] for i in a]) == whole and b"".join([b_bytes[i] for i in b]) == whole
+            yield (a, b) if same else None
+
+    def groups(self, a: list[int], b: list[int]) -> tuple[bytes, list[int]]:
+        """The ids between places where tokens of both sides end, as text, and the pairs that end there."""
+        a_size, b_size = self.a_size, self.b_size
+        texts, keys = [], []
         at_a = at_b = i = j = 0
-        while i < len(a) and j < len(b):
-            if a_ends[i] == b_ends[j]:
-                yield a[at_a : i + 1], b[at_b : j + 1]
+        a_end, b_end = a_size[a[0]], b_size[b[0]]
+        while True:
+            if a_end == b_end:
                 i, j = i + 1, j + 1
+                if i - at_a == 1 and j - at_b == 1:
+                    texts.append(f"{a[at_a]}|{b[at_b]}")
+                else:
+                    texts.append(f"{','.join(map(str, a[at_a:i]))}|{','.join(map(str, b[at_b:j]))}")
+                keys.append(b[j - 1] << B_SHIFT | a[i - 1])
+                if i == len(a):
+                    return ";".join(texts).encode(), keys
                 at_a, at_b = i, j
-            elif a_ends[i] < b_ends[j]:
+                a_end, b_end = a_end + a_size[a[i]], b_end + b_size[b[j]]
+            elif a_end < b_end:
                 i += 1
+                a_end += a_size[a[i]]
             else:
                 j += 1
+                b_end += b_size[b[j]]
 
 
 _loaded: dict[int, Tokenizers] = {}
@@ -258,7 +292,7 @@ class _Grown:
     def __init__(self):
         self.size, self.values = 0, np.zeros(1024, np.int64)
 
-    def extend(self, values: list[int]) -> None:
+    def extend(self, values: Sequence[int]) -> None:
         while self.size + len(values) > len(self.values):
             self.values = np.concatenate([self.values, np.zeros_like(self.values)])
         self.values[self.size : self.size + len(values)] = values
@@ -291,21 +325,21 @@ class Chunk:
         self.held = 0
 
     def _learn(self, stretches: list[str]) -> None:
+        rows, linked, first, groups, pairs = [], [], self.linked.size, self.tools.groups, self.pairs
         for stretch, ids in zip(stretches, self.tools.encode(stretches)):
-            number = len(self.texts)
-            self.known[stretch] = number
+            self.known[stretch] = len(self.texts)
             if ids is None:
-                self.bad.add(number)
-                groups, ids = [], ([], [])
+                self.bad.add(len(self.texts))
+                ids, text, keys = ([], []), b"", []
             else:
-                groups = list(self.tools.groups(*ids))
-            text = ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups).encode()
-            keys = [b[-1] << B_SHIFT | a[-1] for a, b in groups]
-            for column, value in zip(self.sizes, (len(ids[0]), len(ids[1]), len(groups), self.linked.size)):
-                column.extend([value])
-            self.linked.extend([self.pairs.setdefault(key, len(self.pairs)) for key in keys])
+                text, keys = groups(*ids)
+            rows.append((len(ids[0]), len(ids[1]), len(keys), first + len(linked)))
+            linked += [pairs.setdefault(key, len(pairs)) for key in keys]
             self.texts.append(text)
             self.cached += len(text) + len(stretch)
+        self.linked.extend(linked)
+        for column, values in zip(self.sizes, zip(*rows)):
+            column.extend(values)
 
     def add(self, doc_id, body: bytes) -> None:
         try:
@@ -315,9 +349,9 @@ class Chunk:
         digest, totals, mine = hashlib.sha256(), np.zeros(3, np.int64), []
         for part in slices(" " + text) if text else ():
             found = _STRETCH.findall(part)
-            new = set(found) - self.known.keys()
+            new = [stretch for stretch in set(found) if stretch not in self.known]
             if new:
-                self._learn(sorted(new))
+                self._learn(new)
             numbers = list(map(self.known.__getitem__, found))
             if self.bad and not self.bad.isdisjoint(numbers):
                 mine = None
