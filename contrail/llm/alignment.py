@@ -43,7 +43,7 @@ CHUNK_RECORDS = 1_000_000
 FAN = 16  # runs that are merged at once
 BLOCK = 8192  # pairs of a run that are unpacked at once
 SLICE = 1 << 20  # characters of a text that are read at once
-CACHE_STRETCHES, CACHE_BYTES, CACHE_PAIRS = 300_000, 48_000_000, 1_000_000
+CACHE_STRETCHES, CACHE_BYTES, CACHE_PAIRS = 500_000, 64_000_000, 1_000_000
 DOCS, RECORDS = -2, -1  # parts of a chunk beside its digits
 B_SHIFT = 32
 
@@ -100,37 +100,41 @@ class Tokenizers:
         self.a_feed = ranks[b"\n"]
         self.a_size = [len(self.a_bytes.get(i, b"")) for i in range(max(self.a_bytes) + 1)]
         self.b_size = [len(entry) for entry in self.b_bytes]
-        self.b_start = [self.b.piece_to_id("▁"), self.b.piece_to_id("<0x0A>")]
+        self.b_feed = self.b.piece_to_id("<0x0A>")
+        self.b_start = [self.b.piece_to_id("▁"), self.b_feed]
 
-    def _encoded(self, stretches: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+    def _encoded(self, stretches: list[str]) -> Iterator[tuple[list[int], list[int]] | None]:
         # nothing of B merges with a line feed, so behind one there is no added space to care for
         found = self.b.encode(["\n" + s for s in stretches], num_threads=1)
         for stretch, b in zip(stretches, found):
-            yield self.a.encode_ordinary(stretch), b[2:] if b[:2] == self.b_start else []
+            a, fits = self.a.encode_ordinary(stretch), b[:2] == self.b_start
+            yield (a, b[2:]) if fits and self._spell(a, b[2:], stretch) else None
 
-    def _joined(self, stretches: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+    def _spell(self, a: list[int], b: list[int], text: str) -> bool:
+        """Whether the bytes of both sides are the text's."""
+        whole = text.encode()
+        return b"".join([self.a_bytes[i] for i in a]) == whole == b"".join([self.b_bytes[i] for i in b])
+
+    def _joined(self, stretches: list[str]) -> Iterator[tuple[list[int], list[int]] | None]:
         """Stretches of one space and one word, with line feeds between them that stay tokens of their own."""
-        a, b = self.a.encode_ordinary("\n".join(stretches) + "\n"), self.b.encode("\n" + "\n".join(stretches) + "\n")[2:]
+        text = "\n".join(stretches) + "\n"
+        a, b = self.a.encode_ordinary(text), self.b.encode("\n" + text)[2:]
+        if not self._spell(a, b, text):
+            yield from self._encoded(stretches)
+            return
         at_a = at_b = 0
         for _ in stretches:
-            to_a, to_b = a.index(self.a_feed, at_a), b.index(self.b_start[1], at_b)
+            to_a, to_b = a.index(self.a_feed, at_a), b.index(self.b_feed, at_b)
             yield a[at_a:to_a], b[at_b:to_b]
             at_a, at_b = to_a + 1, to_b + 1
 
-    def encode(self, stretches: list[str]) -> Iterator[tuple[list[int], list[int]] | None]:
-        """Ids of A and B per stretch; None where their bytes are not the stretch's."""
+    def encode(self, stretches: list[str]) -> Iterator[tuple[str, tuple[list[int], list[int]] | None]]:
+        """Every stretch with its ids of A and B; None where their bytes are not the stretch's. Plain ones come first."""
         plain = [s for s in stretches if _PLAIN.fullmatch(s)]
-        quick: dict[str, tuple[list[int], list[int]]] = {}
         for at in range(0, len(plain), JOINED):
-            quick.update(zip(plain[at : at + JOINED], self._joined(plain[at : at + JOINED])))
-        slow = [s for s in stretches if s not in quick]
-        quick.update(zip(slow, self._encoded(slow)))
-        a_bytes, b_bytes = self.a_bytes, self.b_bytes
-        for stretch in stretches:
-            a, b = quick[stretch]
-            whole = stretch.encode()
-            same = b"".join([a_bytes[i] for i in a]) == whole and b"".join([b_bytes[i] for i in b]) == whole
-            yield (a, b) if same else None
+            yield from zip(plain[at : at + JOINED], self._joined(plain[at : at + JOINED]))
+        others = [s for s in stretches if not _PLAIN.fullmatch(s)]
+        yield from zip(others, self._encoded(others))
 
     def groups(self, a: list[int], b: list[int]) -> tuple[bytes, list[int]]:
         """The ids between places where tokens of both sides end, as text, and the pairs that end there."""
@@ -326,7 +330,7 @@ class Chunk:
 
     def _learn(self, stretches: list[str]) -> None:
         rows, linked, first, groups, pairs = [], [], self.linked.size, self.tools.groups, self.pairs
-        for stretch, ids in zip(stretches, self.tools.encode(stretches)):
+        for stretch, ids in self.tools.encode(stretches):
             self.known[stretch] = len(self.texts)
             if ids is None:
                 self.bad.add(len(self.texts))
