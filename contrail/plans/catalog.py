@@ -12,7 +12,7 @@ from contrail.plans.feed import Feed, present
 from contrail.schemas import ANOMALIES, FLIGHTS, POSITIONS, WEATHER
 from contrail.session import scratch_path, written
 from contrail.sources import adapters, landing
-from contrail.streaming import jobs, spikes, topics
+from contrail.streaming import jobs, log, spikes, topics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -464,7 +464,10 @@ def _positions_stream(t: Feed) -> DataFrame:
 
 @query
 def stream_topics(t: Feed) -> DataFrame:
-    landed = topics.run_to_table(topics.envelopes(t.spark, t.sf_dir), "topics")
+    """The tables as a landed log of three topics, read as a stream with an offset per partition."""
+    root = scratch_path(t.spark, "log")
+    log.publish(topics.landed(t.spark, t.sf_dir), root)
+    landed = topics.run_to_table(log.stream_log(t.spark, root), "topics")
     return landed.groupBy("topic", "partition").agg(
         F.count(F.lit(1)).alias("events"),
         F.min("event_time").alias("first_event"),

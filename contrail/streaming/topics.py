@@ -64,14 +64,14 @@ def partition_of(key: Column, partitions: int = TOPIC_PARTITIONS) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") % partitions
 
 
-def envelopes(spark: SparkSession, folder: str) -> DataFrame:
-    """All three topics in one stream of (topic, partition, key, event_time, payload)."""
+def envelopes(rows_of: Callable[[str], DataFrame]) -> DataFrame:
+    """All three topics together as (topic, partition, key, event_time, payload)."""
     merged = None
     for topic in TOPICS:
-        rows, (_, _, key, time) = read_stream(spark, topic, folder), FEEDS[topic]
+        rows, (_, _, key, time) = rows_of(topic), FEEDS[topic]
         shaped = rows.select(
             F.lit(topic).alias("topic"),
-            partition_of(F.col(key)).alias("partition"),
+            partition_of(F.col(key)).cast("int").alias("partition"),
             F.col(key).alias("key"),
             F.col(time).alias("event_time"),
             F.to_json(F.struct("*")).alias("payload"),
@@ -80,6 +80,16 @@ def envelopes(spark: SparkSession, folder: str) -> DataFrame:
     return merged
 
 
+def landed(spark: SparkSession, folder: str) -> DataFrame:
+    """The messages that the tables of a folder stand for."""
+
+    def rows_of(topic: str) -> DataFrame:
+        name, rows, _, _ = FEEDS[topic]
+        return rows(adapters.table(spark, folder, name))
+
+    return envelopes(rows_of)
+
+
 def run_to_table(
     stream: DataFrame,
     label: str,
