@@ -1,4 +1,4 @@
-"""Delay model with Spark ML: gradient-boosted trees, and permutation importance."""
+"""Delay model with Spark ML: gradient-boosted trees, permutation importance and Shapley values."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from contrail.operators import shapley
 from contrail.operators.spread import lookup_join
 from contrail.session import written
 
@@ -22,6 +23,7 @@ NUMBERS = [
     "wind_speed_knots",
     "visibility_miles",
 ]
+INPUTS = [f"{c}_mean" for c in TEXT] + NUMBERS
 
 
 def model_rows(features: DataFrame) -> DataFrame:
@@ -73,10 +75,9 @@ def fit(train: DataFrame, iterations: int = 10, depth: int = 4, seed: int = 11,
         mean = (F.sum("label") + F.lit(overall * weight)) / (F.count("label") + F.lit(weight))
         table = train.groupBy(column).agg(F.round(mean, 6).alias(f"{column}_mean"))
         means[column] = written(table, "delay-means")
-    inputs = [f"{c}_mean" for c in TEXT] + NUMBERS
     trees = Pipeline(
         stages=[
-            VectorAssembler(inputCols=inputs, outputCol="features"),
+            VectorAssembler(inputCols=INPUTS, outputCol="features"),
             GBTRegressor(labelCol="label", maxIter=iterations, maxDepth=depth, seed=seed),
         ]
     ).fit(_encoded(train, means, overall))
@@ -121,3 +122,14 @@ def permutation_importance(model: DelayModel, rows: DataFrame) -> DataFrame:
     return errors.filter("changed != ''").select(
         F.col("changed").alias("feature"), F.round(F.col("mae") - base, 6).alias("importance"), "rows"
     )
+
+
+def shapley_rows(model: DelayModel, rows: DataFrame, background: DataFrame) -> DataFrame:
+    """flight_id, prediction, base and the value of every input: base and values add up to the prediction.
+
+    ``background`` are the rows that say how common each branch is, usually those of the training.
+    """
+    encoded = lambda frame: _encoded(frame, model.means, model.overall)
+    trees = shapley.covers(shapley.trees_of(model.trees.stages[-1]), encoded(background), INPUTS)
+    scored = predict(model, rows).select("flight_id", "prediction", *INPUTS)
+    return shapley.shapley_values(trees, scored, INPUTS, ["flight_id", "prediction"])

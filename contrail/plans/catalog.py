@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from contrail.functions.metar import with_metar_columns
-from contrail.operators import cep, features, forest, joins, models, pairs, quality, retrieval, serving, upkeep
+from contrail.operators import cep, features, forest, joins, models, pairs, quality, retrieval, serving, shapley, upkeep
 from contrail.plans.feed import Feed, present
 from contrail.schemas import ANOMALIES, FLIGHTS, POSITIONS, WEATHER
 from contrail.session import scratch_path, written
@@ -541,18 +541,26 @@ def delay_features(t: Feed) -> DataFrame:
 def _delay_model(t: Feed):
     rows = written(models.model_rows(features.delay_features(t.flights, t.weather)), "model-rows")
     train, test = models.split_by_time(rows)
-    return models.fit(train), test
+    return models.fit(train), test, train
 
 
 @query
 def delay_model_score(t: Feed) -> DataFrame:
-    model, test = _delay_model(t)
+    model, test, _ = _delay_model(t)
     return models.score(model, test)
 
 
 @query
 def delay_feature_importance(t: Feed) -> DataFrame:
-    return models.permutation_importance(*_delay_model(t))
+    model, test, _ = _delay_model(t)
+    return models.permutation_importance(model, test)
+
+
+@query
+def delay_feature_shapley(t: Feed) -> DataFrame:
+    """How much each input moves the predictions of the later flights, by exact Shapley values."""
+    model, test, train = _delay_model(t)
+    return shapley.by_feature(models.shapley_rows(model, test, train), models.INPUTS)
 
 
 @query
