@@ -493,7 +493,8 @@ def stream_dedup(t: Feed) -> DataFrame:
 
 @query
 def stream_cep(t: Feed) -> DataFrame:
-    return topics.run_to_table(spikes.stream_spikes(_positions_stream(t)), "spikes")
+    with spikes.rocks_state(t.spark):
+        return topics.run_to_table(spikes.stream_spikes(_positions_stream(t)), "spikes")
 
 
 @query

@@ -1,20 +1,25 @@
 """The altitude and speed rules on a stream, with state across micro-batches.
 
-State is kept per aircraft and time bucket, with the same halo copies as the
-batch job, so one busy aircraft is spread over its buckets. Samples wait until
-the watermark has passed them and are then judged in time order; the order of
-arrival does not matter.
+State is kept per aircraft and time bucket, with the same halo copies as the batch job, so one busy
+aircraft is spread over its buckets. Samples are appended to a list in the state store as they come; an
+event timer wakes the bucket once the watermark has passed its earliest waiting sample, and all
+that it has passed are judged in time order. The order of arrival does not matter. What no
+window can reach any more is dropped from the list when it makes up half of it, so a sample is written
+once and rewritten once at most on average.
+
+Lists and timers need the RocksDB state store: start the stream inside :func:`rocks_state`.
 """
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
+from contextlib import contextmanager
 from decimal import Decimal
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from contrail.operators.cep import (
     ALTITUDE_M,
@@ -27,84 +32,115 @@ from contrail.operators.spread import with_halo
 from contrail.streaming.jobs import WATERMARK
 
 HIT_SCHEMA = "icao24 string, position_id bigint, micros bigint, event_type string, up bigint, down bigint"
-# one entry per sample: time, id, altitude and speed in hundredths, whether it is context and whether it was judged
-STATE_SCHEMA = (
-    "micros array<bigint>, ids array<bigint>, alts array<bigint>, vels array<bigint>, "
-    "contexts array<boolean>, judged array<boolean>"
+# altitude and speed in hundredths
+SAMPLE_SCHEMA = "micros bigint, position_id bigint, alt bigint, vel bigint, is_context boolean"
+FIELDS = ["micros", "position_id", "alt", "vel", "is_context"]
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+# name, field, window, factor and limit that a change times the factor must reach
+RULES = (
+    ("altitude_spike", "alt", ALTITUDE_WINDOW_S, 1, int(ALTITUDE_M * 100)),
+    ("velocity_spike", "vel", VELOCITY_WINDOW_S, 3600, KNOTS_100_M_PER_H * 100),
 )
-TIME, ID, ALT, VEL, CONTEXT, JUDGED = range(6)
+REACH_US = VELOCITY_WINDOW_S * 1_000_000
+
 
+@contextmanager
+def rocks_state(spark: SparkSession):
+    """Streams that start inside keep their state in RocksDB."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKS)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(PROVIDER)
+        else:
+            spark.conf.set(PROVIDER, before)
 
-def _changes(samples: list[list], field: int, seconds: int) -> list[tuple[int, int] | None]:
-    """Rise over the lowest and fall from the highest value of each trailing window.
 
-    Two queues hold the values that can still be lowest and highest, so the whole
-    series takes one pass.
+def changes(times: np.ndarray, values: pd.Series, seconds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rise over the lowest and fall from the highest value of each trailing window, both ends included.
+
+    Times ascend. Missing values have no change and count for no window.
     """
-    found: list[tuple[int, int] | None] = []
-    lows: deque[tuple[int, int]] = deque()
-    highs: deque[tuple[int, int]] = deque()
-    for sample in samples:
-        value, first = sample[field], sample[TIME] - seconds * 1_000_000
-        if value is None:
-            found.append(None)
-            continue
-        while lows and lows[-1][1] >= value:
-            lows.pop()
-        while highs and highs[-1][1] <= value:
-            highs.pop()
-        lows.append((sample[TIME], value))
-        highs.append((sample[TIME], value))
-        while lows[0][0] < first:
-            lows.popleft()
-        while highs[0][0] < first:
-            highs.popleft()
-        found.append((value - lows[0][1], value - highs[0][1]))
-    return found
+    series = pd.Series(values.to_numpy("float64", na_value=np.nan), index=pd.to_datetime(times, unit="us"))
+    window = series.rolling(f"{seconds}s", closed="both", min_periods=1)
+    up, down = series - window.min(), series - window.max()
+    return up.fillna(0).to_numpy().astype("int64"), down.fillna(0).to_numpy().astype("int64")
 
 
-RULES = (
-    ("altitude_spike", ALT, ALTITUDE_WINDOW_S, 1, int(ALTITUDE_M * 100)),
-    ("velocity_spike", VEL, VELOCITY_WINDOW_S, 3600, KNOTS_100_M_PER_H * 100),
-)
+def judge(samples: pd.DataFrame, since: int, passed: int) -> list[tuple]:
+    """Hits among the samples of ``since`` <= time < ``passed``; of one instant the lowest id stands."""
+    known = samples[samples["micros"] < passed].sort_values(["micros", "position_id"]).drop_duplicates("micros")
+    times = known["micros"].to_numpy()
+    due = (times >= since) & ~known["is_context"].to_numpy(bool)
+    hits = []
+    for name, field, seconds, factor, limit in RULES if due.any() else ():
+        up, down = changes(times, known[field], seconds)
+        found = due & ((up * factor >= limit) | (down * factor <= -limit))
+        ids = known["position_id"].to_numpy()
+        hits += [
+            (int(i), int(t), name, int(u), int(d)) for i, t, u, d in zip(ids[found], times[found], up[found], down[found])
+        ]
+    return hits
 
 
-def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    merged = {sample[TIME]: list(sample) for sample in zip(*state.get)} if state.exists else {}
+def as_samples(frame: pd.DataFrame) -> list[tuple]:
+    """Rows as the state store takes them."""
     whole = lambda value: None if pd.isna(value) else int(value)
-    for frame in frames if not state.hasTimedOut else ():
-        columns = (frame[name] for name in ("micros", "position_id", "alt", "vel", "is_context"))
-        for t, pid, alt, vel, context in zip(*columns):
-            # of repeated samples of one instant the lowest id stands, unless one was judged
-            if t not in merged or (pid < merged[t][ID] and not merged[t][JUDGED]):
-                merged[int(t)] = [int(t), int(pid), whole(alt), whole(vel), bool(context), False]
-    samples = [merged[t] for t in sorted(merged)]
-    mark = state.getCurrentWatermarkMs()
-    passed = mark * 1000
-    due = []
-    for at, sample in enumerate(samples):
-        if sample[TIME] < passed and not sample[JUDGED]:
-            sample[JUDGED] = True
-            if not sample[CONTEXT]:
-                due.append(at)
-    hits = []
-    for name, field, seconds, factor, limit in RULES if due else ():
-        changes = _changes(samples, field, seconds)
-        for at in due:
-            up, down = changes[at] or (0, 0)
-            if up * factor >= limit or down * factor <= -limit:
-                hits.append((key[0], samples[at][ID], samples[at][TIME], name, up, down))
-    horizon = passed - VELOCITY_WINDOW_S * 1_000_000
-    kept = [s for s in samples if not s[JUDGED] or s[TIME] >= horizon]
-    if kept:
-        state.update(tuple(list(column) for column in zip(*kept)))
-        waiting = [s[TIME] for s in kept if not s[JUDGED]]
-        # wake when the next sample, or else the last context sample, is passed
-        wake = min(waiting) if waiting else kept[-1][TIME] + VELOCITY_WINDOW_S * 1_000_000
-        state.setTimeoutTimestamp(max(wake // 1000, mark) + 1)
-    elif state.exists:
-        state.remove()
-    yield pd.DataFrame(hits, columns=["icao24", "position_id", "micros", "event_type", "up", "down"])
+    return [(int(t), int(i), whole(a), whole(v), bool(c)) for t, i, a, v, c in frame.itertuples(index=False)]
+
+
+class SpikeRules(StatefulProcessor):
+    """One aircraft and time bucket: waiting samples, how far they were judged, when to wake."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.samples = handle.getListState("samples", SAMPLE_SCHEMA)
+        self.judged = handle.getValueState("judged", "until bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        earliest = None
+        for frame in rows:
+            if len(frame):
+                frame = frame[FIELDS].sort_values(["micros", "position_id"]).drop_duplicates("micros")
+                self.samples.appendList(as_samples(frame))
+                first = int(frame["micros"].iloc[0])
+                earliest = first if earliest is None else min(earliest, first)
+        if earliest is not None:
+            self._wake(earliest, timerValues.getCurrentWatermarkInMs())
+        return iter(())
+
+    def _wake(self, micros: int, watermark: int) -> None:
+        at = max(micros // 1000 + 1, watermark + 1)
+        # those that the watermark has reached go off in this batch
+        if not any(watermark < timer <= at for timer in self.handle.listTimers()):
+            self.handle.registerTimer(at)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        passed = mark * 1000
+        since = self.judged.get()[0] if self.judged.exists() else 0
+        samples = pd.DataFrame(list(self.samples.get()) if self.samples.exists() else [], columns=FIELDS)
+        hits = judge(samples, since, passed) if len(samples) else []
+        times = samples["micros"].to_numpy("int64")
+        waiting, near = times >= passed, times >= passed - REACH_US
+        if not near.any():
+            self.samples.clear()
+            self.judged.clear()
+        else:
+            if 2 * near.sum() <= len(times):
+                self.samples.put(as_samples(samples[near]))
+            self.judged.update((passed,))
+            # the next sample, or else when the last one can be forgotten
+            self._wake(int(times[waiting].min()) if waiting.any() else int(times.max()) + REACH_US, mark)
+        rows = [(key[0], *hit) for hit in hits]
+        yield pd.DataFrame(rows, columns=["icao24", "position_id", "micros", "event_type", "up", "down"])
+
+    def close(self) -> None:
+        pass
 
 
 def stream_spikes(positions: DataFrame, bucket_s: int = WINDOW_BUCKET_S) -> DataFrame:
@@ -119,8 +155,8 @@ def stream_spikes(positions: DataFrame, bucket_s: int = WINDOW_BUCKET_S) -> Data
         hundredths("velocity").alias("vel"),
     ).withWatermark("position_time", WATERMARK)
     halo = with_halo(samples, "position_time", bucket_s, max(ALTITUDE_WINDOW_S, VELOCITY_WINDOW_S))
-    hits = halo.groupBy("icao24", "bucket").applyInPandasWithState(
-        _advance, HIT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout
+    hits = halo.groupBy("icao24", "bucket").transformWithStateInPandas(
+        SpikeRules(), HIT_SCHEMA, outputMode="append", timeMode="eventTime"
     )
     metres = lambda c: (F.col(c).cast("decimal(18,0)") / Decimal("100")).cast("decimal(9,2)")
     return hits.select(

@@ -1,5 +1,7 @@
 import os
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,7 +50,8 @@ def test_spikes_equal_batch_over_many_batches(spark, arrivals):
     )
     last = positions(spark).agg(F.date_trunc("millisecond", F.max("position_time")).alias("m")).scalar()
     wanted = batch.filter(F.col("position_time") < last - F.expr("INTERVAL 10 MINUTES")).select(columns)
-    got = topics.run_to_table(spikes.stream_spikes(stream(spark, arrivals), bucket_s=300), "spikes").select(columns)
+    with spikes.rocks_state(spark):
+        got = topics.run_to_table(spikes.stream_spikes(stream(spark, arrivals), bucket_s=300), "spikes").select(columns)
     assert rows(got) == rows(wanted) and len(rows(wanted)) > 300
 
 
@@ -109,3 +112,38 @@ def test_table_job_goes_on_after_a_restart(spark, arrivals, tmp_path):
     places = {"path": f"{tmp_path}/out", "checkpoint": f"{tmp_path}/cp"}
     first = topics.run_to_table(stream(spark, arrivals), "p", **places).count()
     assert topics.run_to_table(stream(spark, arrivals), "p", **places).count() == first == 1000
+
+
+def test_changes_equal_plain_windows():
+    rng = np.random.default_rng(4)
+    times = np.cumsum(rng.integers(1, 20, 300)) * 1_000_000
+    values = pd.Series(rng.integers(-500, 500, 300), dtype="object").where(pd.Series(rng.random(300) < 0.8), None)
+    up, down = spikes.changes(times, values.astype("Int64"), 30)
+    for at in range(300):
+        near = [v for t, v in zip(times, values) if times[at] - 30_000_000 <= t <= times[at] and v is not None]
+        v = values[at]
+        assert (up[at], down[at]) == ((0, 0) if v is None or v is pd.NA or pd.isna(v) else (v - min(near), v - max(near)))
+
+
+def test_spike_state_goes_on_after_a_restart_and_forgets(spark, arrivals, tmp_path):
+    """Landed in two parts with a restart between them: the same hits, and only samples near the watermark stay."""
+    landing = tmp_path / "in"
+    landing.mkdir()
+    names = sorted(n for n in os.listdir(arrivals) if n.endswith(".parquet") and n.startswith("events"))
+    places = {"path": f"{tmp_path}/out", "checkpoint": f"{tmp_path}/cp"}
+    for some in (names[:3], names[3:]):
+        for name in some:
+            (landing / name).write_bytes(open(f"{arrivals}/{name}", "rb").read())
+        with spikes.rocks_state(spark):
+            got = topics.run_to_table(spikes.stream_spikes(stream(spark, str(landing)), bucket_s=300), "s", **places)
+    with spikes.rocks_state(spark):
+        once = topics.run_to_table(spikes.stream_spikes(stream(spark, arrivals), bucket_s=300), "s")
+    assert rows(got) == rows(once) and got.count() > 300
+    with spikes.rocks_state(spark):
+        state = spark.read.format("statestore").option("stateVarName", "samples").load(f"{tmp_path}/cp")
+        held = state.select(F.explode("list_value").alias("v")).select("v.*") if "list_value" in state.columns else state.select("list_element.*")
+        kept, first = held.count(), held.agg(F.min("micros")).first()[0]
+    last = positions(spark).agg(F.max(F.unix_micros("position_time"))).first()[0]
+    mark = last - 600_000_000
+    # whole lists are dropped or cut in half, so none reaches back further than its own bucket and window
+    assert 0 < kept < 1000 and first >= mark - 300_000_000 - 2 * spikes.REACH_US
