@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from contrail.operators.serving import latest, window_metrics
+from contrail.operators.serving import window_metrics
 from contrail.operators.spread import lookup_join, time_bucket
 from contrail.session import scratch_path
+from contrail.streaming.keyed import BUCKETS, KeyedTable
 
 WATERMARK = "10 minutes"
 
@@ -69,16 +69,6 @@ def _each_batch(stream: DataFrame, work, checkpoint: str, trigger: dict[str, obj
     return query
 
 
-def current_state(spark: SparkSession, target: str, columns: list[str]) -> DataFrame | None:
-    """The newest finished table under ``target``, None before the first batch."""
-    try:
-        slots = spark.read.parquet(target)
-    except AnalysisException:
-        return None
-    newest = slots.agg(F.max("_batch").alias("b")).scalar()
-    return slots.filter((F.col("slot") == F.lit(newest) % 4) & (F.col("_batch") == newest)).select(columns)
-
-
 def keep_latest(
     positions: DataFrame,
     key: str = "icao24",
@@ -87,28 +77,18 @@ def keep_latest(
     target: str | None = None,
     checkpoint: str | None = None,
     trigger: dict[str, object] | None = None,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Current state per aircraft, merged batch by batch into a keyed table.
 
-    Batch n is written to one of four slots from the table of batch n - 1, so a
-    repeated batch writes the same table again and a reader keeps a finished one. Started
+    A batch rewrites only buckets of its own keys, and a repeated batch changes nothing. Started
     again with the same ``target`` and ``checkpoint`` the job goes on where it stopped.
     """
     spark = positions.sparkSession
     root = target or scratch_path(spark, "latest")
-    columns = positions.columns
-
-    def slot(batch: int) -> str:
-        return f"{root}/slot={batch % 4}"
-
-    def merge(rows: DataFrame, batch: int) -> None:
-        newest = latest(rows, key, time, tie)
-        if batch > 0:
-            newest = latest(spark.read.parquet(slot(batch - 1)).select(columns).unionByName(newest), key, time, tie)
-        newest.withColumn("_batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(slot(batch))
-
-    _each_batch(positions, merge, checkpoint or root.rstrip("/") + "-checkpoint", trigger)
-    state = current_state(spark, root, columns)
+    table = KeyedTable(spark, root, key, time, tie, buckets)
+    _each_batch(positions, table.merge, checkpoint or root.rstrip("/") + "-checkpoint", trigger)
+    state = table.read(positions.columns)
     return spark.createDataFrame([], positions.schema) if state is None else state
 
 
