@@ -22,13 +22,16 @@ def clean_transcripts(turns: DataFrame) -> DataFrame:
     return turns.select("conv_id", "turn", "role", F.array_join(F.array_distinct(lines), "\n").alias("text"))
 
 
-def answer_pairs(turns: DataFrame, least_words: int = 1, most_words: int = 2048) -> DataFrame:
-    """Each user turn with the assistant turn right behind it, both of bounded length; equal pairs once.
+def answer_pairs(turns: DataFrame, least_words: int = 1, most_words: int | None = None) -> DataFrame:
+    """Each user turn with the assistant turn right behind it; equal pairs once.
 
-    Of equal pairs the one with the smallest conversation and turn stays.
+    Turns of less than ``least_words`` or, where it is given, more than ``most_words`` make no pair. Of
+    equal pairs the one with the smallest conversation and turn stays.
     """
     words = F.size(F.split("text", "\\s+"))
-    fit = turns.filter((F.length("text") > 0) & words.between(least_words, most_words))
+    fit = turns.filter((F.length("text") > 0) & (words >= least_words))
+    if most_words is not None:
+        fit = fit.filter(words <= most_words)
     asked = fit.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("prompt"))
     told = fit.filter("role = 'assistant'").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response")

@@ -98,14 +98,37 @@ def top_passages(passages: DataFrame, queries: DataFrame, k: int = 5, block: int
     return partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def central_chunks(best: DataFrame, documents: DataFrame) -> DataFrame:
+    """(query_id, vec_id, text): of each found document the chunk that has most in common with the others.
+
+    ``best`` holds (query_id, vec_id), a vector standing for the document with its id. A chunk counts its
+    distinct words that also stand in another document found for the query; ties go to the earlier
+    chunk. The chunks hold every word of a document, so any part of it can be chosen.
+    """
+    found = best.select("query_id", "vec_id").distinct()
+    texts = documents.select("doc_id", "text").filter("text IS NOT NULL")
+    wanted = found.select(F.col("vec_id").alias("doc_id")).distinct()
+    pieces = chunks(texts.join(wanted, "doc_id", "left_semi")).select(F.col("doc_id").alias("vec_id"), "chunk_no", "text")
+    pieces = found.join(pieces, "vec_id")
+    spoken = F.array_distinct(F.filter(F.split("text", " ", -1), lambda w: w != ""))
+    words = pieces.select("query_id", "vec_id", "chunk_no", F.explode(spoken).alias("word"))
+    common = words.groupBy("query_id", "word").agg(F.min("vec_id").alias("low"), F.max("vec_id").alias("high"))
+    common = common.filter("low < high").select("query_id", "word")
+    place = ["query_id", "vec_id", "chunk_no"]
+    counted = words.join(common, ["query_id", "word"]).groupBy(place).agg(F.count(F.lit(1)).alias("n"))
+    ranked = pieces.join(counted, place, "left")
+    order = F.struct(F.coalesce("n", F.lit(0)), -F.col("chunk_no"), "text")
+    return ranked.groupBy("query_id", "vec_id").agg(F.max_by("text", order).alias("text"))
+
+
 def passages_by_topic(topics: DataFrame, best: DataFrame, texts: DataFrame) -> DataFrame:
     """One row per event type with ids and texts of its passages, best first.
 
-    ``topics`` says which query stands for which event type, ``texts`` holds a text per vector;
+    ``topics`` says which query stands for which event type, ``texts`` holds a text per query and vector;
     a vector without one has an empty text.
     """
-    found = best.join(topics, "query_id").select("event_type", "rank", "vec_id")
-    told = lookup_join(found, texts.select("vec_id", F.col("text")), ["vec_id"], small_rows=0)
+    found = best.join(topics, "query_id").select("event_type", "query_id", "rank", "vec_id")
+    told = lookup_join(found, texts.select("query_id", "vec_id", "text"), ["query_id", "vec_id"], small_rows=0)
     text = F.coalesce("text", F.lit("")).alias("text")
     listed = told.groupBy("event_type").agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id", text))).alias("p"))
     return listed.select(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from contrail.functions.metar import with_metar_columns
-from contrail.operators import cep, features, forest, joins, models, pairs, quality, retrieval, serving, shapley, upkeep
+from contrail.operators import cep, features, forest, index, joins, models, pairs, quality, retrieval, serving, shapley, upkeep
 from contrail.plans.feed import Feed, present
 from contrail.schemas import ANOMALIES, FLIGHTS, POSITIONS, WEATHER
 from contrail.session import scratch_path, written
@@ -601,14 +601,30 @@ def rag_topk(t: Feed) -> DataFrame:
     return best.withColumn("score", F.round("score", 4))
 
 
+@query
+def rag_index_recall(t: Feed) -> DataFrame:
+    """The vector index asked with every twentieth vector, held against the exact search."""
+    vectors = t.table("embeddings")
+    asked = vectors.filter("vec_id % 20 = 0").select(
+        F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector")
+    )
+    exact = retrieval.top_passages(vectors, asked, 5).select("query_id", "vec_id", F.lit(True).alias("exact"))
+    found = index.search(vectors, asked, 5).select("query_id", "vec_id", F.lit(True).alias("found"))
+    both = exact.join(found, ["query_id", "vec_id"], "full")
+    return both.groupBy("query_id").agg(
+        F.count("exact").alias("hits"), F.count_if(F.col("exact") & F.col("found")).alias("found")
+    )
+
+
 @query
 def anomaly_prompt_table(t: Feed) -> DataFrame:
     """Anomalies with flight, weather at departure and passages; each event type asks with its topic's vector."""
     vectors = t.table("embeddings")
     asked = adapters.event_topics(t.spark)
     queries = retrieval.label_centroids(vectors).join(F.broadcast(asked.select("query_id")), "query_id", "left_semi")
-    best = retrieval.top_passages(vectors, queries, 3)
-    texts = adapters.passage_texts(vectors, t.table("documents"))
+    # used for the choice of chunks and for the passages
+    best = written(retrieval.top_passages(vectors, queries, 3), "best-passages")
+    texts = retrieval.central_chunks(best, t.table("documents"))
     passages = retrieval.passages_by_topic(asked, best, texts)
     flights = joins.weather_before(
         t.flights.select("flight_id", "carrier_code", "origin_airport", "dest_airport", "scheduled_dep_time"),

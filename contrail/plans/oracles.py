@@ -330,6 +330,22 @@ _VIEWS["departure_weather"] = """
     FROM flights f ASOF LEFT JOIN weather w
       ON f.origin_airport = w.airport_code AND f.scheduled_dep_time >= w.observed_at"""
 
+_VIEWS["found_chunks"] = """
+    SELECT query_id, vec_id, c AS chunk_no, w[c * 50 + 1 : c * 50 + 64] AS words
+    FROM (SELECT query_id, vec_id, w, unnest(range(0, (greatest(len(w) - 14, 1) - 1) // 50 + 1)) AS c
+          FROM (SELECT query_id, vec_id, string_split(text, ' ') AS w
+                FROM ranked_passages JOIN documents ON vec_id = doc_id WHERE rank <= 3 AND query_id < 4 AND text IS NOT NULL))"""
+_VIEWS["found_words"] = """
+    SELECT query_id, vec_id, chunk_no, word FROM (
+        SELECT DISTINCT query_id, vec_id, chunk_no, unnest(words) AS word FROM found_chunks) WHERE word <> ''"""
+_VIEWS["chosen_chunks"] = """
+    SELECT query_id, vec_id, arg_max(array_to_string(words, ' '), [n, -chunk_no]) AS text FROM (
+        SELECT c.query_id, c.vec_id, c.chunk_no, any_value(c.words) AS words, count(s.word) AS n
+        FROM found_chunks c LEFT JOIN found_words f USING (query_id, vec_id, chunk_no)
+        LEFT JOIN (SELECT query_id, word FROM found_words GROUP BY 1, 2 HAVING count(DISTINCT vec_id) > 1) s
+            ON s.query_id = c.query_id AND s.word = f.word
+        GROUP BY 1, 2, 3) GROUP BY 1, 2"""
+
 
 def _build(sql: str) -> str:
     """Put the views the text names, and those they name, in front of it."""
@@ -677,8 +693,8 @@ _QUERIES = {
         LEFT JOIN (
             SELECT ['altitude_spike', 'velocity_spike', 'route_deviation', 'ground_proximity'][query_id + 1] AS event_type,
                    string_agg(vec_id::VARCHAR, ',' ORDER BY rank) AS passage_ids,
-                   arg_min(coalesce(array_to_string(string_split(text, ' ')[1 : 64], ' '), ''), rank) AS first_passage
-            FROM ranked_passages LEFT JOIN documents ON vec_id = doc_id
+                   arg_min(coalesce(c.text, ''), rank) AS first_passage
+            FROM ranked_passages LEFT JOIN chosen_chunks c USING (query_id, vec_id)
             WHERE rank <= 3 AND query_id < 4 GROUP BY query_id) p ON a.event_type = p.event_type""",
     "stream_late_report": """
         SELECT batch, count(*) AS rows, count(*) FILTER (t < before - INTERVAL 10 MINUTES) AS late,
@@ -694,8 +710,7 @@ _QUERIES = {
         SELECT min(p).conv_id AS conv_id, min(p).turn AS turn, prompt, response FROM (
             SELECT {'conv_id': q.conv_id, 'turn': q.turn} AS p, q.text AS prompt, a.text AS response
             FROM clean_turns q JOIN clean_turns a ON q.conv_id = a.conv_id AND q.turn + 1 = a.turn
-            WHERE q.role = 'user' AND a.role = 'assistant' AND length(q.text) > 0 AND length(a.text) > 0
-              AND len(regexp_split_to_array(q.text, '\\s+')) <= 2048 AND len(regexp_split_to_array(a.text, '\\s+')) <= 2048)
+            WHERE q.role = 'user' AND a.role = 'assistant' AND length(q.text) > 0 AND length(a.text) > 0)
         GROUP BY prompt, response""",
     "dpo_pairs": """
         WITH ranked AS (

@@ -297,13 +297,6 @@ def metar_reports(events: DataFrame) -> DataFrame:
     )
 
 
-def passage_texts(embeddings: DataFrame, documents: DataFrame) -> DataFrame:
-    """A text per vector: the first 64 words of the document that has the vector's id."""
-    words = F.slice(F.split("text", " ", -1), 1, 64)
-    texts = documents.select(F.col("doc_id").alias("vec_id"), F.array_join(words, " ").alias("text"))
-    return lookup_join(embeddings.select("vec_id"), texts, ["vec_id"], small_rows=0)
-
-
 def event_topics(spark: SparkSession) -> DataFrame:
     """The label whose mean vector asks for passages on an event type."""
     rows = [("altitude_spike", 0), ("velocity_spike", 1), ("route_deviation", 2), ("ground_proximity", 3)]
