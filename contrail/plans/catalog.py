@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from contrail.functions.metar import with_metar_columns
-from contrail.operators import cep, features, forest, index, joins, models, pairs, quality, retrieval, serving, shapley, upkeep
+from contrail.operators import cep, features, forest, index, joins, layout, models, pairs, quality, retrieval, serving, shapley, upkeep
 from contrail.plans.feed import Feed, present
 from contrail.schemas import ANOMALIES, FLIGHTS, POSITIONS, WEATHER
 from contrail.session import scratch_path, written
@@ -427,9 +428,7 @@ def anomaly_open_queue(t: Feed) -> DataFrame:
     )
 
 
-@query
-def flights_lookup(t: Feed) -> DataFrame:
-    """The five indexed lookups, tagged with the column used."""
+def _five_lookups(flights: DataFrame) -> DataFrame:
     wanted = {
         "icao24": "000042",
         "callsign": "KAL123",
@@ -439,13 +438,36 @@ def flights_lookup(t: Feed) -> DataFrame:
     }
     found = None
     for column, value in wanted.items():
-        one = serving.find_flights(t.flights, **{column: value}).select(
+        one = serving.find_flights(flights, **{column: value}).select(
             F.lit(column).alias("looked_up"), "flight_id", "icao24", "callsign", "origin_airport", "dest_airport"
         )
         found = one if found is None else found.unionByName(one)
     return found
 
 
+@query
+def flights_lookup(t: Feed) -> DataFrame:
+    """The five indexed lookups, tagged with the column used."""
+    return _five_lookups(t.flights)
+
+
+@query
+def flights_lookup_table(t: Feed) -> DataFrame:
+    """The same lookups on the written table with bloom filters."""
+    path = scratch_path(t.spark, "flights")
+    layout.write_lookup(t.flights, path)
+    return _five_lookups(t.spark.read.parquet(path))
+
+
+@query
+def positions_box_layout(t: Feed) -> DataFrame:
+    """The box of positions_geo_box, read along the space-time curve."""
+    path = scratch_path(t.spark, "space-time")
+    layout.write_space_time(t.positions, path)
+    box = layout.read_box(t.spark, path, datetime(2024, 1, 1, 0, 10), datetime(2024, 1, 1, 0, 30), landing.AREA)
+    return box.select("position_id", "icao24", "position_time", "latitude", "longitude")
+
+
 @query
 def positions_geo_box(t: Feed) -> DataFrame:
     low, high = (F.lit(x).cast("timestamp") for x in ("2024-01-01 00:10:00", "2024-01-01 00:30:00"))

@@ -720,4 +720,8 @@ _QUERIES = {
         FROM ranked g JOIN ranked b ON g.lang = b.lang AND g.pair_no = b.pair_no AND g.quality = 1 AND b.quality = 0""",
 }
 
+# the same rows by other ways
+_QUERIES["flights_lookup_table"] = _QUERIES["flights_lookup"]
+_QUERIES["positions_box_layout"] = _QUERIES["positions_geo_box"]
+
 ORACLES = {name: _build(sql) for name, sql in _QUERIES.items()}
