@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from contrail.functions import hexgrid
 from contrail.operators.cep import severity_rank
 
 LATE_MIN = 15
 CELL_DEGREES = "0.25"
+HEX_LEVEL = 4
 
 
 def latest(df: DataFrame, key: str, time: str, tie: str) -> DataFrame:
@@ -61,6 +63,26 @@ def cell_counts(positions: DataFrame, degrees: str = CELL_DEGREES, length: str =
     )
 
 
+def hex_counts(positions: DataFrame, level: int = HEX_LEVEL, length: str = "5 minutes") -> DataFrame:
+    """Positions per hexagon and time window, with the hexagon's parent."""
+    placed = positions.filter("latitude IS NOT NULL AND longitude IS NOT NULL")
+    cell = hexgrid.hex_cell(F.col("latitude"), F.col("longitude"), level)
+    counted = placed.groupBy(F.window("position_time", length).alias("w"), cell.alias("cell")).agg(
+        F.count(F.lit(1)).alias("samples"), F.min("baro_altitude").alias("min_altitude")
+    )
+    parent = hexgrid.parent_of(F.col("cell"), level).alias("parent")
+    return counted.select(F.col("w.start").alias("window_start"), "cell", parent, "samples", "min_altitude")
+
+
+def hex_roll_up(counts: DataFrame, level: int) -> DataFrame:
+    """Counts of a level as counts of the level above, without the positions."""
+    rolled = counts.groupBy("window_start", F.col("parent").alias("cell")).agg(
+        F.sum("samples").alias("samples"), F.min("min_altitude").alias("min_altitude")
+    )
+    parent = hexgrid.parent_of(F.col("cell"), level - 1).alias("parent")
+    return rolled.select("window_start", "cell", parent, "samples", "min_altitude")
+
+
 def delay_stats(delays: DataFrame, by: list[str], late_min: int = LATE_MIN, exact: bool = True) -> DataFrame:
     """Departure delay figures per group, over flights whose delay is known.
 

@@ -398,6 +398,11 @@ def geo_cell_heatmap(t: Feed) -> DataFrame:
     return serving.cell_counts(t.positions)
 
 
+@query
+def geo_hex_heatmap(t: Feed) -> DataFrame:
+    return serving.hex_counts(t.positions)
+
+
 @query
 def delay_stats(t: Feed) -> DataFrame:
     dated = joins.with_local_flight_date(joins.with_delays(t.flights), t.airports)

@@ -720,6 +720,34 @@ _QUERIES = {
         FROM ranked g JOIN ranked b ON g.lang = b.lang AND g.pair_no = b.pair_no AND g.quality = 1 AND b.quality = 0""",
 }
 
+
+
+_SIDE = "(2 * pi() * cos(radians(36.0)) / {n} / sqrt(3))"
+
+
+def _with_hexagon(source: str, lat: str, lon: str, level: int, name: str) -> str:
+    """Rows with their place's hexagon: columns around the globe, rows over an equal-area projection true at 36 degrees."""
+    n = 90 * 2**level
+    return f"""
+        SELECT * EXCLUDE (x, y, q, r, rq, rr, rs, one, row_no), {level << 56}::BIGINT + (row_no << 28)
+               + ((CASE WHEN one THEN -rr - rs ELSE rq END + (row_no >> 1)) % {n} + {n}) % {n} AS {name}
+        FROM (SELECT *, CASE WHEN NOT one AND abs(rr - r) >= abs(rs - (-q - r)) THEN -rq - rs ELSE rr END AS row_no
+        FROM (SELECT *, abs(rq - q) > abs(rr - r) AND abs(rq - q) > abs(rs - (-q - r)) AS one
+        FROM (SELECT *, floor(q + 0.5)::BIGINT AS rq, floor(r + 0.5)::BIGINT AS rr, floor(-q - r + 0.5)::BIGINT AS rs
+        FROM (SELECT *, x - y / 3.0 AS q, y * 2.0 / 3.0 AS r
+        FROM (SELECT *, ({lon}::DOUBLE + 180.0) / 360.0 * {n} AS x,
+                     (sin(radians({lat}::DOUBLE)) + 1.0) / cos(radians(36.0)) / {_SIDE.format(n=n)} AS y FROM ({source}))))))"""
+
+
+_CENTRES = f"""
+        SELECT *, degrees(asin(greatest(-1.0, least(1.0, ((cell >> 28) & 268435455) * 1.5 * {_SIDE.format(n=1440)} * cos(radians(36.0)) - 1.0)))) AS lat,
+               ((cell & 268435455) + CASE WHEN (cell >> 28) % 2 = 1 THEN 0.5 ELSE 0.0 END) / 1440.0 * 360.0 - 180.0 AS lon
+        FROM (SELECT time_bucket(INTERVAL 5 MINUTES, position_time) AS window_start, cell, count(*) AS samples,
+                     min(baro_altitude)::DOUBLE AS min_altitude
+              FROM ({_with_hexagon("SELECT position_time, latitude, longitude, baro_altitude FROM positions", "latitude", "longitude", 4, "cell")})
+              GROUP BY 1, 2)"""
+_QUERIES["geo_hex_heatmap"] = f"""
+        SELECT window_start, cell, parent, samples, min_altitude FROM ({_with_hexagon(_CENTRES, "lat", "lon", 3, "parent")})"""
 # the same rows by other ways
 _QUERIES["flights_lookup_table"] = _QUERIES["flights_lookup"]
 _QUERIES["positions_box_layout"] = _QUERIES["positions_geo_box"]
