@@ -122,8 +122,9 @@ class SpikeRules(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
         passed = mark * 1000
-        since = self.judged.get()[0] if self.judged.exists() else 0
-        samples = pd.DataFrame(list(self.samples.get()) if self.samples.exists() else [], columns=FIELDS)
+        held = self.judged.get()
+        since = held[0] if held else 0
+        samples = pd.DataFrame(list(self.samples.get()), columns=FIELDS)
         hits = judge(samples, since, passed) if len(samples) else []
         times = samples["micros"].to_numpy("int64")
         waiting, near = times >= passed, times >= passed - REACH_US
