@@ -548,14 +548,14 @@ def stream_position_weather(t: Feed) -> DataFrame:
 
 @query
 def stream_late_report(t: Feed) -> DataFrame:
-    """The events arrive in five files, one after the other, so rows can be late."""
-    folder = scratch_path(t.spark, "arrivals")
-    events = t.table("events")
+    """The events arrive in five landings, one after the other, so rows can be late; the job goes on after each."""
+    folder, target = scratch_path(t.spark, "arrivals"), scratch_path(t.spark, "late")
+    events, report = t.table("events"), None
     for slot in range(5):
-        part = events.filter(F.col("event_id") % 5 == slot).coalesce(1)
-        part.write.mode("append").parquet(f"{folder}/events.parquet")
-    positions = topics.read_stream(t.spark, "flight-position", folder, files_per_trigger=1)
-    return jobs.late_report(positions)
+        events.filter(F.col("event_id") % 5 == slot).write.mode("append").parquet(f"{folder}/events.parquet")
+        positions = topics.read_stream(t.spark, "flight-position", folder)
+        report = jobs.late_report(positions, target=target)
+    return report
 
 
 # features, models, drift
