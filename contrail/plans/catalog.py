@@ -14,7 +14,7 @@ from contrail.plans.feed import Feed, present
 from contrail.schemas import ANOMALIES, FLIGHTS, POSITIONS, WEATHER
 from contrail.session import scratch_path, written
 from contrail.sources import adapters, landing
-from contrail.streaming import jobs, log, spikes, topics
+from contrail.streaming import jobs, late, log, spikes, topics
 
 DRIFT_RANGES = {"baro_altitude": (0.0, 600.0), "velocity": (0.0, 300.0), "vertical_rate": (-10.0, 10.0)}
 
@@ -564,6 +564,14 @@ def stream_enrich_static(t: Feed) -> DataFrame:
 
 @query
 def stream_position_weather(t: Feed) -> DataFrame:
+    positions = adapters.tied_track(topics.stream_files(t.spark, t.sf_dir, "orders"))
+    weather = topics.read_stream(t.spark, "weather-event", t.sf_dir)
+    with spikes.rocks_state(t.spark):
+        return topics.run_to_table(jobs.positions_with_weather(positions, t.flights, weather), "position-weather")
+
+
+@query
+def stream_departure_weather(t: Feed) -> DataFrame:
     departures = adapters.flights(topics.stream_files(t.spark, t.sf_dir, "orders")).select(
         "flight_id",
         F.col("origin_airport").alias("airport_code"),
@@ -585,6 +593,19 @@ def stream_late_report(t: Feed) -> DataFrame:
     return report
 
 
+@query
+def stream_late_dropped(t: Feed) -> DataFrame:
+    """The same five landings, with what the engine itself says it dropped behind the watermark."""
+    folder, target = scratch_path(t.spark, "arrivals"), scratch_path(t.spark, "deduplicated")
+    reports, events = scratch_path(t.spark, "dropped"), t.table("events")
+    for slot in range(5):
+        events.filter(F.col("event_id") % 5 == slot).write.mode("append").parquet(f"{folder}/events.parquet")
+        arrived = late.observed(topics.read_stream(t.spark, "flight-position", folder), "position_time")
+        late.run_with_report(jobs.deduplicated(arrived), "late-dropped", target, f"{reports}/landing={slot}")
+    told = late.read_report(t.spark, reports).withColumn("batch", F.col("landing").cast("bigint"))
+    return told.select("batch", "rows", F.col("dropped").alias("late"), "max_time")
+
+
 # features, models, drift
 
 

@@ -642,6 +642,15 @@ _QUERIES = {
     "stream_enrich_static": """
         SELECT g.*, a.airport_name, a.country FROM gate_events g LEFT JOIN airports a ON g.airport_code = a.airport_code""",
     "stream_position_weather": """
+        SELECT p.position_id, p.flight_id, p.airport_code, p.position_time, w.observed_at
+        FROM (SELECT t.position_id, t.flight_id, t.position_time,
+                     CASE WHEN epoch_us(t.position_time) * 2 <= epoch_us(f.scheduled_dep_time) + epoch_us(f.scheduled_arr_time)
+                          THEN f.origin_airport ELSE f.dest_airport END AS airport_code
+              FROM (SELECT *, position_id // 10 AS flight_id FROM track WHERE position_id % 13 != 0) t
+              JOIN flights f ON t.flight_id = f.flight_id) p
+        JOIN weather w ON p.airport_code = w.airport_code
+          AND w.observed_at BETWEEN p.position_time - INTERVAL 1 HOUR AND p.position_time""",
+    "stream_departure_weather": """
         SELECT f.flight_id, f.origin_airport AS airport_code, f.scheduled_dep_time AS position_time, w.observed_at
         FROM flights f JOIN weather w ON f.origin_airport = w.airport_code
           AND w.observed_at BETWEEN f.scheduled_dep_time - INTERVAL 1 HOUR AND f.scheduled_dep_time""",
@@ -761,6 +770,7 @@ _CENTRES = f"""
 _QUERIES["geo_hex_heatmap"] = f"""
         SELECT window_start, cell, parent, samples, min_altitude FROM ({_with_hexagon(_CENTRES, "lat", "lon", 3, "parent")})"""
 # the same rows by other ways
+_QUERIES["stream_late_dropped"] = _QUERIES["stream_late_report"]
 _QUERIES["flights_lookup_table"] = _QUERIES["flights_lookup"]
 _QUERIES["positions_box_layout"] = _QUERIES["positions_geo_box"]
 

@@ -56,6 +56,25 @@ def departures_with_weather(departures: DataFrame, weather: DataFrame) -> DataFr
     return d.join(w, near).drop("station", "hour", "seen_hour")
 
 
+def positions_with_weather(positions: DataFrame, flights: DataFrame, weather: DataFrame) -> DataFrame:
+    """Positions of a stream with each weather instant of the last hour at their flight's airport.
+
+    That is the origin for the first half of the scheduled flight time, its middle included, and the
+    destination after it. Flights are a static table; a position without a known flight has no airport and is left out.
+    """
+    legs = flights.select("flight_id", "origin_airport", "dest_airport", "scheduled_dep_time", "scheduled_arr_time")
+    tied = lookup_join(positions, legs, ["flight_id"], "inner", counted=flights)
+    twice_middle = F.unix_micros("scheduled_dep_time") + F.unix_micros("scheduled_arr_time")
+    first_half = F.unix_micros("position_time") * 2 <= twice_middle
+    placed = tied.select(
+        "position_id",
+        "flight_id",
+        F.when(first_half, F.col("origin_airport")).otherwise(F.col("dest_airport")).alias("airport_code"),
+        "position_time",
+    )
+    return departures_with_weather(placed.filter("airport_code IS NOT NULL"), weather)
+
+
 def _each_batch(stream: DataFrame, work, checkpoint: str, trigger: dict[str, object] | None):
     """Run ``work`` on every batch; without a trigger, on what the sources hold now."""
     query = (
