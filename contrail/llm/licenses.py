@@ -5,11 +5,14 @@ some consecutive words of a line or of the whole text, meets a template when it
 the required share of the template's words. The join is exact and filtered three ways, with all words in
 one global order, rarest in the whole corpus first: a block must hold a word of the
 template's prefix, must be long enough, and the places of the first shared word in
-both orders must leave room for the overlap.
+both orders must leave room for the overlap. What the join finds is confirmed by place: the
+shared words must stand in a stretch of the block that is not longer than the template
+over the share, so words scattered over a paragraph, or a longer notice around them, are no match.
+A stretch inside a longer one that met another licence's template gives no label of its own.
 
-Null texts count as empty. Lines of any length are covered: a line longer than a block
+Null texts count as empty. Lines and templates of any length are covered: a line longer than a block
 is cut into blocks that overlap by half, so every run of half a block's words stands
-whole in one. The same blocks run over the words of the whole text, for notices that are
+whole in one, and half a block is as long as the longest stretch that can meet a template. The same blocks run over the words of the whole text, for notices that are
 wrapped over several lines. Repeated rows are scanned alike. The templates and phrases are given
 as parameters; their number does not depend on the data.
 """
@@ -51,10 +54,19 @@ TEMPLATES = (
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided "
             "that the following conditions are met"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance "
+                 "with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
+            "granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+            "documentation files the software to deal in the software without restriction including without limitation the "
+            "rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit "
+            "persons to whom the software is furnished to do so subject to the following conditions the above copyright "
+            "notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
 CONTAINMENT = 0.95
-BLOCK_WORDS = 64
+LEAST_BLOCK = 64
 
 Labelled = tuple[tuple[str, str], ...]
 
@@ -86,6 +98,20 @@ def token_counts(docs: DataFrame, text: str, tokens: frozenset[bytes]) -> dict[b
     return dict.fromkeys(wanted, 0) | {row["token"].encode(): row["n"] for row in rows}
 
 
+def outermost(some: list[tuple], every: list[tuple]) -> list[tuple]:
+    """The stretches that no longer one of another label covers; both lists hold (start, end, label, containment)."""
+    ends: dict[str, int] = {}  # label -> the furthest end among the stretches seen so far
+    firsts: dict[str, int] = {}  # the earliest start of a stretch that ends there
+    inner, ordered = set(), sorted(set(every), key=lambda s: (s[0], -s[1]))
+    for start, end, label, share in ordered:
+        # what has been seen starts before, or at the same place and ends no sooner
+        if any(far > end or far == end and firsts[name] < start for name, far in ends.items() if name != label):
+            inner.add((start, end, label, share))
+        if end > ends.get(label, -1):
+            ends[label], firsts[label] = end, start
+    return [stretch for stretch in some if stretch not in inner]
+
+
 class Join:
     """Templates against text blocks, both as word lists in the global order."""
 
@@ -95,6 +121,9 @@ class Join:
         self.labels = [label for label, _ in templates]
         self.lists = [sorted(self.rank[token] for token in _token_set(notice)) for _, notice in templates]
         self.needed = [max(1, math.ceil(containment * len(ranks) - 1e-9)) for ranks in self.lists]
+        # the longest stretch that may hold a template's words
+        self.longest = [max(1, math.floor(len(words(notice.encode())) / containment + 1e-9)) for _, notice in templates]
+        self.block_words = max([LEAST_BLOCK, *(2 * longest for longest in self.longest)])
         # rank of a prefix word -> (template, its place in the template's order)
         self.prefixes: dict[int, list[tuple[int, int]]] = {}
         for number, (ranks, need) in enumerate(zip(self.lists, self.needed)):
@@ -121,19 +150,42 @@ class Join:
                     found.append((number, shared / len(ranks)))
         return found
 
-    def _stretch(self, ranks: np.ndarray, hits: np.ndarray, start: int, end: int, block_words: int) -> list[tuple]:
-        """The overlapping blocks of some consecutive words that meet a template: (start, end, label, containment)."""
-        found, step = [], max(1, block_words // 2)
-        for first in range(start, max(start + 1, end - block_words + step), step):
-            last = min(first + block_words, end)
+    def place(self, block: list[int], number: int) -> tuple[int, int, float] | None:
+        """The first stretch of a block that holds most of a template's words, and no more words than the template allows."""
+        wanted, longest = set(self.lists[number]), self.longest[number]
+        held: Counter = Counter()
+        best, left = None, 0
+        for right, rank in enumerate(block):
+            if rank not in wanted:
+                continue
+            held[rank] += 1
+            # keep to the allowed length, and begin with a word that is not held twice
+            while right - left >= longest or block[left] not in wanted or held[block[left]] > 1:
+                if block[left] in wanted:
+                    held[block[left]] -= 1
+                    if not held[block[left]]:
+                        del held[block[left]]
+                left += 1
+            if len(held) >= self.needed[number] and (best is None or len(held) > best[2]):
+                best = (left, right + 1, len(held))
+        return best and (best[0], best[1], best[2] / len(wanted))
+
+    def _stretch(self, ranks: np.ndarray, hits: np.ndarray, start: int, end: int) -> list[tuple]:
+        """Where some consecutive words meet a template, from overlapping blocks: (start, end, label, containment)."""
+        found, step = set(), self.block_words // 2
+        for first in range(start, max(start + 1, end - self.block_words + step), step):
+            last = min(first + self.block_words, end)
             if not hits[first:last].any():
                 continue
             block = np.unique(ranks[first:last])
-            for number, share in self.matches(block[block >= 0].tolist()):
-                found.append((first, last, self.labels[number], share))
-        return found
+            met = self.matches(block[block >= 0].tolist())
+            inside = ranks[first:last].tolist() if met else []
+            for number, _ in met:
+                if place := self.place(inside, number):
+                    found.add((first + place[0], first + place[1], self.labels[number], place[2]))
+        return sorted(found)
 
-    def scan(self, text: bytes, block_words: int) -> dict:
+    def scan(self, text: bytes) -> dict:
         lines = [words(line) for line in text.split(b"\n")]
         parts = [part for line in lines for part in line]
         places, base = [], set()
@@ -153,10 +205,12 @@ class Join:
         if hits.any():
             start = 0
             for line in lines:
-                spans += self._stretch(ranks, hits, start, start + len(line), block_words)
+                spans += self._stretch(ranks, hits, start, start + len(line))
                 start += len(line)
             if sum(map(bool, lines)) > 1:
-                wrapped = self._stretch(ranks, hits, 0, len(parts), block_words)
+                wrapped = self._stretch(ranks, hits, 0, len(parts))
+            every = spans + wrapped
+            spans, wrapped = (outermost(some, every) for some in (spans, wrapped))
         best = max([1.0 if base else 0.0, *(share for *_, share in spans + wrapped)])
         labels = base.union(label for _, _, label, _ in spans + wrapped)
         return {
@@ -192,9 +246,8 @@ def scan(text: Column, shared: Broadcast) -> Column:
         content = shared.value
         if content not in _joins:
             _joins.clear()
-            _joins[content] = Join(*pickle.loads(content)[:-1])
-        block_words = pickle.loads(content)[-1]
-        rows = [_joins[content].scan(body, block_words) for body in blobs(column)]
+            _joins[content] = Join(*pickle.loads(content))
+        rows = [_joins[content].scan(body) for body in blobs(column)]
         arrays = []
         for name, kind in FIELDS.items():
             values = [row[name] for row in rows]
@@ -213,12 +266,11 @@ def scan_documents(
     templates: Labelled = TEMPLATES,
     phrases: Labelled = PHRASES,
     containment: float = CONTAINMENT,
-    block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """One row per document: id, words, phrase places, labels, score and matching blocks of lines and of the whole text (in words)."""
     tokens = frozenset().union(*(_token_set(notice) for _, notice in templates)) if templates else frozenset()
     counts = token_counts(docs, text, tokens)
-    content = pickle.dumps((templates, phrases, counts, containment, block_words))
+    content = pickle.dumps((templates, phrases, counts, containment))
     shared = docs.sparkSession.sparkContext.broadcast(content)
     found = docs.select(F.col(doc_id).alias("doc_id"), scan(F.col(text), shared).alias("s"))
     return found.select("doc_id", "s.*")

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,26 +23,21 @@ def slow_base(text):
     return len(parts), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
 
 
-def slow_blocks(text, templates, containment, size):
-    found, start = set(), 0
-    for line in (text or "").encode().split(b"\n"):
-        own = words(line)
-        first = 0
-        while True:
-            block = set(own[first : first + size])
-            for label, notice in templates:
-                tokens = set(notice.encode().split())
-                if block and len(tokens & block) >= containment * len(tokens) - 1e-9:
-                    found.add((start + first, start + min(first + size, len(own)), label))
-            if first + size >= len(own):
-                break
-            first += max(1, size // 2)
-        start += len(own)
+def slow_labels(own, templates, containment):
+    """Labels of the templates that a short enough run of the words meets."""
+    found = set()
+    for label, notice in templates:
+        tokens = set(notice.split())
+        longest = max(1, int(len(notice.split()) / containment + 1e-9))
+        for at in range(len(own)):
+            if len(tokens.intersection(own[at : at + longest])) >= containment * len(tokens) - 1e-9:
+                found.add(label)
     return found
 
 
 @pytest.mark.parametrize("containment", [0.3, 0.6, 0.9, 1.0])
-def test_join_is_exact(containment):
+def test_join_is_exact(containment, monkeypatch):
+    monkeypatch.setattr(licenses, "LEAST_BLOCK", 2)
     draw = random.Random(8)
     letters = [c * 2 for c in "abcdefghijk"]
     for _ in range(150):
@@ -51,9 +47,53 @@ def test_join_is_exact(containment):
         tokens = frozenset(t.encode() for _, notice in templates for t in notice.split())
         counts = {t: draw.randint(0, 5) for t in tokens}
         join = licenses.Join(templates, licenses.PHRASES, counts, containment)
-        text = "".join(draw.choice([*letters, "zz"]) + draw.choice([" ", " ", " ", "\n"]) for _ in range(draw.randint(0, 40)))
-        found = join.scan(text.encode(), 8)["blocks"]
-        assert {(a, b, label) for a, b, label, _ in found} == slow_blocks(text, templates, containment, 8)
+        own = [draw.choice([*letters, "zz"]) for _ in range(draw.randint(0, 60))]
+        ranks = np.array([join.rank.get(w.encode(), -1) for w in own], np.int64)
+        found = join._stretch(ranks, join.is_prefix[ranks], 0, len(own))
+        assert {label for _, _, label, _ in found} == slow_labels(own, templates, containment)
+        for start, end, label, share in found:
+            tokens = [set(notice.split()) for name, notice in templates if name == label][0]
+            assert share == len(tokens.intersection(own[start:end])) / len(tokens) >= containment - 1e-9
+
+
+def test_outermost_against_brute_force():
+    draw = random.Random(9)
+    for _ in range(400):
+        every = []
+        for _ in range(draw.randint(0, 7)):
+            start = draw.randint(0, 6)
+            every.append((start, start + draw.randint(1, 6), draw.choice("abc"), 1.0))
+        covers = lambda o, s: o[0] <= s[0] and o[1] >= s[1] and o[:2] != s[:2] and o[2] != s[2]
+        wanted = [s for s in every if not any(covers(o, s) for o in every)]
+        assert licenses.outermost(every, every) == wanted
+
+
+def scanned(text, templates=licenses.TEMPLATES):
+    tokens = {t: 1 for _, n in templates for t in words(n.encode())}
+    return licenses.Join(templates, licenses.PHRASES, tokens, 0.95).scan(text.encode())
+
+
+def test_no_label_from_words_that_stand_apart():
+    assert scanned("Licensed under the GNU Lesser General Public License, version 3")["labels"] == ["lgpl-3"]
+    assert scanned("Licensed under the GNU Affero General Public License, version 3")["labels"] == ["agpl-3"]
+    assert scanned("Licensed under the GNU General Public License version 3, see section 2")["labels"] == ["gpl-3"]
+    apart = "The MIT team released a paper last year. Their driving license law falls under state control"
+    assert scanned(apart)["labels"] == [] and scanned(apart)["score"] == 0.0
+
+
+def test_long_templates():
+    mit = max((notice for label, notice in licenses.TEMPLATES if label == "mit"), key=len).split()
+    for width in (1, 7, 12, 400):
+        lines = ["# " + " ".join(mit[k : k + width]) for k in range(0, len(mit), width)]
+        text = "before it " * 211 + "\n" + "\n".join(lines) + "\nafter " * 150
+        found = scanned(text)
+        stretches = found["blocks"] + found["wrapped"]
+        assert found["labels"] == ["mit"] and any(s >= 422 and s + 75 < e <= 422 + len(mit) for s, e, *_ in stretches)
+    long = (("own", " ".join(f"w{k}" for k in range(1500))),)
+    for shift in (0, 333, 2999):
+        text = "x " * shift + long[0][1] + " y" * 500
+        assert scanned(text, long)["labels"] == ["own"]
+        assert scanned(text.replace("w700 ", "w700 " + "z " * 90), long)["labels"] == []
 
 
 def test_documents(spark):
@@ -94,4 +134,4 @@ def test_wrapped_notices(spark):
         assert row.blocks == [] and row.wrapped
     apart = "Licensed under the Apache\n" + "word " * 70 + "\nLicense, Version 2.0"
     join = licenses.Join(licenses.TEMPLATES, licenses.PHRASES, {t: 1 for _, n in licenses.TEMPLATES for t in words(n.encode())}, 0.95)
-    assert join.scan(apart.encode(), 64)["labels"] == []
+    assert join.scan(apart.encode())["labels"] == []
