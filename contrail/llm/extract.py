@@ -2,7 +2,8 @@
 
 A page is read tag by tag into blocks. Scripts, styles, menus, headers, footers,
 sidebars, notices, adverts, forms and reader comments are left out by their elements
-or by the words of their class, id and role. If a page marks its article (``article``,
+or by the words of their class, id and role; inside an article a class or id counts only if
+all its words do, so that its sections stay. Formulas are text, drawings are not. If a page marks its article (``article``,
 ``main``, role main), the blocks inside are its text and nothing of them is dropped:
 copied articles are common, so repetition says nothing against them.
 
@@ -37,7 +38,10 @@ MANY_PAGES = 20
 SHARD_WORDS = 200_000
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style title textarea noscript iframe template svg math xmp noembed noframes".split())
+# their content is no markup (the second kind's is, but no text of the page); formulas are text, but for their sources
+RAW = frozenset("script style title textarea iframe xmp noembed noframes".split())
+HIDDEN = frozenset("noscript template svg annotation annotation-xml".split())
+FOREIGN = frozenset("svg annotation annotation-xml".split())  # "/>" ends these at once
 SKIPPED = frozenset("head nav footer aside form menu dialog select button".split())
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption "
@@ -53,6 +57,12 @@ SKIPPED_WORDS = frozenset(
 )
 COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond".split())
 STATE_WORDS = frozenset("has with without no not is".split())  # "has-sidebar" is no sidebar
+# what such a class may say besides inside an article: a part that is no such word makes it another class
+PLAIN_WORDS = frozenset(
+    "area bar block body bottom box button buttons container content cta end footer form group header icons inline inner "
+    "item items js label left link links list main module outer panel post posts right row section side site slot small "
+    "start text thread title top unit wrap wrapper".split()
+)
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 # what ends a list item, option or paragraph that was left open: the next one, unless other structure is open between
@@ -72,6 +82,8 @@ _REST = re.compile(r"(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _CLOSE = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
+# starts, with what ends them at once, and ends of an element that may hold itself
+_NESTED = {name: re.compile(rf"<(/?){name}(?=[\s/>])(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>", re.I) for name in HIDDEN}
 
 
 class Reader:
@@ -89,6 +101,7 @@ class Reader:
         self.levels: dict[str, list[int]] = {name: [] for name in LISTS}  # numbers of regions around open lists
         self.skips = self.articles = self.forms = 0
         self.has_article = False
+        self.unended: set[str] = set()
         self._read()
 
     def _flush(self) -> None:
@@ -143,11 +156,29 @@ class Reader:
                 end = html.find(">", close.end()) + 1
                 if not end:
                     break
+            elif element in HIDDEN:
+                if not (element in FOREIGN and html.endswith("/>", sign, end)):
+                    end = self._end_of(element, end)
             else:
                 self._open(element, html[name.end() : end])
             at = end
         self._flush()
 
+    def _end_of(self, element: str, start: int) -> int:
+        """Where an element that is left out ends, with those of its name inside; one without an end leaves nothing out."""
+        if element in self.unended:
+            return start
+        depth = 1
+        for tag in _NESTED[element].finditer(self.html, start):
+            if tag.group(1):
+                depth -= 1
+            elif not (element in FOREIGN and tag.group().endswith("/>")):
+                depth += 1
+            if not depth:
+                return tag.end()
+        self.unended.add(element)  # nor do those that follow, as every end is inside this one
+        return start
+
     def _open(self, element: str, attributes: str) -> None:
         if element in BLOCKS:
             self._flush()
@@ -194,6 +225,7 @@ class Reader:
     def _kind(self, element: str, attributes: str) -> str | None:
         found: set[str] = set()
         role = ""
+        strict = self.articles > 0 or element in ("article", "main")
         if "=" in attributes:
             for name, *values in _ATTRIBUTE.findall(attributes):
                 value = "".join(values).lower()
@@ -202,8 +234,12 @@ class Reader:
                 else:
                     for own in value.split():
                         parts = [part for part in _SPLIT.split(own) if part]
-                        if parts and parts[0] not in STATE_WORDS:
-                            found.update(parts)
+                        if not parts or parts[0] in STATE_WORDS:
+                            continue
+                        # an article's own sections may be called "copyright-law" or "search-results"
+                        if strict and not all(part in SKIPPED_WORDS or part in PLAIN_WORDS for part in parts):
+                            continue
+                        found.update(parts)
         if element in ("html", "body"):
             return None
         if element in ("article", "main") or role in ("main", "article"):

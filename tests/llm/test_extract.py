@@ -45,6 +45,29 @@ def test_broken_markup():
     assert time.time() - start < 20
 
 
+def test_drawings_and_formulas():
+    assert text_of("<article><p>one <svg class=i /> two</p><p>three</p></article>") == "one two three"
+    assert text_of("<article>a<svg><g/><svg><text>x</text></svg><text>y</text></svg>b</article>") == "ab"
+    assert text_of("<article>a <svg><text>x</text> b<p>c</p></article><p>d</p>") == "a x b c"
+    assert text_of("<article>a <svg><svg/><path d='>'/></svg>b <template><p>no</p></template>c</article>") == "a b c"
+    formula = "<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding=tex>x=2</annotation></math>"
+    assert text_of(f"<article>so {formula} holds<math/> here</article>") == "so x=2 holds here"
+    assert text_of("<article>a<noscript><img src=x></noscript>b<noscript>c</article>") == "abc"
+    start = time.time()
+    for piece in ("<svg>", "<template>", "<svg><template>", "<svg", "<svg>'"):
+        extract.read_page("<article>a" + piece * 60_000)
+    assert time.time() - start < 20
+
+
+def test_sections_of_an_article_stay():
+    for name in ("notice-of-motion", "copyright-law", "social-history", "search-results", "reply-brief", "menu_of_the_day"):
+        assert text_of(f"<article><p>a</p><div class='{name}'>b</div><p id={name}>c</p></article>") == "a b c"
+        assert text_of(f"<article class='post {name}'><p>a</p></article>") == "a"
+        assert text_of(f"<main><section class='post-content {name}'>a</section></main>") == "a"
+    for name in ("ad", "ad-box", "share-buttons", "related-posts", "comment-list", "cookie-notice", "newsletter_signup-form"):
+        assert text_of(f"<article><p>a</p><div class='x {name}'>b</div><p>c</p></article>") == "a c"
+
+
 def test_suffix_array():
     draw = np.random.default_rng(3)
     for n in (1, 2, 7, 60):
