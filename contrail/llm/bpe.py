@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from contrail.llm.text import blobs, slabs
+from contrail.llm.text import blobs, free_name, slabs
 
 SLAB_BYTES = 1_000_000
 CACHED_PIECES = 200_000
@@ -381,6 +381,8 @@ def encode_documents(docs: DataFrame, ranks: Broadcast, text: str = "text", deco
     Columns of these names in the input are replaced.
     """
     names = {"token_ids", "token_offsets", "decoded"}
-    kept = [F.col(name) for name in docs.columns if name.lower() not in names]
-    coded = docs.select(*kept, encode(F.col(text), ranks, decoded).alias("_coded"))
-    return coded.select(*[F.col(c) for c in coded.columns if c != "_coded"], "_coded.*")
+    quoted = lambda name: F.col("`" + name.replace("`", "``") + "`")
+    kept = [quoted(name) for name in docs.columns if name.lower() not in names]
+    own = free_name(docs, "_coded")
+    coded = docs.select(*kept, encode(F.col(text), ranks, decoded).alias(own))
+    return coded.select(*[quoted(c) for c in coded.columns if c != own], f"{own}.*")

@@ -88,3 +88,10 @@ def test_query(spark, library):
         assert row.n_tokens == len(ids)
         assert row.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert row.decoded_sha256 == hashlib.sha256(texts[row.doc_id].encode()).hexdigest()
+
+
+def test_clashing_names(spark, library):
+    docs = spark.createDataFrame([(1, "one two", 7, 8, 9)], "doc_id long, text string, _coded long, `a.b` long, Decoded long")
+    row = bpe.encode_documents(docs, bpe.load(spark, PATH)).first()
+    assert (row["_coded"], row["a.b"], bytes(row["decoded"])) == (7, 8, b"one two")
+    assert ids_of(bytes(row.token_ids)) == library.encode_ordinary("one two")
