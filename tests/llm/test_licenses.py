@@ -93,7 +93,7 @@ def test_long_templates():
     for shift in (0, 333, 2999):
         text = "x " * shift + long[0][1] + " y" * 500
         assert scanned(text, long)["labels"] == ["own"]
-        assert scanned(text.replace("w700 ", "w700 " + "z " * 90), long)["labels"] == []
+        assert scanned(text.replace("w700 ", "w700 " + "z " * 160), long)["labels"] == []
 
 
 def test_documents(spark):
