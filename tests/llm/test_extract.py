@@ -75,25 +75,33 @@ def test_suffix_array():
         assert extract.suffix_array(codes).tolist() == sorted(range(n), key=lambda i: codes[i:].tolist())
 
 
-def test_covered_against_brute_force():
+def test_stretches_against_brute_force():
     draw = random.Random(4)
     for _ in range(60):
-        words, pages = [], []
-        for page in range(draw.randint(1, 5)):
-            own = [draw.randint(0, 2) for _ in range(draw.randint(0, 12))] + [-page - 1]
-            words += own
-            pages += [page] * len(own)
-        size, least = draw.randint(1, 4), draw.randint(1, 3)
-        where = {}
-        for at in range(len(words) - size + 1):
-            where.setdefault(tuple(words[at : at + size]), []).append(at)
-        wanted = np.zeros(len(words), bool)
-        for places in where.values():
-            if len({pages[at] for at in places}) >= least:
-                for at in places:
-                    wanted[at : at + size] = True
-        found = extract.covered(np.array(words), np.array(pages), size, least)
-        assert found.tolist() == wanted.tolist()
+        codes = [draw.randint(0, 2) for _ in range(draw.randint(1, 40))]
+        size = draw.randint(1, 4)
+        order, numbers = extract.stretches(np.array(codes), size)
+        number = dict(zip(order.tolist(), numbers.tolist()))
+        for a in range(len(codes)):
+            for b in range(a):
+                same = max(a, b) + size <= len(codes) and codes[a : a + size] == codes[b : b + size]
+                assert (number[a] == number[b]) == same
+
+
+def test_pieces_hold_every_stretch_once():
+    draw = random.Random(5)
+    for n in (0, 1, 7, 8, 9, 300):
+        tokens = [draw.choice("abc") for _ in range(n)]
+        seen, places = set(), []
+        anchors = {}
+        for key, first, end, fresh in extract.pieces(tokens):
+            for at in range(first, end - extract.REACH + 1):
+                own = tuple(tokens[at : at + extract.REACH])
+                assert fresh == (own not in seen)
+                assert anchors.setdefault(own, key) == key
+                seen.add(own)
+                places.append(at)
+        assert places == list(range(max(0, n - extract.REACH + 1)))
 
 
 def test_pages(spark):
@@ -101,8 +109,8 @@ def test_pages(spark):
     rows = [(k, f"http://Host.example/{k}", f"{menu}<p>unique{k} words only here{k}</p><div>All rights kept by the host of pages</div>") for k in range(40)]
     rows += [(100, None, None), (101, "x", ""), (102, "http://other.example/", "<p>a b</p>"), (103, "u", "<article>q</article>"), (103, "u", "<article>q</article>"), (None, None, "<i>z</i>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("loose", F.lit(1))
-    for words in (200_000, 200):
-        found = [tuple(r) for r in extract.extract(pages, shard_words=words).collect()]
+    for most in (4096, 0):
+        found = [tuple(r) for r in extract.extract(pages, key_pieces=most).collect()]
         assert len(found) == len(rows)
         texts = {(i, u): t for i, u, t, _ in found}
         for k in range(40):
@@ -160,8 +168,8 @@ def test_pages_count_for_the_whole_host(spark):
     menu = "".join(f"<li>{word}" for word in "home news sport weather travel food more".split())
     own = {k: own_words(draw, 25) for k in range(300)}
     rows = [(k, f"http://big.example/{k}", f"<ul>{menu}</ul><p>{own[k]}</p>" + f"<p>{notice}</p>" * (k < 5)) for k in range(300)]
-    for words in (200_000, 100):
-        assert texts_of(spark, rows, shard_words=words) == own
+    for most in (4096, 1):
+        assert texts_of(spark, rows, key_pieces=most) == own
 
 
 def test_near_copies_and_phrases_stay(spark):
@@ -191,3 +199,81 @@ def test_copies_do_not_meet_in_one_group(spark):
     found = extract.extract(pages)
     assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
     assert {(r.page_id, r.text) for r in found.collect()} == {(k, "one text of seven words on it") for k in range(2000)}
+
+
+def brute_texts(rows):
+    """The host step over (page_id, url, blocks) of distinct pages with own words on most of each page, place by place."""
+    hosts = {}
+    for _, url, blocks in rows:
+        hosts.setdefault(url, set()).add(tuple(blocks))
+    out = {}
+    for page_id, url, blocks in rows:
+        streams = [extract.stream(list(page)) for page in hosts[url]]
+        holds = [{tuple(s[at : at + 8]) for at in range(len(s) - 7)} for s in streams]
+        mine = extract.stream(blocks)
+        count = [sum(tuple(mine[at : at + 8]) in held for held in holds) for at in range(len(mine) - 7)]
+        whole, often = [False] * len(mine), [False] * len(mine)
+        for at, n in enumerate(count):
+            if n >= 3:
+                whole[at : at + 8] = [True] * 8
+                if n >= 0.05 * len(holds):
+                    often[at : at + 8] = [True] * 8
+        stays = [token != extract.MARK for token in mine]
+        marks = [at for at, token in enumerate(mine) if token == extract.MARK]
+        for i in range(len(marks)):
+            for j in range(i + 1, len(marks)):  # any run of whole blocks
+                if all(whole[marks[i] : marks[j] + 1]) and marks[j] - marks[i] - (j - i) >= 6:
+                    stays[marks[i] : marks[j]] = [False] * (marks[j] - marks[i])
+        for first in range(len(mine)):
+            for end in range(first + 12, min(len(mine), first + 40) + 1):
+                if all(often[first:end]) and sum(token != extract.MARK for token in mine[first:end]) >= 12:
+                    stays[first:end] = [False] * (end - first)
+        out[page_id] = " ".join(token for token, stay in zip(mine, stays) if stay)
+    return out
+
+
+def test_host_step_against_brute_force(spark):
+    draw = random.Random(21)
+    shared = [own_words(draw, n) for n in (2, 5, 6, 7, 11, 12, 13, 20)]
+    rows = []
+    for host in range(3):
+        for k in range((8, 30, 90)[host]):
+            blocks = []
+            for _ in range(draw.randint(1, 4)):
+                block = own_words(draw, draw.randint(25, 40))
+                if draw.random() < 0.4:  # shared words inside of a block, the rare ones on few pages
+                    block += " " + shared[min(draw.randrange(8), draw.randrange(8))] + " " + own_words(draw, 3)
+                blocks.append(block)
+                if draw.random() < 0.4:
+                    blocks.append(shared[draw.randrange(8)])
+            rows.append((1000 * host + k, f"http://h{host}.example/", blocks))
+    wanted = brute_texts(rows)
+    html = [(i, u, "".join(f"<p>{b}</p>" for b in blocks)) for i, u, blocks in rows]
+    assert any(wanted[i] != " ".join(blocks) for i, _, blocks in rows)
+    for most in (4096, 2):
+        assert texts_of(spark, html, key_pieces=most) == wanted
+
+
+def test_menus_and_notices_inside_blocks_go(spark):
+    draw = random.Random(13)
+    menu = "".join(f"<li>{own_words(draw, 1)}" for _ in range(84))
+    notice = "please read the terms of use of this site before you write"
+    own = {k: (own_words(draw, 30), own_words(draw, 30)) for k in range(100)}
+    rows = [(k, "http://n.example/", f"<ul>{menu}</ul><p>{a} {notice} {b}</p>") for k, (a, b) in own.items()]
+    assert texts_of(spark, rows) == {k: f"{a} {b}" for k, (a, b) in own.items()}
+
+
+def test_teasers_beside_the_text(spark):
+    teaser = "".join(f"<article><h3>more of topic {k} to read here</h3></article>" for k in range(3))
+    draw = random.Random(14)
+    own = {k: own_words(draw, 60) for k in range(20)}
+    rows = [(k, "http://t.example/", f"<div>{teaser}</div><div class=text><p>{text}</p></div>") for k, text in own.items()]
+    assert texts_of(spark, rows) == own
+    assert text_of("<article>a longer article</article><p>b</p><article>c</article>") == "a longer article c"
+    assert text_of("<p>a longer text outside</p><main><article>a</article><article>c</article></main>") == "a c"
+
+
+def test_a_long_page(spark):
+    draw = random.Random(15)
+    text = own_words(draw, 200_000)
+    assert texts_of(spark, [(1, "http://l.example/", f"<p>{text}</p>"), (2, "http://l.example/", "<p>short</p>")]) == {1: text, 2: "short"}
