@@ -7,7 +7,7 @@ max-pooled inside a chunk, and the mean and the maximum over the chunks give one
 probability. All layers, embeddings included, are learned by back-propagation.
 
 Null texts count as empty; every text is scored whole, the empty one as a text of
-padding. Without any labelled row all scores are one half.
+padding. Texts of more than ``SLAB_BYTES`` are laid out slab by slab, so memory does not grow with them. Without any labelled row all scores are one half.
 """
 
 from __future__ import annotations
@@ -47,21 +47,39 @@ def symbols(text: np.ndarray) -> np.ndarray:
     return out
 
 
-class Layout:
-    """Texts laid end to end in strides, padded by zeros; chunks never reach into the next text."""
+def _rows(size: int) -> int:
+    """Strides of a text of so many bytes."""
+    return max(2, -(-size // STRIDE) + 1)
+
+
+def _chunks(filters: int) -> np.ndarray:
+    """First filter position and end of each chunk."""
+    starts = np.arange(0, max(1, filters - (CHUNK - CHUNK_STEP)), CHUNK_STEP)
+    return np.stack([starts, np.minimum(starts + CHUNK, filters)], 1)
 
-    def __init__(self, texts: list[bytes]):
-        rows = [max(2, -(-len(text) // STRIDE) + 1) for text in texts]
+
+class Layout:
+    """Texts laid end to end in strides, padded by zeros; chunks never reach into the next text.
+
+    Without texts, some symbols of a text with the strides and chunks that they fill.
+    """
+
+    def __init__(self, texts: list[bytes], own: np.ndarray | None = None, strides: int = 0, chunks: np.ndarray | None = None):
+        if own is not None:
+            self.flat = np.zeros(strides * STRIDE, np.int16)
+            self.flat[: len(own)] = own
+            self.starts, self.ends = chunks.T
+            return
+        rows = [_rows(len(text)) for text in texts]
         firsts = np.cumsum(rows) - rows
         flat = np.zeros(sum(rows) * STRIDE, np.int16)
         starts, ends, owners = [], [], []
         for number, text in enumerate(texts):
             at = int(firsts[number])
             flat[at * STRIDE : at * STRIDE + len(text)] = symbols(np.frombuffer(text, np.uint8))
-            filters = rows[number] - 1
-            own = np.arange(0, max(1, filters - (CHUNK - CHUNK_STEP)), CHUNK_STEP)
-            starts.append(at + own)
-            ends.append(at + np.minimum(own + CHUNK, filters))
+            own = at + _chunks(rows[number] - 1)
+            starts.append(own[:, 0])
+            ends.append(own[:, 1])
             owners.append(np.full(len(own), number))
         self.flat, self.n = flat, len(texts)
         self.starts, self.ends, self.owners = map(np.concatenate, (starts, ends, owners))
@@ -96,19 +114,44 @@ class Network:
         mean = np.add.reduceat(tops, layout.first_chunk) / layout.chunks[:, None]
         return np.concatenate([mean, np.maximum.reduceat(tops, layout.first_chunk)], 1)
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
+    def _tops(self, layout: Layout) -> np.ndarray:
+        """The maximum of every filter in every chunk."""
+        _, found = self._filtered(layout)
+        # chunks overlap: reduceat over (start, end) pairs, the gaps between thrown away
+        edges = np.stack([layout.starts, np.minimum(layout.ends, len(found) - 1)], 1).ravel()
+        tops = np.maximum.reduceat(found, edges)[::2]
+        last = layout.ends >= len(found)
+        tops[last] = np.maximum(tops[last], found[-1])
+        return tops
+
+    def _pooled_long(self, text: bytes, slab: int) -> np.ndarray:
+        """What :meth:`_pooled` gives for one text, from runs of its chunks."""
+        chunks = _chunks(_rows(len(text)) - 1)
+        step = max(1, slab // (CHUNK_STEP * STRIDE))
+        total, most = np.zeros(FILTERS), np.zeros(FILTERS, np.float32)  # filters are never below zero
+        for first in range(0, len(chunks), step):
+            starts, ends = chunks[first : first + step].T
+            low, high = int(starts[0]), int(ends[-1]) + 1  # strides
+            a, b = low * STRIDE, min(high * STRIDE, len(text))
+            seen = max(0, a - ECHO)  # echoes look back, four-grams ahead
+            own = symbols(np.frombuffer(text[seen : b + 3], np.uint8))[a - seen : b - seen]
+            piece = Layout([], own, high - low, np.stack([starts - low, ends - low], 1))
+            tops = self._tops(piece)
+            total += tops.sum(0, np.float64)
+            most = np.maximum(most, tops.max(0))
+        return np.concatenate([total / len(chunks), most]).astype(np.float32)[None]
+
+    def scores(self, texts: list[bytes], slab: int = SLAB_BYTES) -> np.ndarray:
         if not self.learned:
             return np.full(len(texts), 0.5)
         out = []
-        for start, stop in slabs(texts, SLAB_BYTES):
-            layout = Layout(texts[start:stop])
-            _, found = self._filtered(layout)
-            # chunks overlap: reduceat over (start, end) pairs, the gaps between thrown away
-            edges = np.stack([layout.starts, np.minimum(layout.ends, len(found) - 1)], 1).ravel()
-            tops = np.maximum.reduceat(found, edges)[::2]
-            last = layout.ends >= len(found)
-            tops[last] = np.maximum(tops[last], found[-1])
-            logits = self._pooled(layout, tops) @ self.layers["output"] + self.layers["bias"]
+        for start, stop in slabs(texts, slab):
+            if stop - start == 1 and len(texts[start]) > slab:
+                pooled = self._pooled_long(texts[start], slab)
+            else:
+                layout = Layout(texts[start:stop])
+                pooled = self._pooled(layout, self._tops(layout))
+            logits = pooled @ self.layers["output"] + self.layers["bias"]
             out.append(1 / (1 + np.exp(-logits.astype(float))))
         return np.concatenate(out) if out else np.zeros(0)
 

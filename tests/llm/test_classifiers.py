@@ -114,3 +114,51 @@ def test_sample_is_bounded_and_never_held_out(spark):
     labels = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic"))
     drawn = [r.doc_id for r in learning.training_sample(docs, labels, "toxic", 500).collect()]
     assert len(drawn) == 500 and all(zlib.crc32(str(k).encode()) % 3 != 1 for k in drawn)
+
+
+def plain_score(text, at):
+    """The network's forward pass in plain loops."""
+    codes = []
+    for i, byte in enumerate(text):
+        gram = text[i : i + 4]
+        echo = len(gram) == 4 and len(text) > 4 and any(text[i - lag : i - lag + 4] == gram for lag in range(1, 33) if lag <= i)
+        codes.append(byte + 256 * echo)
+    strides = max(2, -(-len(text) // 4) + 1)
+    codes += [0] * (strides * 4 - len(codes))
+    filters = []
+    for f in range(strides - 1):
+        seen = np.concatenate([at["embedding"][code] for code in codes[4 * f : 4 * f + 8]])
+        weights = np.concatenate([at["left"], at["right"]])
+        filters.append(np.maximum(seen @ weights + at["shift"], 0))
+    tops, start = [], 0
+    while not tops or start < len(filters) - 16:
+        tops.append(np.max(filters[start : start + 128], axis=0))
+        start += 112
+    logit = np.concatenate([np.mean(tops, axis=0), np.max(tops, axis=0)]) @ at["output"] + at["bias"][0]
+    return 1 / (1 + np.exp(-logit))
+
+
+def test_forward_pass_against_plain_loops_whole_and_in_slabs():
+    draw = np.random.default_rng(8)
+    net = quality.Network()
+    net.layers = {name: layer.astype(np.float64) for name, layer in net.layers.items()}
+    net.learned = True
+    for n in (0, 1, 4, 5, 8, 60, 448, 511, 512, 513, 515, 516, 960, 2000, 3333):
+        text = bytes(draw.integers(97, 100, n).astype(np.uint8))
+        wanted = plain_score(text, net.layers)
+        assert abs(net.scores([text, b"other"])[0] - wanted) < 1e-6
+        for slab in (400, 448, 1000):
+            assert abs(net.scores([text], slab)[0] - wanted) < 1e-6
+
+
+def test_long_text_takes_bounded_memory():
+    import tracemalloc
+
+    net = quality.Network()
+    net.learned = True
+    text = b"a text that goes on and on, " * 1_000_000
+    tracemalloc.start()
+    score = net.scores([text])[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 0 <= score <= 1 and peak < 200_000_000
