@@ -18,6 +18,11 @@ Windows in a row mostly share their anchor; the bytes they cover are its context
   that a sample shows to be common, are dealt anew by single windows, which spreads
   them and lets equal ones combine early. Nothing is dropped or capped.
 
+Repeats told by hashes rest on 128 bits: contexts meet by a polynomial hash of the anchor, and are held
+equal by XXH3 of all their bytes. Among n different contexts of one anchor two agree on the latter
+with a chance of about n * n / 2**65: one in a million for six million contexts of one anchor.
+Ids are whole numbers, or strings of them; others are an error of the cast.
+
 Null texts count as empty. A document without an id stands behind all others. Rows with
 the same id are one document for the order; equal rows share their result.
 """
@@ -44,6 +49,7 @@ SAMPLE = 16  # one document in so many shows which keys are common
 COMMON = 2000  # contexts of a key in the sample
 CHUNK = 1 << 22  # windows that are looked at together
 SORT_BYTES = 1 << 15
+PART_BYTES = 1 << 24  # text for each partition of the windows; a bucket is a quarter of one
 LAST_ID = (1 << 63) - 1
 
 RECORD = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("doc", "<u4"), ("start", "<u4"), ("wins", "<u2"), ("at", "<u2")])
@@ -486,12 +492,15 @@ def remove_repeats(
     key_contexts: int = KEY_CONTEXTS,
     sample: int = SAMPLE,
     common: int = COMMON,
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """One row per document: id, n_bytes, what is ``kept`` of its bytes, and the removed runs (starts, ends)."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * parts
     body = F.coalesce(F.col(text), F.lit(""))
+    # buckets are held whole, so their number grows with the data
+    size = docs.agg(F.sum(F.octet_length(body).cast("long"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
+    buckets = 4 * parts
     keyed = docs.select(
         F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(body).alias("th"), body.alias("text")
     )

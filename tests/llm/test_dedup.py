@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -65,7 +66,7 @@ def test_equal_windows_choose_equal_anchors():
                 assert chosen.setdefault(gram, (key, first + at - window)) == (key, first + at - window)
 
 
-@pytest.mark.parametrize("limits", [{}, {"key_contexts": 1}, {"sample": 1, "common": 2}])
+@pytest.mark.parametrize("limits", [{}, {"key_contexts": 1}, {"sample": 1, "common": 2}, {"part_bytes": 300}])
 def test_against_brute_force(spark, limits):
     draw = random.Random(6)
     letters = ["ab", "ba", "c", "é", "xyz", "q"]
@@ -109,3 +110,13 @@ def test_query(spark):
         kept = b"".join(body[a:b] for a, b in zip([0, *ends], [*starts, len(body)]))
         assert (row.n_bytes, row.n_removed, row.n_spans) == (len(body), len(body) - len(kept), len(starts))
         assert row.kept_sha256 == hashlib.sha256(kept).hexdigest()
+
+
+def test_buckets_grow_with_the_data(spark):
+    docs = spark.createDataFrame([(k, "a text of fifty bytes, more or less of them here " * 4) for k in range(100)], "doc_id long, text string")
+
+    def partitions(part_bytes):
+        plan = dedup.remove_repeats(docs, part_bytes=part_bytes)._jdf.queryExecution().optimizedPlan().toString()
+        return {int(n) for n in re.findall(r"RepartitionByExpression \[(?:id|bucket)[^\]]*\], (\d+)", plan)}
+
+    assert partitions(1 << 24) == {4} and partitions(1000) == {20}
