@@ -110,3 +110,20 @@ def test_shared_folder_is_required_on_a_cluster(spark):
         session.shared_dir(_NoSetting)
     _NoSetting.sparkContext.master = "local[2]"
     assert session.shared_dir(_NoSetting) == session.shared_dir(_NoSetting)
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_a_side_that_was_not_counted_small_is_shuffled(spark, tmp_path, how):
+    """However small its compressed files are: the driver must not gather it."""
+    spark.range(5000).selectExpr("id AS k", "repeat('x', 50) AS v").write.parquet(f"{tmp_path}/unique")
+    facts = spark.range(6000).selectExpr("CASE WHEN id % 7 != 0 THEN id END AS k", "id AS f")
+    unique = spark.read.parquet(f"{tmp_path}/unique")
+    for joined in (
+        spread.lookup_join(facts, unique, ["k"], how, small_rows=0),
+        spread.lookup_join(facts, unique, ["k"], how, small_rows=4999),
+    ):
+        assert "BroadcastHashJoin" not in joined._jdf.queryExecution().sparkPlan().toString()
+        assert joined.filter("v IS NOT NULL").count() == 5000 - 715
+        assert joined.count() == (6000 if how == "left" else 4285)
+    small = spread.lookup_join(facts, unique, ["k"], how)
+    assert "BroadcastHashJoin" in small._jdf.queryExecution().sparkPlan().toString()
