@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from contrail.operators.retrieval import top_passages, usable
+from contrail.operators.retrieval import CELLS, top_passages, usable
 from contrail.session import written
 
 SAMPLE = 20_000
@@ -82,10 +82,12 @@ def nearest_lists(vector: str, centres, count: int) -> Column:
 
     @pandas_udf("array<int>")
     def run(column: pd.Series) -> pd.Series:
-        close = _unit(np.vstack(column.to_numpy()).astype("float64")) @ centres.value.T
-        take = min(count, close.shape[1])
-        best = np.argsort(-close, axis=1, kind="stable")[:, :take]
-        return pd.Series(list(best.astype("int32")))
+        rows, found = column.to_numpy(), []
+        step = max(1, CELLS // max(1, len(centres.value)))
+        for at in range(0, len(rows), step):
+            close = _unit(np.vstack(rows[at : at + step]).astype("float64")) @ centres.value.T
+            found += list(np.argsort(-close, axis=1, kind="stable")[:, :count].astype("int32"))
+        return pd.Series(found, dtype=object)
 
     return run(vector)
 
@@ -101,17 +103,20 @@ def build_lists(vectors: DataFrame, centres: np.ndarray, vec_id: str = "vec_id",
 
 def _ranked(passages: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
     rows = lambda frame: _unit(np.vstack(frame["vector"]).astype("float64"))
-    found = np.round(rows(queries) @ rows(passages).T, 9)
-    ids = passages["vec_id"].to_numpy("int64")
-    order = np.argsort(ids, kind="stable")
-    ids, found = ids[order], found[:, order]
-    take = min(k, found.shape[1])
-    best = np.argsort(-found, axis=1, kind="stable")[:, :take]
+    passages = passages.sort_values("vec_id", kind="stable")
+    ids, vectors = passages["vec_id"].to_numpy("int64"), rows(passages)
+    take, step = min(k, len(ids)), max(1, CELLS // len(ids))
+    places, scores = [], []
+    for asked in (queries.iloc[at : at + step] for at in range(0, len(queries), step)):
+        found = np.round(rows(asked) @ vectors.T, 9)
+        best = np.argsort(-found, axis=1, kind="stable")[:, :take]
+        places.append(best.ravel())
+        scores.append(np.take_along_axis(found, best, 1).ravel())
     return pd.DataFrame(
         {
             "query_id": np.repeat(queries["query_id"].to_numpy("int64"), take),
-            "vec_id": ids[best].ravel(),
-            "score": np.take_along_axis(found, best, 1).ravel(),
+            "vec_id": ids[np.concatenate(places)],
+            "score": np.concatenate(scores),
         }
     )
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from contrail.operators.spread import lookup_join
 
 QUERY_BLOCK = 4096
+CELLS = 1 << 20  # scores that a task holds at a time
 
 
 def chunks(documents: DataFrame, size: int = 64, stride: int = 50) -> DataFrame:
@@ -49,24 +50,28 @@ def label_centroids(embeddings: DataFrame) -> DataFrame:
 def _block_passages(passages: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int) -> DataFrame:
     """The k best passages per query and task, for one block of queries."""
 
+    # a task holds this many passages beside all queries of the block, whatever the size of its batches
+    step = max(1, CELLS // max(1, len(ids)))
+
     def best_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
         owner, vec, score = np.zeros(0, int), np.zeros(0, "int64"), np.zeros(0)
-        for batch in batches:
-            if batch.empty:
-                continue
-            vectors = np.vstack(batch["embedding"].to_numpy()).astype("float64")
+        reached = np.full(len(ids), -np.inf)  # the k-th best score so far
+        for part in (batch.iloc[at : at + step] for batch in batches for at in range(0, len(batch), step)):
+            vectors = np.vstack(part["embedding"].to_numpy()).astype("float64")
             found = np.round(unit @ (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).T, 9)
-            # only scores that reach the batch's own k-th best can matter; ties stay in
+            # only scores that reach the k-th best so far and of this part can matter; ties stay in
             low = max(0, found.shape[1] - k)
-            least = np.partition(found, low, axis=1)[:, low]
+            least = np.maximum(np.partition(found, low, axis=1)[:, low], reached)
             rows, columns = np.nonzero(found >= least[:, None])
             owner = np.concatenate([owner, rows])
-            vec = np.concatenate([vec, batch["vec_id"].to_numpy("int64")[columns]])
+            vec = np.concatenate([vec, part["vec_id"].to_numpy("int64")[columns]])
             score = np.concatenate([score, found[rows, columns]])
             order = np.lexsort((vec, -score, owner))
             owner, vec, score = owner[order], vec[order], score[order]
-            kept = np.arange(len(owner)) - np.searchsorted(owner, owner) < k
+            place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+            kept = place < k
+            reached[owner[place == k - 1]] = score[place == k - 1]
             owner, vec, score = owner[kept], vec[kept], score[kept]
         if len(owner):
             yield pd.DataFrame({"query_id": ids[owner], "vec_id": vec, "score": score})
@@ -79,8 +84,8 @@ def top_passages(passages: DataFrame, queries: DataFrame, k: int = 5, block: int
 
     Exact: each task multiplies its passages with the query matrix and keeps its k
     best per query, then these are merged. Queries go to the tasks in blocks of about
-    ``block``, chosen by a hash of the id; the passages are read once per block. Vectors that
-    cannot be compared and queries without an id take no part.
+    ``block``, chosen by a hash of the id; the passages are read once per block. A task holds about
+    ``CELLS`` scores at a time. Vectors that cannot be compared and queries without an id take no part.
     """
     known = usable(passages).select("vec_id", "embedding")
     asked = usable(queries, "vector").filter("query_id IS NOT NULL").dropDuplicates(["query_id"])

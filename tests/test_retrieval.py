@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +82,53 @@ def test_any_part_of_a_document_can_be_a_passage(spark):
     topics = spark.createDataFrame([("altitude_spike", 0)], "event_type string, query_id bigint")
     row = retrieval.passages_by_topic(topics, best, retrieval.central_chunks(best, documents)).first()
     assert row["passages"] == [1, 2, 3, 4, 9] and row["passage_texts"][2:] == ["", "", ""]
+
+
+def test_memory_of_a_search_does_not_follow_its_queries(monkeypatch):
+    """A block of queries against a batch of passages is scored part by part, with the same answer."""
+    rng = np.random.default_rng(8)
+    ids, matrix = np.arange(3000), rng.standard_normal((3000, 8))
+    embedding = rng.standard_normal((4000, 8)).round(1)
+    embedding[2000:2100] = embedding[:100]  # ties
+    batch = pd.DataFrame({"vec_id": rng.permutation(4000), "embedding": list(embedding)})
+
+    class Task:
+        def mapInPandas(self, run, schema):
+            tracemalloc.start()
+            found = pd.concat(run(iter([batch, batch.iloc[:0]])))
+            self.peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            return found
+
+    task = Task()
+    got = retrieval._block_passages(task, ids, matrix, 5)
+    assert task.peak < 60e6  # all scores at once take 96 MB
+    monkeypatch.setattr(retrieval, "CELLS", 1 << 30)
+    whole = retrieval._block_passages(Task(), ids, matrix, 5)
+    assert len(got) == 15000 and got.equals(whole)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    scores = (unit(matrix[:50]) @ unit(embedding).T).round(9)
+    for n in range(50):
+        best = sorted(zip(-scores[n], batch["vec_id"]))[:5]
+        assert [(-s, v) for s, v in best] == [(r.score, r.vec_id) for r in got[got["query_id"] == n].itertuples()]
+
+
+@pytest.mark.parametrize("cells", [1, 50, 1 << 20])
+def test_lists_and_ranks_part_by_part(spark, monkeypatch, cells):
+    monkeypatch.setattr(index, "CELLS", cells)
+    rng = np.random.default_rng(2)
+    rows = lambda n: rng.integers(1, 4, (n, 3)).astype("float64")
+    passages = pd.DataFrame({"vec_id": rng.permutation(40), "vector": list(rows(40))})
+    queries = pd.DataFrame({"query_id": range(9), "vector": list(rows(9))})
+    got = index._ranked(passages, queries, 4)
+    close = lambda a, b: round(float(a @ b / np.linalg.norm(a) / np.linalg.norm(b)), 9)
+    for q in queries.itertuples():
+        best = sorted((-close(q.vector, p.vector), p.vec_id) for p in passages.itertuples())[:4]
+        found = got[got["query_id"] == q.query_id]
+        assert list(found["vec_id"]) == [v for _, v in best] and np.allclose(found["score"], [-s for s, _ in best])
+    if cells > 1:
+        return
+    vectors = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows(30))], "vec_id bigint, embedding array<double>")
+    centres = index._unit(rows(4))
+    for r in index.build_lists(vectors, centres).collect():
+        assert r["list"] == int(np.argmax(index._unit(np.array([r["vector"]])) @ centres.T))
