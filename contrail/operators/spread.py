@@ -43,10 +43,10 @@ def lookup_join(
     A side counted to hold at most ``small_rows`` rows is broadcast; pass 0 to skip
     the count where the side is known to be large. ``counted`` names a frame to
     count instead, one that has at least as many rows. Otherwise both sides are
-    shuffled, by a hint: the planner goes by the size of compressed files and would send a
-    side through the driver that is many times as large there. Null keys match nothing and
-    are spread over tasks. A hot key is split by adaptive execution, which sees the real
-    partition sizes.
+    shuffled. A side that was counted large, and any that meets a stream, is so by a hint: the
+    planner goes by the size of compressed files and would send it through the driver, where it
+    is many times as large. Null keys match nothing and are spread over tasks. A hot key is
+    split by adaptive execution, which sees the real partition sizes.
     """
     if small_rows and is_small(unique if counted is None else counted, small_rows):
         return facts.join(F.broadcast(unique), on, how)
@@ -55,7 +55,8 @@ def lookup_join(
         has_key = has_key & F.col(name).isNotNull()
     spread = F.pmod(F.xxhash64(*facts.columns), F.lit(1024))
     salted = facts.withColumn("_salt", F.when(has_key, 0).otherwise(spread).cast("int"))
-    looked_up = unique.withColumn("_salt", F.lit(0)).hint("merge")
+    looked_up = unique.withColumn("_salt", F.lit(0))
+    looked_up = looked_up.hint("merge") if small_rows or facts.isStreaming else looked_up
     return salted.join(looked_up, [*on, "_salt"], how).drop("_salt")
 
 

@@ -118,12 +118,13 @@ def test_a_side_that_was_not_counted_small_is_shuffled(spark, tmp_path, how):
     spark.range(5000).selectExpr("id AS k", "repeat('x', 50) AS v").write.parquet(f"{tmp_path}/unique")
     facts = spark.range(6000).selectExpr("CASE WHEN id % 7 != 0 THEN id END AS k", "id AS f")
     unique = spark.read.parquet(f"{tmp_path}/unique")
-    for joined in (
-        spread.lookup_join(facts, unique, ["k"], how, small_rows=0),
-        spread.lookup_join(facts, unique, ["k"], how, small_rows=4999),
-    ):
-        assert "BroadcastHashJoin" not in joined._jdf.queryExecution().sparkPlan().toString()
-        assert joined.filter("v IS NOT NULL").count() == 5000 - 715
-        assert joined.count() == (6000 if how == "left" else 4285)
+    joined = spread.lookup_join(facts, unique, ["k"], how, small_rows=4999)
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().sparkPlan().toString()
+    assert joined.filter("v IS NOT NULL").count() == 5000 - 715
+    assert joined.count() == (6000 if how == "left" else 4285)
+    stream = spark.readStream.format("rate").load().selectExpr("value AS k")
+    for rows in (0, 4999):
+        met = spread.lookup_join(stream, unique, ["k"], how, small_rows=rows)
+        assert "strategy=merge" in met._jdf.queryExecution().analyzed().toString()
     small = spread.lookup_join(facts, unique, ["k"], how)
     assert "BroadcastHashJoin" in small._jdf.queryExecution().sparkPlan().toString()
