@@ -23,6 +23,7 @@ from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import DataFrame, functions as F
 
 BATCH = 4096
+TABLE_FEATURES = 10  # leaves with so many features on their path keep the values of all patterns
 
 
 @dataclass
@@ -40,13 +41,17 @@ class Tree:
 
 @dataclass
 class Leaf:
-    """A weighted leaf with, per feature on its path, the open-closed range and the share of rows that take it."""
+    """A weighted leaf with, per feature on its path, the open-closed range and the share of rows that take it.
+
+    ``table`` holds the values of every pattern of kept features, once they were asked for.
+    """
 
     value: float
     features: list[int]
     low: np.ndarray
     high: np.ndarray
     share: np.ndarray
+    table: np.ndarray | None = None
 
 
 def trees_of(model: GBTRegressionModel) -> list[Tree]:
@@ -156,6 +161,12 @@ def leaf_values(kept: np.ndarray, share: np.ndarray) -> np.ndarray:
     return values
 
 
+def pattern_values(leaf: Leaf, codes: np.ndarray) -> np.ndarray:
+    """The leaf's values for patterns of kept features given as numbers, the first feature as the lowest bit."""
+    patterns = codes[:, None] >> np.arange(len(leaf.features)) & 1
+    return leaf.value * leaf_values(patterns.astype(float), leaf.share)
+
+
 def row_values(games: list[Leaf], x: np.ndarray) -> np.ndarray:
     """One Shapley value per row and feature."""
     out = np.zeros(x.shape)
@@ -164,10 +175,15 @@ def row_values(games: list[Leaf], x: np.ndarray) -> np.ndarray:
             continue
         side = x[:, leaf.features]
         kept = (side > leaf.low) & (side <= leaf.high)
-        # few patterns of kept features occur
-        patterns, which = np.unique(kept, axis=0, return_inverse=True)
-        values = leaf.value * leaf_values(patterns.astype(float), leaf.share)
-        out[:, leaf.features] += values[which.ravel()]
+        code = kept @ (1 << np.arange(len(leaf.features)))
+        if len(leaf.features) <= TABLE_FEATURES:
+            if leaf.table is None:
+                leaf.table = pattern_values(leaf, np.arange(1 << len(leaf.features)))
+            out[:, leaf.features] += leaf.table[code]
+        else:
+            # few patterns of kept features occur
+            codes, which = np.unique(code, return_inverse=True)
+            out[:, leaf.features] += pattern_values(leaf, codes)[which.ravel()]
     return out
 
 

@@ -106,3 +106,26 @@ def test_values_of_the_fitted_model_add_up(spark):
     told = shapley.by_feature(models.shapley_rows(model, test, train), models.INPUTS).toPandas().set_index("feature")
     assert told["mean_abs"].idxmax() == "recent_mean_delay" and told.loc["visibility_miles", "mean_abs"] == 0
     assert (told["rows"] == len(values)).all()
+
+
+def test_values_of_a_leaf_are_worked_out_once(monkeypatch):
+    """However many rows come, a leaf's patterns are valued once; leaves with long paths give the same."""
+    rng = np.random.default_rng(6)
+    games = [
+        shapley.Leaf(2.0, [3, 0], np.array([-0.5, -np.inf]), np.array([np.inf, 0.3]), np.array([0.4, 0.6])),
+        shapley.Leaf(-1.5, [1, 2, 4], np.array([-1.0, 0.0, -0.2]), np.array([0.5, np.inf, 0.9]), np.array([0.2, 0.5, 0.7])),
+    ]
+    calls = []
+    plain = shapley.leaf_values
+    monkeypatch.setattr(shapley, "leaf_values", lambda kept, share: calls.append(len(kept)) or plain(kept, share))
+    batches = [rng.standard_normal((500, 5)) for _ in range(4)]
+    got = [shapley.row_values(games, x) for x in batches]
+    assert calls == [4, 8]
+    for x, values in zip(batches, got):
+        wanted = np.zeros(x.shape)
+        for leaf in games:
+            kept = (x[:, leaf.features] > leaf.low) & (x[:, leaf.features] <= leaf.high)
+            wanted[:, leaf.features] += leaf.value * plain(kept.astype(float), leaf.share)
+        assert np.allclose(values, wanted, atol=1e-12)
+    monkeypatch.setattr(shapley, "TABLE_FEATURES", 1)
+    assert np.allclose(shapley.row_values(games, batches[0]), got[0], atol=1e-12) and len(calls) == 4
