@@ -13,6 +13,8 @@ from weakref import WeakKeyDictionary
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
+from contrail.session import written
+
 BROADCAST_ROWS = 100_000
 
 _counted: WeakKeyDictionary[DataFrame, dict[int, bool]] = WeakKeyDictionary()
@@ -229,16 +231,16 @@ def dense_ids(df: DataFrame, order_by: list[str], id_name: str, start: int = 1)
 
     Rows are range-partitioned and sorted, numbered inside each partition and
     shifted by the size of the partitions before it. The numbered rows are
-    checkpointed first, so a lost executor cannot number them anew.
+    written first, so a lost executor cannot number them anew.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    numbered = (
+    numbered = written(
         df.repartitionByRange(parts, *order_by)
         .sortWithinPartitions(*order_by)
         .withColumn("_seq", F.monotonically_increasing_id())
         .withColumn("_part", F.shiftright("_seq", 33))
-        .withColumn("_seq", F.col("_seq").bitwiseAND(F.lit((1 << 33) - 1)))
-        .checkpoint()
+        .withColumn("_seq", F.col("_seq").bitwiseAND(F.lit((1 << 33) - 1))),
+        "numbered",
     )
     # one row per partition, so the window below is as small as the task count
     sizes = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))

@@ -14,7 +14,6 @@ from contrail.schemas import (
     SEED_AIRPORTS,
     Table,
 )
-from contrail.session import enable_checkpoints
 
 RETENTION_HOURS = 168
 
@@ -91,7 +90,6 @@ def gate_upsert(flights: DataFrame, gate_events: DataFrame) -> DataFrame:
 
 def assign_ids(df: DataFrame, id_name: str, natural_key: list[str], start: int = 1) -> DataFrame:
     """Fill an auto-increment column in the order of the natural key."""
-    enable_checkpoints(df.sparkSession)
     return dense_ids(df, natural_key, id_name, start)
 
 

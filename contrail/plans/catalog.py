@@ -520,7 +520,7 @@ def _positions_stream(t: Feed) -> DataFrame:
 def stream_topics(t: Feed) -> DataFrame:
     """The tables as a landed log of three topics, read as a stream with an offset per partition."""
     root = scratch_path(t.spark, "log")
-    log.publish(topics.landed(t.spark, t.sf_dir), root)
+    log.publish(topics.landed_rows(t.spark, t.sf_dir), root, payload=topics.payload())
     landed = topics.run_to_table(log.stream_log(t.spark, root), "topics")
     return landed.groupBy("topic", "partition").agg(
         F.count(F.lit(1)).alias("events"),

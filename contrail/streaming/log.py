@@ -18,12 +18,11 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
 from contrail.operators.spread import dense_ids
-from contrail.session import enable_checkpoints
 
 SEGMENT_ROWS = 100_000
 LOG_SCHEMA = "topic string, partition int, offset bigint, key string, event_time timestamp, payload string"
@@ -32,25 +31,34 @@ _PLACE = re.compile(r"topic=([^/]+)/partition=(\d+)/segment=\d+/[^/_.][^/]*\.par
 Offsets = dict[str, dict[str, int]]
 
 
-def publish(messages: DataFrame, root: str, segment_rows: int = SEGMENT_ROWS) -> None:
+def publish(messages: DataFrame, root: str, segment_rows: int = SEGMENT_ROWS, payload: Column | None = None) -> None:
     """Append (topic, partition, key, event_time, payload) behind what the log holds.
 
+    With ``payload``, messages hold other columns instead of that one, and it makes the payload out of
+    them: once, when the messages are written, and not in each pass before. Messages of one key and
+    instant then stand in the order of a hash and not of their payload.
+
     Offsets are given by range partitions and their sizes, so no task sees a whole topic partition; a
     file holds at most ``segment_rows`` messages. One job at a time may append to a topic.
     """
     spark = messages.sparkSession
-    enable_checkpoints(spark)
-    place = ["topic", "partition"]
-    numbered = dense_ids(messages, [*place, "event_time", "key", "payload"], "_id", start=0)
+    place, order = ["topic", "partition"], ["topic", "partition", "event_time", "key"]
+    rest = [f"`{name}`" for name in messages.columns if name not in order]
+    if payload is None:
+        order.append("payload")
+    else:
+        messages, order = messages.withColumn("_tie", F.xxhash64(*rest)), [*order, "_tie"]
+    numbered = dense_ids(messages, order, "_id", start=0)
     # one row per topic partition on either side
     firsts = numbered.groupBy(place).agg(F.min("_id").alias("_first"))
     held = log_ends(spark, root)
     firsts = firsts.join(held, place, "left").withColumn("_next", F.coalesce("next", F.lit(0))).drop("next")
     rows = numbered.join(F.broadcast(firsts), place).withColumn("offset", F.col("_id") - F.col("_first") + F.col("_next"))
     rows = rows.withColumn("segment", F.floor(F.col("offset") / segment_rows))
-    columns = [*place, "segment", "offset", "key", F.unix_micros("event_time").alias("event_us"), "payload"]
-    ordered = rows.select(columns).repartition(*place, "segment").sortWithinPartitions(*place, "segment", "offset")
-    ordered.write.mode("append").partitionBy(*place, "segment").parquet(root)
+    kept = rows.select(*place, "segment", "offset", "key", F.unix_micros("event_time").alias("event_us"), *rest)
+    ordered = kept.repartition(*place, "segment").sortWithinPartitions(*place, "segment", "offset")
+    text = F.col("payload") if payload is None else payload.alias("payload")
+    ordered.select(*place, "segment", "offset", "key", "event_us", text).write.mode("append").partitionBy(*place, "segment").parquet(root)
 
 
 def log_ends(spark: SparkSession, root: str) -> DataFrame:

@@ -64,8 +64,8 @@ def partition_of(key: Column, partitions: int = TOPIC_PARTITIONS) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") % partitions
 
 
-def envelopes(rows_of: Callable[[str], DataFrame]) -> DataFrame:
-    """All three topics together as (topic, partition, key, event_time, payload)."""
+def topic_rows(rows_of: Callable[[str], DataFrame]) -> DataFrame:
+    """All three topics together as (topic, partition, key, event_time) and a column per topic with its rows."""
     merged = None
     for topic in TOPICS:
         rows, (_, _, key, time) = rows_of(topic), FEEDS[topic]
@@ -74,20 +74,31 @@ def envelopes(rows_of: Callable[[str], DataFrame]) -> DataFrame:
             partition_of(F.col(key)).cast("int").alias("partition"),
             F.col(key).alias("key"),
             F.col(time).alias("event_time"),
-            F.to_json(F.struct("*")).alias("payload"),
+            F.struct("*").alias(topic),
         )
-        merged = shaped if merged is None else merged.unionByName(shaped)
+        merged = shaped if merged is None else merged.unionByName(shaped, allowMissingColumns=True)
     return merged
 
 
-def landed(spark: SparkSession, folder: str) -> DataFrame:
-    """The messages that the tables of a folder stand for."""
+def payload() -> Column:
+    """The row of :func:`topic_rows` as the JSON text of its message."""
+    return F.coalesce(*[F.to_json(F.col(f"`{topic}`")) for topic in TOPICS])
+
+
+def landed_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """What the tables of a folder hold for the topics, see :func:`topic_rows`."""
 
     def rows_of(topic: str) -> DataFrame:
         name, rows, _, _ = FEEDS[topic]
         return rows(adapters.table(spark, folder, name))
 
-    return envelopes(rows_of)
+    return topic_rows(rows_of)
+
+
+def landed(spark: SparkSession, folder: str) -> DataFrame:
+    """The messages that the tables of a folder stand for."""
+    rows = landed_rows(spark, folder)
+    return rows.select("topic", "partition", "key", "event_time", payload().alias("payload"))
 
 
 def run_to_table(

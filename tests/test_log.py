@@ -91,3 +91,33 @@ def test_missing_segments(spark, tmp_path):
         files.between(first, reach, lossy=False)
     assert sum(s.stop - s.first for s in files.between(first, reach, lossy=True)) == sum(reach["gate-event"].values()) - 100
     assert log.LogFiles(f"{tmp_path}/none").bounds() == ({}, {})
+
+
+def test_payloads_made_when_written_are_the_same_messages(spark, tmp_path):
+    early = F.pmod(F.xxhash64("event_time", "key"), F.lit(2)) == 0
+    for part in (early, ~early):
+        log.publish(topics.landed_rows(spark, SF).filter(part), f"{tmp_path}/log", segment_rows=300, payload=topics.payload())
+    held = log.read_log(spark, f"{tmp_path}/log")
+    columns = ["topic", "partition", "key", "event_time", "payload"]
+    wanted = messages(spark).select(columns)
+    assert held.count() == wanted.count() and held.select(columns).exceptAll(wanted).count() == 0
+    place = W.partitionBy("topic", "partition").orderBy("offset")
+    first = held.withColumn("n", F.row_number().over(place) - 1)
+    assert first.filter("n <> offset").count() == 0
+    sizes = spark.read.parquet(f"{tmp_path}/log").groupBy(F.input_file_name()).count()
+    assert sizes.agg(F.max("count")).first()[0] <= 300
+
+
+def test_payloads_are_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(value):
+        made.add(1)
+        return f"<{value}>"
+
+    rows = spark.range(500).selectExpr("'t' AS topic", "0 AS partition", "'k' AS key", "timestamp_seconds(id) AS event_time", "id AS v")
+    log.publish(rows, f"{tmp_path}/log", segment_rows=100, payload=text("v"))
+    assert made.value == 500
+    held = log.read_log(spark, f"{tmp_path}/log").orderBy("offset").collect()
+    assert [r["payload"] for r in held] == [f"<{i}>" for i in range(500)]
