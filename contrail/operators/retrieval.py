@@ -145,9 +145,11 @@ def grounding_records(anomalies: DataFrame, passages: DataFrame) -> DataFrame:
     """Per anomaly one JSON record of what is known about it; the generated texts stay null.
 
     ``anomalies`` carry flight and weather columns; ``passages`` is one row per
-    event type with the ids and texts of its passages.
+    event type with the ids and texts of its passages. Their part of the record is rendered once
+    per event type and put behind the anomaly's own.
     """
-    record = F.to_json(
+    whole = {"ignoreNullFields": "false"}
+    own = F.to_json(
         F.struct(
             "event_id",
             "icao24",
@@ -157,10 +159,15 @@ def grounding_records(anomalies: DataFrame, passages: DataFrame) -> DataFrame:
             "description",
             F.struct("flight_id", "carrier_code", "origin_airport", "dest_airport").alias("flight"),
             F.struct("observed_at", "wind_speed_knots", "visibility_miles").alias("weather"),
-            "passages",
-            "passage_texts",
         ),
-        {"ignoreNullFields": "false"},
+        whole,
     )
+    listed = passages.withColumn("_listed", F.to_json(F.struct("passages", "passage_texts"), whole))
+    none = F.lit('{"passages":null,"passage_texts":null}')
     # at most one row per event type, so nothing has to be counted
-    return anomalies.join(F.broadcast(passages), "event_type", "left").withColumn("grounding", record)
+    met = anomalies.join(F.broadcast(listed), "event_type", "left").withColumn("_own", own)
+    # the last brace of the one and the first of the other make a comma
+    record = F.concat(
+        F.expr("left(_own, length(_own) - 1)"), F.lit(","), F.substr(F.coalesce("_listed", none), F.lit(2))
+    )
+    return met.withColumn("grounding", record).drop("_own", "_listed")

@@ -725,7 +725,10 @@ def anomaly_prompt_table(t: Feed) -> DataFrame:
         ["wind_speed_knots", "visibility_miles"],
     ).drop("scheduled_dep_time")
     tied = lookup_join(t.anomalies, flights, ["flight_id"], small_rows=0)
-    return retrieval.grounding_records(tied, passages).select(
+    # the record is read once for both fields
+    wanted = "flight struct<dest_airport: string>, passage_texts array<string>"
+    records = retrieval.grounding_records(tied, passages).withColumn("told", F.from_json("grounding", wanted))
+    return records.select(
         "event_id",
         "event_type",
         "severity",
@@ -734,8 +737,8 @@ def anomaly_prompt_table(t: Feed) -> DataFrame:
         "observed_at",
         "wind_speed_knots",
         F.array_join(F.col("passages").cast("array<string>"), ",").alias("passage_ids"),
-        F.get_json_object("grounding", "$.flight.dest_airport").alias("grounded_dest"),
-        F.get_json_object("grounding", "$.passage_texts[0]").alias("first_passage"),
+        F.col("told.flight.dest_airport").alias("grounded_dest"),
+        F.get("told.passage_texts", 0).alias("first_passage"),
         "llm_explanation",
         "response_procedure",
     )

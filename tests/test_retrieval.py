@@ -1,4 +1,6 @@
+import json
 import tracemalloc
+from datetime import datetime
 
 import numpy as np
 import pandas as pd
@@ -132,3 +134,29 @@ def test_lists_and_ranks_part_by_part(spark, monkeypatch, cells):
     centres = index._unit(rows(4))
     for r in index.build_lists(vectors, centres).collect():
         assert r["list"] == int(np.argmax(index._unit(np.array([r["vector"]])) @ centres.T))
+
+
+def test_records_hold_the_passages_rendered_once(spark):
+    kinds = """event_id bigint, icao24 string, event_type string, severity string, detected_at timestamp, description string,
+        flight_id bigint, carrier_code string, origin_airport string, dest_airport string, observed_at timestamp,
+        wind_speed_knots decimal(5,1), visibility_miles decimal(5,2)"""
+    at = datetime(2024, 1, 1, 5, 6, 7, 89)
+    odd = 'a "b" \\ } { \n 대한민국'
+    rows = [
+        (1, "k", "altitude_spike", "LOW", at, odd, 7, "001", "A1", "A}2", at, None, None),
+        (2, None, "unasked", None, None, None, None, None, None, None, None, None, None),
+        (3, "k", None, "LOW", at, "", 7, "001", "A1", None, at, None, None),
+    ]
+    anomalies = spark.createDataFrame(rows, kinds)
+    passages = spark.createDataFrame([("altitude_spike", [4, 9], [odd, ""])], "event_type string, passages array<bigint>, passage_texts array<string>")
+    records = retrieval.grounding_records(anomalies, passages)
+    assert records.columns == ["event_type", *[c for c in anomalies.columns if c != "event_type"], "passages", "passage_texts", "grounding"]
+    # per anomaly only its own fields are turned into text
+    assert "_listed" in records._jdf.queryExecution().analyzed().toString()
+    got = {r["event_id"]: json.loads(r["grounding"]) for r in records.collect()}
+    assert got[1]["passages"] == [4, 9] and got[1]["passage_texts"] == [odd, ""] and got[1]["description"] == odd
+    assert got[1]["flight"] == {"flight_id": 7, "carrier_code": "001", "origin_airport": "A1", "dest_airport": "A}2"}
+    assert got[1]["detected_at"] == "2024-01-01T05:06:07.000089Z" and list(got[1])[-2:] == ["passages", "passage_texts"]
+    for missing in (got[2], got[3]):
+        assert missing["passages"] is None and missing["passage_texts"] is None and len(missing) == 10
+    assert got[2]["weather"] == {"observed_at": None, "wind_speed_knots": None, "visibility_miles": None}
