@@ -8,6 +8,7 @@ from contrail.operators.serving import window_metrics
 from contrail.operators.spread import lookup_join, time_bucket
 from contrail.session import scratch_path
 from contrail.streaming.keyed import BUCKETS, KeyedTable
+from contrail.streaming.packs import packed
 
 WATERMARK = "10 minutes"
 
@@ -35,25 +36,31 @@ def departures_with_weather(departures: DataFrame, weather: DataFrame) -> DataFr
 
     Repeated readings of one instant are dropped first, so the join gives a
     bounded number of rows per departure however many readings arrive. Both sides
-    also meet by clock hour, which keeps the state behind one join key short.
+    also meet by clock hour, which keeps the state behind one join key short. Departures of one
+    airport and hour that come in one batch are held as a list, one row of the state with the time of
+    the latest; so one behind the watermark is kept where it comes with one that is not.
     """
-    own_hour = time_bucket("position_time", 3600)
-    d = departures.withWatermark("position_time", WATERMARK).withColumn(
-        "hour", F.explode(F.array(own_hour, own_hour - 1))
-    )
+    d = packed(departures.withColumn("hour", time_bucket("position_time", 3600)), ["airport_code", "hour"], "places")
+    d = d.withColumn("latest", F.array_max("places.position_time")).withWatermark("latest", WATERMARK)
+    seen_hour = time_bucket("observed_at", 3600)
     w = (
         weather.select(F.col("airport_code").alias("station"), "observed_at")
         .withWatermark("observed_at", WATERMARK)
         .dropDuplicatesWithinWatermark(["station", "observed_at"])
-        .withColumn("seen_hour", time_bucket("observed_at", 3600))
+        .withColumn("near_hour", F.explode(F.array(seen_hour, seen_hour + 1)))
     )
-    near = (
+    # all in a list are less than an hour before the latest
+    meet = (
         (F.col("airport_code") == F.col("station"))
-        & (F.col("hour") == F.col("seen_hour"))
-        & (F.col("observed_at") >= F.col("position_time") - F.expr("INTERVAL 1 HOUR"))
-        & (F.col("observed_at") <= F.col("position_time"))
+        & (F.col("hour") == F.col("near_hour"))
+        & (F.col("observed_at") >= F.col("latest") - F.expr("INTERVAL 2 HOURS"))
+        & (F.col("observed_at") <= F.col("latest"))
+    )
+    met = d.join(w, meet).select("airport_code", "observed_at", F.inline("places"))
+    near = (F.col("observed_at") >= F.col("position_time") - F.expr("INTERVAL 1 HOUR")) & (
+        F.col("observed_at") <= F.col("position_time")
     )
-    return d.join(w, near).drop("station", "hour", "seen_hour")
+    return met.filter(near).select(*departures.columns, "observed_at")
 
 
 def positions_with_weather(positions: DataFrame, flights: DataFrame, weather: DataFrame) -> DataFrame:
