@@ -60,6 +60,9 @@ def packed(rows: DataFrame, by: list[str], name: str, most: int = PACK_ROWS) ->
                 held, size = [], 0
         if held:
             yield pack(held, by, name)
+        held = []
+        # the worker lives on beside the state of the join
+        pa.default_memory_pool().release_unused()
 
     tasks = max(PACK_TASKS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return kept.repartition(tasks, *by).mapInArrow(packs, outer)
